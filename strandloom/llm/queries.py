@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chat, decontamination, html, language, mixing, quality, sharding
+from strandloom.llm import chat, decontamination, embeddings, html, language, mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
         "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
         "op5_language_id": language.op5_language_id,
         "op6_balanced_sharding": sharding.op6_balanced_sharding,
