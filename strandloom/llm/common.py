@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,11 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written and whose frames are gone."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 # --- words of a packed Arrow column -----------------------------------------
 
