@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import Scratch, Words, bounds, mix, pieces, table
 from strandloom.llm.components import components
 
 GRAM, PERCENT = 4, 85
-#: Rounds in which regions choose new pivots; what then is left is compared pair by pair inside its windows.
-ROUNDS = 3
+#: Size bands of the first regions grow by this factor.
 BAND = 1.5
 _U = np.uint64
 _EPS = 1e-9
@@ -165,7 +164,33 @@ def _distances(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "whole"])
 
 
-def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def _exploded(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            sets = [unpack(x.as_py()) for x in part.column("items")]
+            node = np.repeat(np.asarray(part.column("node")), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).astype(np.int64))], ["node", "key"])
+
+
+def _rare_first(items: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, key, weight): the shared shingles among each point's first ones, rarest first, and how central the point is."""
+    each = items.select("node", "items").mapInArrow(_exploded, "node long, key long")
+    common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    each = each.join(common, "key").join(nodes.select("node", "n"), "node")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("df", "key")) + F.col("n") - F.count("*").over(own)
+    each = each.select("node", "key", "n", place.alias("place"), (F.sum("df").over(own) / F.col("n")).alias("weight"))
+    return each.where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1).select("node", "key", "weight")
+
+
+def labelled(points: DataFrame, group: DataFrame) -> DataFrame:
+    """Each member with the label of its component, itself if it has no link."""
+    label = group.select(F.col("node").alias("member"), F.col("component_id").alias("label"))
+    return points.join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
+
+
+def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; linked: 100 * intersection >= percent * union.
 
     The join works on distinct sets; equal sets are one point with many documents.
@@ -178,12 +203,16 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, rounds: int
     2. Exact distances from points to their pivots. A point within the radius of its
        pivot is linked with it. Points of a region that are in one component need no
        further look.
-    3. Recursion. In each region that still holds points of other components, one of
-       these becomes a pivot for the region's points in its window: by the triangle
-       inequality a linked pair's distances to the region's pivot differ by at most
-       the radius. Components are formed anew, and again.
-    4. What is left after the rounds is compared pair by pair, still inside windows
-       and only between components. Nothing is left out, so links are exact but for
+    3. Recursion. The points of regions that still hold several components are
+       divided anew: shingles are ordered by how few of these points have them, and
+       a point belongs to the inner regions of its first shingles (of a length that
+       linked points must share one). An inner region's pivot is its most central
+       point. A point with many shingles of its own falls out, whatever the size of
+       its region.
+    4. In inner regions that hold several components, points outside the pivot's
+       component are compared with those of other components inside the window of
+       the triangle inequality: distances of linked points to the pivot differ by
+       at most the radius. Nothing is left out, so links are exact but for
        collisions of 48-bit shingles in a pair and of 64-bit digests of sets.
 
     Words are split at white space, A-Z lower-cased. Null and empty texts: no
@@ -234,31 +263,29 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, rounds: int
     near = measured(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     links = near.where("linked").select("a", "b")
     group = components(links, scratch)
-    regions = near.select(F.col("b").alias("region"), F.col("a").alias("member"), "d")
-    regions = scratch.save(regions.unionByName(regions.select("region").distinct().select("region", F.col("region").alias("member"), F.lit(0.0).alias("d"))))
-    done = regions.select("region", F.col("region").alias("pivot")).distinct()
-    for k in range(rounds + 1):
-        placed = regions.join(group.select(F.col("node").alias("member"), F.col("component_id").alias("label")), "member", "left").withColumn("label", F.coalesce("label", "member"))
-        home = placed.where("region = member").select("region", F.col("label").alias("main"))
-        placed = placed.join(home, "region")
-        unlike = placed.where("label <> main")
-        placed = scratch.save(placed.join(unlike.select("region").distinct(), "region", "left_semi"))
-        waiting = placed.where("label <> main").join(done.select("region", F.col("pivot").alias("member")), ["region", "member"], "left_anti")
-        if not waiting.limit(1).count():
-            break
-        if k < rounds:
-            pivots = waiting.groupBy("region").agg(F.min(F.struct("member", "d", "label")).alias("q")).select("region", "q.*")
-        else:
-            pivots = waiting.select("region", "member", "d", "label")
-        pivots = scratch.save(pivots.select("region", F.col("member").alias("a"), F.col("d").alias("da"), F.col("label").alias("la")))
-        pairs = pivots.join(placed, "region").where((F.col("a") != F.col("member")) & (F.col("member") != F.col("region")) & (F.col("la") != F.col("label")) & (F.abs(F.col("da") - F.col("d")) <= radius + _EPS))
+    regions = near.select(F.col("b").alias("region"), F.col("a").alias("member"))
+    regions = regions.unionByName(regions.select("region", F.col("region").alias("member")).distinct())
+    split = labelled(regions, group).groupBy("region").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
+    open_ = scratch.save(regions.join(split, "region").select(F.col("member").alias("node")).distinct())
+    if open_.limit(1).count():
+        inner = scratch.save(_rare_first(items.join(open_, "node"), nodes, percent))
+        elected = inner.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
+        inner = scratch.save(inner.join(elected, "key").select("key", "node", "pivot"))
+        pairs = inner.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        near = measured(sized(pairs, "a", "b"))
+        links = links.unionByName(near.where("linked").select("a", "b"))
+        group = components(links, scratch)
+        last = labelled(inner.withColumnRenamed("node", "member"), group).withColumnRenamed("label", "l")
+        last = last.join(group.select(F.col("node").alias("pivot"), F.col("component_id").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
+        last = last.join(near.select(F.col("a").alias("member"), F.col("b").alias("pivot"), "d"), ["member", "pivot"], "left").where("d is not null or member = pivot")
+        last = scratch.save(last.select("key", "pivot", "member", "main", "l", F.coalesce("d", F.lit(0.0)).alias("d")))
+        apart = last.where("l <> main").select("key", F.col("member").alias("a"), F.col("l").alias("la"), F.col("d").alias("da"))
+        window = (F.col("la") != F.col("l")) & (F.abs(F.col("da") - F.col("d")) <= radius + _EPS)
+        pairs = apart.join(last.where("member <> pivot"), "key").where(window)
         pairs = pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
         fresh = measured(sized(pairs, "a", "b"))
-        found = fresh.where("linked").select("a", "b")
-        done = done.unionByName(pivots.select("region", F.col("a").alias("pivot")))
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            group = components(links, scratch)
+        links = links.unionByName(fresh.where("linked").select("a", "b"))
+        group = components(links, scratch)
     owner = nodes.select(F.col("node"), F.col("doc_id").alias("_id"))
     root = group.select("node", "component_id").join(owner, "node")
     least = root.groupBy("component_id").agg(F.min("_id").alias("least"))
