@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chat, decontamination, embeddings, html, jaccard, language, mixing, quality, sharding
+from strandloom.llm import chat, decontamination, embeddings, html, jaccard, language, mixing, quality, sharding, substrings
 
 
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
         "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
+        "op3_substring_dedup": substrings.op3_substring_dedup,
         "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
         "op5_language_id": language.op5_language_id,
         "op6_balanced_sharding": sharding.op6_balanced_sharding,
