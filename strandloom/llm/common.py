@@ -61,8 +61,9 @@ class Scratch:
 
     def settle(self) -> None:
         """Let Spark delete the shuffle files of steps whose results are written and whose frames are gone."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first lets go of the frames, the second of what only they held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
 
 # --- words of a packed Arrow column -----------------------------------------

@@ -14,7 +14,7 @@ from strandloom.llm.common import Scratch, Words, bounds, pieces, table
 
 WINDOW = 13
 #: A window belongs to its least run of so many words, its anchor; equal windows have equal anchors.
-ANCHOR = 6
+ANCHOR = 5
 #: Segments that one automaton is compiled from, at most about so many.
 SHARD_SEGMENTS = 20_000
 
@@ -45,9 +45,8 @@ def _anchor_rows(window: int, anchor: int):
                 row = words.row[at]
                 new = np.ones(len(at), bool)
                 new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-                rid = np.asarray(batch.column("rid"))[row[new]]
-                doc = np.asarray(batch.column("doc_id"))[row[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(low[new].astype(np.int64)), pa.array(rid), pa.array(doc)], ["anchor", "rid", "doc_id"])
+                text = np.asarray(batch.column("tid"))[row[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(low[new].astype(np.int64)), pa.array(text)], ["anchor", "tid"])
 
     return made
 
@@ -102,7 +101,7 @@ def _segments(window: int, anchor: int):
                 for k in range(0, len(lo), 50_000):
                     a, b = lo[k : k + 50_000], hi[k : k + 50_000]
                     r = words.row[a]
-                    yield pa.RecordBatch.from_arrays([pa.array(low[good[first[k : k + 50_000]]]), pa.array(np.asarray(batch.column("rid"))[r]), pa.array(np.asarray(batch.column("doc_id"))[r]), pa.array((a - words.first[r]).astype(np.int32)), _slices(data, begin[a], end[b])], ["anchor", "rid", "doc_id", "pos", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array(low[good[first[k : k + 50_000]]]), pa.array(np.asarray(batch.column("doc_id"))[r]), pa.array((a - words.first[r]).astype(np.int32)), _slices(data, begin[a], end[b])], ["anchor", "doc_id", "pos", "phrase"])
 
     return made
 
@@ -155,18 +154,22 @@ def _removed(window: int):
             for batch in pieces(whole, "text"):
                 words = Words(batch.column("text"), hashes=False)
                 starts = batch.column("starts")
+                whole_copy = np.asarray(pa.compute.fill_null(batch.column("copied"), False))
                 count = np.diff(words.first)
                 n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(starts), 0))
                 step = np.zeros(len(words.start) + 1, np.int64)
                 place = np.repeat(words.first[:-1], n) + np.asarray(starts.flatten(), dtype=np.int64)
                 np.add.at(step, place, 1)
                 np.add.at(step, place + window, -1)
+                full = np.flatnonzero(whole_copy & (count >= window))
+                np.add.at(step, words.first[full], 1)
+                np.add.at(step, words.first[full + 1], -1)
                 gone = np.cumsum(step)[:-1] > 0
                 data, begin, end = _spaced(words)
                 kept, digest, lost = [], [], np.zeros(batch.num_rows, np.int64)
                 for r in range(batch.num_rows):
                     a, b = words.first[r], words.first[r + 1]
-                    if n[r] and gone[a:b].any():
+                    if gone[a:b].any():
                         lost[r] = gone[a:b].sum()
                         stay = np.flatnonzero(~gone[a:b]) + a
                         edge = np.flatnonzero(np.diff(stay) > 1) + 1
@@ -186,8 +189,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     A word goes if a window of ``window`` words that covers it also starts in a
     document with a smaller doc_id.
 
-    1. Each window is filed under its anchor, its least run of ``anchor`` words;
-       anchors that stand in several documents mark the passages that may recur.
+    1. Of equal texts the one with the smallest doc_id is looked at; the others lose
+       all their words if these make a window. Each window is filed under its anchor,
+       its least run of ``anchor`` words; anchors that stand in several texts mark the
+       passages that may recur.
     2. The passages of one anchor meet in one shard; equal passages are one, with the
        least and greatest of their documents. There windows that stand in several
        documents are confirmed word by word and compiled to an Aho-Corasick automaton
@@ -200,15 +205,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     other's words. An empty table gives an empty result. Other columns are left out.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("rid", F.xxhash64("doc_id", "text"))
+    text = [F.xxhash64("text").alias("tid"), F.crc32(F.encode("text", "UTF-8")).alias("crc")]
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *text)
     able = docs.where("doc_id is not null and text is not null")
-    filed = able.mapInArrow(_anchor_rows(window, anchor), "anchor long, rid long, doc_id long")
-    shared = filed.groupBy("anchor").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("anchor")
-    flags = filed.select("anchor", "rid").join(shared, "anchor").groupBy("rid").agg(F.collect_set("anchor").alias("anchors"))
-    flags = scratch.save(flags)
+    firsts = scratch.save(able.groupBy("tid", "crc").agg(F.min("doc_id").alias("first_id")))
+    filed = able.mapInArrow(_anchor_rows(window, anchor), "anchor long, tid long")
+    shared = filed.groupBy("anchor").agg(F.min("tid").alias("_lo"), F.max("tid").alias("_hi")).where("_lo < _hi").select("anchor")
+    flags = filed.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
+    flags = scratch.save(flags.join(firsts, "tid").select("tid", "crc", "first_id", "anchors"))
     del filed, shared
     scratch.settle()
-    passages = able.join(flags, "rid").mapInArrow(_segments(window, anchor), "anchor long, rid long, doc_id long, pos int, phrase string")
+    passages = able.join(flags, ["tid", "crc"]).where("doc_id = first_id").mapInArrow(_segments(window, anchor), "anchor long, doc_id long, pos int, phrase string")
     passages = passages.withColumn("print", F.xxhash64("phrase"))
     passages = scratch.save(passages)
     scratch.settle()
@@ -216,13 +223,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     shards = max(1, passages.count() // SHARD_SEGMENTS)
     phrases = phrases.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     owners = phrases.groupBy("shard").applyInArrow(_automaton(window), "anchor long, print long, owners array<long>")
-    hits = passages.select("anchor", "print", "rid", "doc_id", "pos").join(owners, ["anchor", "print"])
+    hits = passages.select("anchor", "print", "doc_id", "pos").join(owners, ["anchor", "print"])
     starts = F.filter(F.transform("owners", lambda x, k: F.when(x < F.col("doc_id"), F.col("pos") + k)), lambda x: x.isNotNull())
-    hits = hits.select("rid", starts.alias("s")).where(F.size("s") > 0)
-    cover = scratch.save(hits.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
+    hits = hits.select(F.col("doc_id").alias("first_id"), starts.alias("s")).where(F.size("s") > 0)
+    cover = scratch.save(hits.groupBy("first_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
     scratch.drop(passages)
+    del phrases, owners, hits, passages
     scratch.settle()
-    return docs.join(cover, "rid", "left").select("doc_id", "text", "starts").mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    known = firsts.join(cover, "first_id", "left")
+    out = docs.join(known, ["tid", "crc"], "left")
+    out = out.select("doc_id", "text", F.when(F.col("doc_id") == F.col("first_id"), F.col("starts")).alias("starts"), (F.col("doc_id") > F.col("first_id")).alias("copied"))
+    return out.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op3_substring_dedup(spark, sf_dir):
