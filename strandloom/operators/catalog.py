@@ -97,23 +97,30 @@ class VersionedStore:
         self.Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[str]:
+        there = self.fs.exists(self.Path(self.path))
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.Path(self.path))] if there else []
+        return sorted(x for x in names if x.startswith("current-"))
+
     def current(self) -> str | None:
-        found = [s.getPath().getName() for s in (self.fs.listStatus(self.Path(self.path)) if self.fs.exists(self.Path(self.path)) else []) if s.getPath().getName().startswith("current-")]
-        return max(found).split("-", 2)[2] if found else None
+        found = self._pointers()
+        return found[-1].split("-", 2)[2] if found else None
+
+    def _point(self, name: str) -> None:
+        found = self._pointers()
+        number = int(found[-1].split("-")[1]) + 1 if found else 1
+        self.fs.create(self.Path(f"{self.path}/.next-{name}-{number}")).close()
+        self.fs.rename(self.Path(f"{self.path}/.next-{name}-{number}"), self.Path(f"{self.path}/current-{number:012d}-{name}"))
 
     def read(self) -> DataFrame | None:
         now = self.current()
-        return self.spark.read.parquet(f"{self.path}/{now}") if now else None
+        return self.spark.read.parquet(f"{self.path}/{now}") if now not in (None, "none") else None
 
     def commit(self, df: DataFrame) -> None:
-        found = [s.getPath().getName() for s in (self.fs.listStatus(self.Path(self.path)) if self.fs.exists(self.Path(self.path)) else []) if s.getPath().getName().startswith("current-")]
-        number = int(max(found).split("-")[1]) + 1 if found else 1
         name = f"v{uuid.uuid4().hex}"
         df.write.partitionBy("root").parquet(f"{self.path}/{name}")
-        self.fs.create(self.Path(f"{self.path}/.next-{name}")).close()
-        self.fs.rename(self.Path(f"{self.path}/.next-{name}"), self.Path(f"{self.path}/current-{number:012d}-{name}"))
+        self._point(name)
 
     def clear(self) -> None:
-        now = self.read()
-        if now is not None:
-            self.commit(now.limit(0))
+        """From now on there are no rows; the next commit starts anew."""
+        self._point("none")
