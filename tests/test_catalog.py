@@ -107,7 +107,7 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     out.awaitTermination()
     from strandloom.operators.events import debounce
 
-    batch = debounce(ev).collect()
+    batch = debounce(ev.selectExpr("user_id", "cast(ts as timestamp) as ts")).collect()
     last = spark.sql("select user_id, first_ts, max(n) as n from bursts group by user_id, first_ts").collect()
     assert {(r.user_id, r.first_ts, r.n) for r in batch} == {(r.user_id, r.first_ts, r.n) for r in last}
 
