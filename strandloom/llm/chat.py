@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ SYNONYMS = {"system": "system", "developer": "system", "user": "user", "human":
 MERGE, RELABEL, NAME_UNKNOWN, INSERT = 1.0, 2.0, 1.0, 3.0
 #: Turns of a conversation are worked through in spans of so many turn numbers.
 SPAN = 512
+#: Turns that one group of spans gathers, at most about so many.
+GROUP_ROWS = 8_000
 START = 0  # states: 0 at the start, then after a message of ROLES[state - 1]
 LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 
@@ -67,16 +71,37 @@ def _run(roles) -> tuple[np.ndarray, list[np.ndarray]]:
     return cost, back
 
 
-def _spans(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["turn", "role", "text"], kind="stable", na_position="last")
-    cost, _ = _run(frame["role"].tolist())
-    return pd.DataFrame({"conv_id": frame["conv_id"].iloc[:1], "span": frame["span"].iloc[:1], "cost": [cost.ravel().tolist()]})
+_COSTS = pa.schema([("conv_id", pa.int64()), ("span", pa.int64()), ("cost", pa.list_(pa.float64()))])
+_STATES = pa.schema([("conv_id", pa.int64()), ("span", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("conv_cost", pa.float64())])
+_TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int32()), ("role_before", pa.string()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.float64()), ("text", pa.string()), ("rendered", pa.string()), ("conv_cost", pa.float64())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _runs(group: pa.Table, *order: str):
+    """Rows of a group by conversation and, if it has turns, span; each run in the order of the other columns."""
+    keys = ["conv_id"] + (["span"] if "turn" in group.column_names else [])
+    rows = group.to_pylist()
+    rows.sort(key=lambda r: tuple((r[c] is None, r[c] if r[c] is not None else 0) for c in (*keys, *order)))
+    for key, run in groupby(rows, key=lambda r: tuple(r[c] for c in keys)):
+        yield key, list(run)
+
 
+def _spans(group: pa.Table) -> pa.Table:
+    out = [(conv, span, _run([r["role"] for r in rows])[0].ravel().tolist()) for (conv, span), rows in _runs(group, "turn", "role", "text")]
+    return _table(out, _COSTS)
 
-def _compose(frame: pd.DataFrame) -> pd.DataFrame:
+
+def _compose(group: pa.Table) -> pa.Table:
+    return _table([x for _, rows in _runs(group, "span") for x in _paths(rows)], _STATES)
+
+
+def _paths(rows: list[dict]) -> list[tuple]:
     """States at which each span of a conversation is entered and left, on a path of least cost."""
-    frame = frame.sort_values("span", na_position="last")
-    costs = [np.array(c, dtype=float).reshape(4, 4) for c in frame["cost"]]
+    costs = [np.array(r["cost"], dtype=float).reshape(4, 4) for r in rows]
     best, came = np.array([0.0, np.inf, np.inf, np.inf]), []
     for c in costs:
         way = best[:, None] + c
@@ -89,24 +114,27 @@ def _compose(frame: pd.DataFrame) -> pd.DataFrame:
         path.append((before, state))
         state = before
     path.reverse()
-    last = [k == len(costs) - 1 for k in range(len(costs))]
-    return pd.DataFrame({"conv_id": frame["conv_id"].values, "span": frame["span"].values, "enter": [p[0] for p in path], "leave": [p[1] for p in path], "last": last, "conv_cost": total})
+    return [(r["conv_id"], r["span"], a, b, k == len(costs) - 1, total) for k, (r, (a, b)) in enumerate(zip(rows, path, strict=True))]
 
 
-def _decode(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    frame = left.sort_values(["turn", "role", "text"], kind="stable", na_position="last").reset_index(drop=True)
-    enter, state, last, total = int(right["enter"].iloc[0]), int(right["leave"].iloc[0]), bool(right["last"].iloc[0]), float(right["conv_cost"].iloc[0])
-    _, back = _run(frame["role"].tolist())
+def _decode(left: pa.Table, right: pa.Table) -> pa.Table:
+    states = {(r["conv_id"], r["span"]): r for r in right.to_pylist()}
+    return _table([x for key, rows in _runs(left, "turn", "role", "text") for x in _rendered(rows, states[key])], _TURNS)
+
+
+def _rendered(rows: list[dict], known: dict) -> list[tuple]:
+    enter, state, last, total = known["enter"], known["leave"], known["last"], known["conv_cost"]
+    _, back = _run([r["role"] for r in rows])
     states = [state]
     for came in reversed(back):
         state = int(came[enter, state])
         states.append(state)
     states.reverse()
     out = []
-    for k, row in enumerate(frame.itertuples(index=False)):
+    for k, row in enumerate(rows):
         before, after = states[k], states[k + 1]
-        price, action, inserted = _steps(row.role)[before, after]
-        text = row.text if isinstance(row.text, str) else ""
+        price, action, inserted = _steps(row["role"])[before, after]
+        text = row["text"] or ""
         if "merge" in action:
             rendered = "\n" + text
         else:
@@ -114,10 +142,10 @@ def _decode(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             for between in inserted:
                 rendered += f"<|im_start|>{ROLES[between - 1]}\n<|im_end|>\n"
             rendered += f"<|im_start|>{ROLES[after - 1]}\n{text}"
-        if last and k == len(frame) - 1:
+        if last and k == len(rows) - 1:
             rendered += "<|im_end|>\n"
-        out.append((row.conv_id, row.turn, k, row.role, ROLES[after - 1], action, price, text, rendered, total))
-    return pd.DataFrame(out, columns=["conv_id", "turn", "place", "role_before", "role", "action", "cost", "text", "rendered", "conv_cost"])
+        out.append((row["conv_id"], row["turn"], k, row["role"], ROLES[after - 1], action, price, text, rendered, total))
+    return out
 
 
 SCHEMA = "conv_id long, turn long, place int, role_before string, role string, action string, cost double, text string, rendered string, conv_cost double"
@@ -144,10 +172,13 @@ def repair(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     """
     scratch = Scratch(conversations.sparkSession)
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.floor(F.col("turn") / span).cast("long").alias("span"))
-    costs = turns.groupBy("conv_id", "span").applyInPandas(_spans, "conv_id long, span long, cost array<double>")
-    states = costs.groupBy("conv_id").applyInPandas(_compose, "conv_id long, span long, enter int, leave int, last boolean, conv_cost double")
+    # spans are gathered by hash to groups of bounded size, for each call into Python has its price
+    groups = max(1, turns.count() // GROUP_ROWS)
+    by_span = F.pmod(F.xxhash64("conv_id", "span"), F.lit(groups)).alias("part")
+    costs = turns.groupBy(by_span).applyInArrow(_spans, "conv_id long, span long, cost array<double>")
+    states = costs.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(groups)).alias("part")).applyInArrow(_compose, "conv_id long, span long, enter int, leave int, last boolean, conv_cost double")
     states = scratch.save(states)
-    return turns.groupBy("conv_id", "span").cogroup(states.groupBy("conv_id", "span")).applyInPandas(_decode, SCHEMA)
+    return turns.groupBy(by_span).cogroup(states.groupBy(by_span)).applyInArrow(_decode, SCHEMA)
 
 
 def op7_chat_formatting(spark, sf_dir):
