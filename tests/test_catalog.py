@@ -101,15 +101,15 @@ def test_store_and_metadata_stream(spark, tmp_path):
 
 
 def test_debounce_stream_equals_batch(spark, tmp_path):
-    ev = spark.read.parquet(f"{D}/events.parquet")
-    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(D)
-    out = streams.debounce_stream(stream, late="60 days").writeStream.outputMode("update").format("memory").queryName("bursts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).start()
+    ev = spark.read.parquet(f"{D}/events.parquet").selectExpr("user_id", "cast(ts as timestamp) as ts")
+    ev.unionByName(spark.sql("select -1L as user_id, timestamp'2034-01-01 00:00:00' as ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/in")
+    out = streams.debounce_stream(stream).writeStream.outputMode("append").format("memory").queryName("bursts").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     out.awaitTermination()
     from strandloom.operators.events import debounce
 
-    batch = debounce(ev.selectExpr("user_id", "cast(ts as timestamp) as ts")).collect()
-    last = spark.sql("select user_id, first_ts, max(n) as n from bursts group by user_id, first_ts").collect()
-    assert {(r.user_id, r.first_ts, r.n) for r in batch} == {(r.user_id, r.first_ts, r.n) for r in last}
+    found = [{(r.user_id, r.first_ts, r.last_ts, r.n) for r in df.collect()} for df in (debounce(ev), spark.table("bursts"))]
+    assert found[0] == found[1]
 
 
 def test_throttle(spark):
