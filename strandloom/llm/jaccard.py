@@ -174,14 +174,33 @@ def _exploded(batches):
 
 
 def _rare_first(items: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, key, weight): the shared shingles among each point's first ones, rarest first, and how central the point is."""
+    """(node, key, n, place, weight): the shared shingles among each point's first ones, rarest first, with size, place and how central the point is."""
     each = items.select("node", "items").mapInArrow(_exploded, "node long, key long")
     common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     each = each.join(common, "key").join(nodes.select("node", "n"), "node")
     own = Window.partitionBy("node")
     place = F.row_number().over(own.orderBy("df", "key")) + F.col("n") - F.count("*").over(own)
     each = each.select("node", "key", "n", place.alias("place"), (F.sum("df").over(own) / F.col("n")).alias("weight"))
-    return each.where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1).select("node", "key", "weight")
+    return each.where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1)
+
+
+def _inner_pairs(last: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that meet in an inner region and can be linked.
+
+    At the first key two points share, what follows it bounds their overlap. For the
+    smaller point of a linked pair this bound holds against its own size, too, so
+    only points whose key comes that early meet the others of their region.
+    """
+    need = F.expr(f"(n * {2 * percent} + {99 + percent}) div {100 + percent}")
+    early = last.where(F.col("place") <= F.col("n") - need + 1)
+    small = lambda rows: rows.select("key", F.col("member").alias("a"), F.col("l").alias("la"), F.col("d").alias("da"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    can = (F.col("la") != F.col("l")) & (F.col("na") <= F.col("n")) & (F.col("na") * 100 >= F.col("n") * percent)
+    can &= F.coalesce(F.abs(F.col("da") - F.col("d")) <= (100 - percent) / 100 + _EPS, F.lit(True))
+    can &= (F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("place")) + 1) * (100 + percent) >= (F.col("na") + F.col("n")) * percent
+    apart, rest = F.col("l") != F.col("main"), F.col("l") == F.col("main")
+    pairs = small(early.where(apart)).join(last, "key").where(can)
+    pairs = pairs.select("a", "member").unionByName(small(early.where(rest)).join(last.where(apart), "key").where(can).select("a", "member"))
+    return pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
 
 
 def labelled(points: DataFrame, group: DataFrame) -> DataFrame:
@@ -212,7 +231,8 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame
     4. In inner regions that hold several components, points outside the pivot's
        component are compared with those of other components inside the window of
        the triangle inequality: distances of linked points to the pivot differ by
-       at most the radius. Nothing is left out, so links are exact but for
+       at most the radius. The places of the shared shingle bound the overlap; pairs
+       below the threshold by this bound don't meet. Nothing is left out, so links are exact but for
        collisions of 48-bit shingles in a pair and of 64-bit digests of sets.
 
     Words are split at white space, A-Z lower-cased. Null and empty texts: no
@@ -223,7 +243,6 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    radius = (100 - percent) / 100
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     slim = scratch.save(docs.mapInArrow(_slim(gram), "doc_id long, n long, node long"))
     named = slim.where("n > 0 and doc_id is not null")
@@ -270,20 +289,18 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame
     if open_.limit(1).count():
         inner = scratch.save(_rare_first(items.join(open_, "node"), nodes, percent))
         elected = inner.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
-        inner = scratch.save(inner.join(elected, "key").select("key", "node", "pivot"))
+        inner = scratch.save(inner.join(elected, "key").select("key", "node", "pivot", "n", "place"))
         pairs = inner.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         near = measured(sized(pairs, "a", "b"))
         links = links.unionByName(near.where("linked").select("a", "b"))
         group = components(links, scratch)
         last = labelled(inner.withColumnRenamed("node", "member"), group).withColumnRenamed("label", "l")
         last = last.join(group.select(F.col("node").alias("pivot"), F.col("component_id").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-        last = last.join(near.select(F.col("a").alias("member"), F.col("b").alias("pivot"), "d"), ["member", "pivot"], "left").where("d is not null or member = pivot")
-        last = scratch.save(last.select("key", "pivot", "member", "main", "l", F.coalesce("d", F.lit(0.0)).alias("d")))
-        apart = last.where("l <> main").select("key", F.col("member").alias("a"), F.col("l").alias("la"), F.col("d").alias("da"))
-        window = (F.col("la") != F.col("l")) & (F.abs(F.col("da") - F.col("d")) <= radius + _EPS)
-        pairs = apart.join(last.where("member <> pivot"), "key").where(window)
-        pairs = pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
-        fresh = measured(sized(pairs, "a", "b"))
+        last = last.join(near.select(F.col("a").alias("member"), F.col("b").alias("pivot"), "d"), ["member", "pivot"], "left")
+        d = F.when(F.col("member") == F.col("pivot"), 0.0).otherwise(F.col("d"))  # null: sizes out of the pivot's window
+        last = scratch.save(last.select("key", "member", "main", "l", "n", "place", d.alias("d")))
+        pairs = _inner_pairs(last, percent)
+        fresh = measured(pairs)
         links = links.unionByName(fresh.where("linked").select("a", "b"))
         group = components(links, scratch)
     owner = nodes.select(F.col("node"), F.col("doc_id").alias("_id"))
