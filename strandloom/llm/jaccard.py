@@ -63,6 +63,22 @@ def _band_edges(most: int) -> list[int]:
     return edges
 
 
+def _classes(lo: int, d: int) -> int:
+    """M for sets of ``lo`` elements and more: so many that few sets leave over M - D - 1 classes without elements."""
+    m = d + 1 + (d // 20 + 2 if d else 0)
+    while d:
+        empty = m * np.exp(-lo / m)
+        if empty + 2 * np.sqrt(empty) <= m - d - 1 or m > 2 * d + 8:
+            break
+        m += 1
+    return m
+
+
+def _slices(percent: int) -> int:
+    """Parts into which signatures are dealt by hash, one at a time: signatures of an element grow with (100 - percent) / percent."""
+    return -(-100 * (100 - percent) // (18 * percent))
+
+
 def nominations(sets: Sets, percent: int):
     """(signature, node) by which documents meet: any two within the threshold have a signature in common.
 
@@ -86,7 +102,7 @@ def nominations(sets: Sets, percent: int):
         if not chosen.any():
             continue
         d = (hi - 1) * (100 - percent) // percent
-        m = d + 1 + (d // 20 + 2 if d else 0)
+        m = _classes(lo, d)
         use = chosen[sets.row]
         row, value = sets.row[use], spread[use]
         kind = (mix(value ^ _U(b + 1)) % _U(m)).astype(np.int64)
@@ -115,11 +131,14 @@ def _slim(gram: int):
     return made
 
 
-def _signed(gram: int, percent: int):
+def _signed(gram: int, percent: int, part: int, parts: int):
     def made(batches):
         for whole in batches:
             for batch in pieces(whole, "text"):
                 for signature, node in nominations(Sets(batch.column("text"), gram), percent):
+                    if parts > 1:
+                        own = signature % _U(parts) == part
+                        signature, node = signature[own], node[own]
                     yield pa.RecordBatch.from_arrays([pa.array(signature.astype(np.int64)), pa.array(node)], ["sig", "node"])
 
     return made
@@ -247,12 +266,16 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame
     slim = scratch.save(docs.mapInArrow(_slim(gram), "doc_id long, n long, node long"))
     named = slim.where("n > 0 and doc_id is not null")
     nodes = scratch.save(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    signed = docs.where("doc_id is not null").mapInArrow(_signed(gram, percent), "sig long, node long")
-    elected = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).where("pivot <> _top").select("sig", "pivot")
-    met = signed.join(elected, "sig").where("node <> pivot").select("node", "pivot").distinct()
-    met = scratch.save(met)
-    del signed, elected
-    scratch.settle()
+    parts, met = _slices(percent), None
+    for part in range(parts):
+        signed = docs.where("doc_id is not null").mapInArrow(_signed(gram, percent, part, parts), "sig long, node long")
+        elected = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).where("pivot <> _top").select("sig", "pivot")
+        got = scratch.save(signed.join(elected, "sig").where("node <> pivot").select("node", "pivot").distinct())
+        met = got if met is None else met.unionByName(got)
+        del signed, elected, got
+        scratch.settle()  # disk holds the shuffle of one part at a time
+    if parts > 1:
+        met = scratch.save(met.distinct())
     size = nodes.select(F.col("node").alias("_node"), F.col("n").alias("_n"))
 
     def sized(pairs: DataFrame, a: str, b: str) -> DataFrame:
