@@ -13,6 +13,8 @@ from strandloom.llm.components import components
 GRAM, PERCENT = 4, 85
 #: Size bands of the first regions grow by this factor.
 BAND = 1.5
+#: Parts, by hash of shingle or point, in which shingles of open regions are counted and placed: disk holds the shuffle of one.
+PARTS = 4
 _U = np.uint64
 _EPS = 1e-9
 
@@ -183,24 +185,50 @@ def _distances(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "whole"])
 
 
-def _exploded(batches):
-    for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            part = batch.slice(k, 512)
-            sets = [unpack(x.as_py()) for x in part.column("items")]
-            node = np.repeat(np.asarray(part.column("node")), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets).astype(np.int64))], ["node", "key"])
-
-
-def _rare_first(items: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, key, n, place, weight): the shared shingles among each point's first ones, rarest first, with size, place and how central the point is."""
-    each = items.select("node", "items").mapInArrow(_exploded, "node long, key long")
-    common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    each = each.join(common, "key").join(nodes.select("node", "n"), "node")
+def _exploded(part: int, parts: int):
+    """(node, key) of the shingles that fall to one part by hash."""
+
+    def made(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                sets = [unpack(x.as_py()) for x in some.column("items")]
+                node = np.repeat(np.asarray(some.column("node")), [len(x) for x in sets])
+                key = np.concatenate(sets)
+                own = key % _U(parts) == part
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(key[own].astype(np.int64))], ["node", "key"])
+
+    return made
+
+
+def _rare_first(items: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, key, n, place, weight): the shared shingles among each point's first ones, rarest first, with size, place and how central the point is.
+
+    Counts are taken over all points in ``PARTS`` parts of the shingles, places in
+    as many parts of the points; the parts only bound the disk in use at a time.
+    """
+    counted, out = [], None
+    for part in range(PARTS):
+        each = items.select("node", "items").mapInArrow(_exploded(part, PARTS), "node long, key long")
+        common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        counted.append(scratch.save(each.join(common, "key").select("node", "key", "df")))
+        del each, common
+        scratch.settle()
     own = Window.partitionBy("node")
     place = F.row_number().over(own.orderBy("df", "key")) + F.col("n") - F.count("*").over(own)
-    each = each.select("node", "key", "n", place.alias("place"), (F.sum("df").over(own) / F.col("n")).alias("weight"))
-    return each.where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1)
+    for part in range(PARTS):
+        each = counted[0]
+        for more in counted[1:]:
+            each = each.unionByName(more)
+        each = each.where(F.pmod("node", F.lit(PARTS)) == part).join(nodes.select("node", "n"), "node")
+        each = each.select("node", "key", "n", place.alias("place"), (F.sum("df").over(own) / F.col("n")).alias("weight"))
+        got = scratch.save(each.where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1))
+        out = got if out is None else out.unionByName(got)
+        del each, got
+        scratch.settle()
+    for old in counted:
+        scratch.drop(old)
+    return out
 
 
 def _inner_pairs(last: DataFrame, percent: int) -> DataFrame:
@@ -266,16 +294,21 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame
     slim = scratch.save(docs.mapInArrow(_slim(gram), "doc_id long, n long, node long"))
     named = slim.where("n > 0 and doc_id is not null")
     nodes = scratch.save(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    parts, met = _slices(percent), None
+    parts, dealt = _slices(percent), []
     for part in range(parts):
         signed = docs.where("doc_id is not null").mapInArrow(_signed(gram, percent, part, parts), "sig long, node long")
         elected = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).where("pivot <> _top").select("sig", "pivot")
-        got = scratch.save(signed.join(elected, "sig").where("node <> pivot").select("node", "pivot").distinct())
-        met = got if met is None else met.unionByName(got)
-        del signed, elected, got
+        dealt.append(scratch.save(signed.join(elected, "sig").where("node <> pivot").select("node", "pivot").distinct()))
+        del signed, elected
         scratch.settle()  # disk holds the shuffle of one part at a time
+    met = dealt[0]
     if parts > 1:
+        for more in dealt[1:]:
+            met = met.unionByName(more)
         met = scratch.save(met.distinct())
+        for old in dealt:
+            scratch.drop(old)
+    del dealt
     size = nodes.select(F.col("node").alias("_node"), F.col("n").alias("_n"))
 
     def sized(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -310,7 +343,7 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame
     split = labelled(regions, group).groupBy("region").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
     open_ = scratch.save(regions.join(split, "region").select(F.col("member").alias("node")).distinct())
     if open_.limit(1).count():
-        inner = scratch.save(_rare_first(items.join(open_, "node"), nodes, percent))
+        inner = _rare_first(items.join(open_, "node"), nodes, percent, scratch)
         elected = inner.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
         inner = scratch.save(inner.join(elected, "key").select("key", "node", "pivot", "n", "place"))
         pairs = inner.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
