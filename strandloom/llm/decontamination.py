@@ -15,8 +15,8 @@ from strandloom.llm.common import Words, mix, pieces, table
 MASKS = ("111010010111", "11011000110101", "1100101011011", "11111111")
 #: An overlap counts from so many equal words, or this share of a shorter item.
 MIN_WORDS, SHARE = 12, 0.8
-#: Words of an overlap that must be equal; a differing word takes MISS from the score of an extension.
-IDENTITY, MISS = 0.8, 2
+#: Words of an overlap that must be equal: so many of so many.
+EQUAL, OF = 4, 5
 #: Benchmark text that one pass over the documents takes; more makes more passes.
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
@@ -34,6 +34,17 @@ def _seeds(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(out[at])
 
 
+def _stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """Begin, end and equal words of the stretch with the most equal words of those where EQUAL of OF words are equal."""
+    equal = np.concatenate(([0], np.cumsum(same)))
+    spare = OF * equal - EQUAL * np.arange(len(equal))
+    # for each end the first begin that leaves enough words equal: there spare is no higher
+    begin = np.searchsorted(-np.minimum.accumulate(spare), -spare, "left")
+    end = int(np.argmax(equal - equal[begin]))
+    begin, most = int(begin[end]), int(equal[end] - equal[begin[end]])
+    return begin + int(np.argmax(same[begin:end])) if most else begin, end, most
+
+
 class Seeds:
     """The seed hashes of a block of benchmark items, with a bit filter before the exact lookup."""
 
@@ -73,13 +84,8 @@ class Seeds:
             b0, b1 = self.words.first[i], self.words.first[i + 1]
             lo, hi = max(0, -d), min(b1 - b0, a1 - a0 - d)
             same = docs.hash[a0 + d + lo : a0 + d + hi] == self.words.hash[b0 + lo : b0 + hi]
-            # the stretch of the diagonal with the best score
-            score = np.concatenate(([0], np.cumsum(np.where(same, 1, -MISS))))
-            rise = score - np.minimum.accumulate(score)
-            end = int(rise.argmax())
-            begin = end - 1 - int(np.argmin(score[:end][::-1])) if end else 0
-            equal = int(same[begin:end].sum())
-            if equal >= min(MIN_WORDS, math.ceil(SHARE * (b1 - b0))) and equal >= IDENTITY * (end - begin):
+            begin, end, equal = _stretch(same)
+            if equal and equal >= min(MIN_WORDS, math.ceil(SHARE * (b1 - b0))):
                 best[r, i] = max(best.get((r, i), (0, 0, 0)), (equal, end - begin, -int(d + lo + begin)))
         return [(r, i, e, n, -f) for (r, i), (e, n, f) in sorted(best.items())]
 
@@ -98,9 +104,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, equal_words, overlap_words, first_word, item_words): the best overlap of each document and item that share one.
 
     Words are split at white space and A-Z lower-cased. Seed windows of documents
-    and items with equal hashes under a mask lie on one diagonal; along it the
-    stretch with the best score is found, where words may be replaced. It counts
-    with at least 12 equal words (of short items 80%) and 80% of its words equal.
+    and items with equal hashes under a mask lie on one diagonal; along it, of
+    all stretches where 80% of the words are equal, the one with the most equal words
+    is found. It counts with at least 12 equal words (of short items 80%).
 
     Null and empty texts and items share nothing; repeated rows each give their
     rows. An empty table gives an empty result. The benchmark is a query set: it is

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,25 @@ def test_leaks(spark):
     assert decontamination.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def most_equal(same):
+    """The most equal words of any stretch of which 80% are equal."""
+    return max([sum(same[a:b]) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)], default=0)
+
+
+def test_leaks_take_any_stretch_of_a_diagonal():
+    rng = np.random.default_rng(11)
+    patterns = [[1] * 12 + [0, 1, 1, 1] * 20, [1, 0] + [1] * 11 + [0] * 17, [1] * 11 + [0, 1] + [0] * 17]
+    patterns += [(rng.random(int(n)) >= share).astype(int).tolist() for share in (0.1, 0.15, 0.2, 0.25) for n in rng.integers(15, 60, 60)]
+    for same in patterns:
+        item = [f"b{k}" for k in range(len(same))]
+        doc = " ".join(["lead"] + [w if s else f"other{k}" for k, (w, s) in enumerate(zip(item, same))])
+        begin, end, equal = decontamination._stretch(np.array(same, bool))
+        assert equal == most_equal(same) == sum(same[begin:end]) and 5 * equal >= 4 * (end - begin) and same[begin] and same[end - 1]
+        got = decontamination.Seeds([0], [" ".join(item)]).overlaps(pa.array([doc]))
+        seeded = any(all(s or x == "0" for s, x in zip(same[k:], m)) for m in decontamination.MASKS for k in range(len(same) - len(m) + 1))
+        assert got == ([(0, 0, equal, end - begin, begin + 1)] if seeded and equal >= 12 else [])
+
+
 def test_mix(spark):
     texts = ["w " * (k % 50) for k in range(600)] + [None, ""]
     docs = docs_of(spark, texts).withColumn("target", F.lit("clash"))
