@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import Words, mix, pieces, table
 
-#: Positions of a window that are hashed, 1, or ignored, 0.
-MASKS = ("111010010111", "11011000110101", "1100101011011", "11111111")
+#: Positions of a window that are hashed, 1, or ignored, 0. Every overlap that counts has four equal words in a row
+#: or, if no run is longer than three, two runs of two or three beside one differing word; so with an item of 6 words or
+#: more it has a window of one of these. Shorter items need the masks of their length, too.
+MASKS = ("1111", "11011")
+SHORT = {"1": 1, "11": 2, "111": 3, "10111": 5, "11101": 5}
+#: Of an overlap that counts, a part of at most 29 words counts; it lies so far before and after the start of its window.
+BEFORE, AFTER = 25, 29
+#: Windows that are compared with the benchmark at once, about.
+HITS = 200_000
 #: An overlap counts from so many equal words, or this share of a shorter item.
 MIN_WORDS, SHARE = 12, 0.8
 #: Words of an overlap that must be equal: so many of so many.
@@ -26,7 +33,7 @@ def _seeds(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     span, n = len(mask), len(words.start) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    out = np.full(n, len(mask), np.uint64)
+    out = np.full(n, int(mask, 2), np.uint64)
     for j, used in enumerate(mask):
         if used == "1":
             out = (out + words.hash[j : j + n]) * np.uint64(0xD6E8FEB86659FD93)
@@ -51,9 +58,16 @@ class Seeds:
     def __init__(self, ids: list, texts: list):
         self.ids = ids
         self.words = Words(pa.array(texts, pa.string()), lower=True)
+        length = np.diff(self.words.first)
+        self.need = np.array([min(MIN_WORDS, math.ceil(SHARE * n)) for n in length.tolist()], np.int64)
+        self.exact = self.need == length
+        self.masks = [*MASKS, *(m for m, n in SHORT.items() if n in length)]
         hashes, places = [], []
-        for mask in MASKS:
+        for mask in self.masks:
             at, h = _seeds(self.words, mask)
+            if mask in SHORT:
+                fits = length[self.words.row[at]] == SHORT[mask]
+                at, h = at[fits], h[fits]
             hashes.append(h)
             places.append(at)
         hashes, places = np.concatenate(hashes), np.concatenate(places)
@@ -62,22 +76,46 @@ class Seeds:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _likely(self, docs: Words, where: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which windows have as many equal words around them, on their diagonal, as an overlap with the item needs."""
+        row, item = docs.row[where], self.words.row[place]
+        lo = np.maximum(docs.first[row] - where, self.words.first[item] - place)
+        hi = np.minimum(docs.first[row + 1] - where, self.words.first[item + 1] - place)
+        equal = np.zeros(len(where), np.int64)
+        for k in range(-BEFORE, AFTER):
+            inside = np.flatnonzero((lo <= k) & (k < hi))
+            equal[inside] += docs.hash[where[inside] + k] == self.words.hash[place[inside] + k]
+        return equal >= self.need[item]
+
     def overlaps(self, column: pa.Array):
         """(row, item, equal words, words of the overlap, first word) of each overlap that counts, the best of each row and item."""
         docs = Words(column, lower=True)
         row, item, shift = [], [], []
-        for mask in MASKS:
+        for mask in self.masks:
             at, h = _seeds(docs, mask)
             near = self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
             at, h = at[near], h[near]
             lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            n = hi - lo
-            where = np.repeat(at, n)
-            place = self.place[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
-            row.append(docs.row[where])
-            item.append(self.words.row[place])
-            shift.append((where - docs.first[docs.row[where]]) - (place - self.words.first[self.words.row[place]]))
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            n = np.cumsum(hi - lo)
+            k = 0
+            while k < len(at):
+                to = max(k + 1, int(np.searchsorted(n, (n[k - 1] if k else 0) + HITS, "right")))
+                size = (hi - lo)[k:to]
+                where = np.repeat(at[k:to], size)
+                place = self.place[np.repeat(lo[k:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                good = self._likely(docs, where, place)
+                where, place = where[good], place[good]
+                row.append(docs.row[where])
+                item.append(self.words.row[place])
+                shift.append((where - docs.first[docs.row[where]]) - (place - self.words.first[self.words.row[place]]))
+                k = to
+        if not row:
+            return []
         found = np.unique(np.stack([np.concatenate(row), np.concatenate(item), np.concatenate(shift)]), axis=1)
+        first = np.ones(found.shape[1], bool)
+        first[1:] = (found[:2, 1:] != found[:2, :-1]).any(axis=0)
+        found = found[:, first | ~self.exact[found[1]]]  # an item that counts only whole is the same everywhere
         best: dict = {}
         for r, i, d in found.T.tolist():
             a0, a1 = docs.first[r], docs.first[r + 1]
@@ -85,7 +123,7 @@ class Seeds:
             lo, hi = max(0, -d), min(b1 - b0, a1 - a0 - d)
             same = docs.hash[a0 + d + lo : a0 + d + hi] == self.words.hash[b0 + lo : b0 + hi]
             begin, end, equal = _stretch(same)
-            if equal and equal >= min(MIN_WORDS, math.ceil(SHARE * (b1 - b0))):
+            if equal >= self.need[i]:
                 best[r, i] = max(best.get((r, i), (0, 0, 0)), (equal, end - begin, -int(d + lo + begin)))
         return [(r, i, e, n, -f) for (r, i), (e, n, f) in sorted(best.items())]
 
@@ -104,9 +142,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, equal_words, overlap_words, first_word, item_words): the best overlap of each document and item that share one.
 
     Words are split at white space and A-Z lower-cased. Seed windows of documents
-    and items with equal hashes under a mask lie on one diagonal; along it, of
+    and items with equal hashes under a mask lie on one diagonal, and every overlap
+    that counts has one, whatever the length of the item; along the diagonal, of
     all stretches where 80% of the words are equal, the one with the most equal words
-    is found. It counts with at least 12 equal words (of short items 80%).
+    is found. It counts with at least 12 equal words (of short items 80%, so one
+    of 1 to 4 words counts wherever it stands whole).
 
     Null and empty texts and items share nothing; repeated rows each give their
     rows. An empty table gives an empty result. The benchmark is a query set: it is

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -116,6 +117,24 @@ def test_leaks_take_any_stretch_of_a_diagonal():
         assert got == ([(0, 0, equal, end - begin, begin + 1)] if seeded and equal >= 12 else [])
 
 
+@pytest.mark.parametrize("n", [*range(1, 13), 15, 16, 20])
+def test_leaks_of_short_items(n):
+    item = [f"b{k}" for k in range(n)]
+    wrong = 4 if n > 12 else n
+    patterns = [[k not in off for k in range(n)] for m in range(wrong + 1) for off in itertools.combinations(range(n), m)]
+    docs = [" ".join(["lead"] + [w if s else f"other{k}" for k, (w, s) in enumerate(zip(item, same))] + ["tail"]) for same in patterns]
+    got = {r: e for r, _, e, _, _ in decontamination.Seeds([0], [" ".join(item)]).overlaps(pa.array(docs))}
+    need = min(12, -(-4 * n // 5))
+    most = {k: most_equal(same) for k, same in enumerate(patterns)}
+    assert got == {k: e for k, e in most.items() if e >= need} and 0 in got
+
+
+def test_leaks_of_several_short_items():
+    items = ["the", "of the", "The", "one two three four", "", None]
+    got = decontamination.Seeds(list(range(6)), items).overlaps(pa.array(["of the end of THE", "two three four", None, "one two three four five"]))
+    assert got == [(0, 0, 1, 1, 1), (0, 1, 2, 2, 0), (0, 2, 1, 1, 1), (3, 3, 4, 4, 0)]
+
+
 def test_mix(spark):
     texts = ["w " * (k % 50) for k in range(600)] + [None, ""]
     docs = docs_of(spark, texts).withColumn("target", F.lit("clash"))
