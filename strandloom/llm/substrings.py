@@ -17,6 +17,12 @@ WINDOW = 13
 ANCHOR = 5
 #: Segments that one automaton is compiled from, at most about so many.
 SHARD_SEGMENTS = 20_000
+#: An anchor with more different passages than this is left out of the automata; its windows are grouped one by one.
+HOT = 1_000
+#: Different characters; an automaton over more different words takes two for each.
+SYMBOLS = 1_112_063
+#: Stands for the owner of a window that only one document has.
+NONE = int(np.iinfo(np.int64).max)
 
 
 def _anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,15 +120,16 @@ def _automaton(window: int):
     """For a shard of passages: confirm the windows that recur, compile them, stream every passage through."""
 
     def located(group: pa.Table) -> pa.Table:
-        letters: dict[str, str] = {}
-        passages = []
-        for text in group.column("phrase").to_pylist():
-            passages.append("".join([letters.get(w) or letters.setdefault(w, _symbol(len(letters))) for w in text.split(" ")]))
+        numbers: dict[str, int] = {}
+        passages = [[numbers.setdefault(w, len(numbers)) for w in text.split(" ")] for text in group.column("phrase").to_pylist()]
+        wide = 1 if len(numbers) <= SYMBOLS else 2
+        letters = [_symbol(k) if wide == 1 else _symbol(k // SYMBOLS) + _symbol(k % SYMBOLS) for k in range(len(numbers))]
+        passages = ["".join([letters[k] for k in p]) for p in passages]
         low, high = group.column("least").to_pylist(), group.column("most").to_pylist()
         found: dict[str, tuple[int, int]] = {}
         for s, a, b in zip(passages, low, high, strict=True):
-            for k in range(len(s) - window + 1):
-                w = s[k : k + window]
+            for k in range(0, len(s) - window * wide + 1, wide):
+                w = s[k : k + window * wide]
                 was = found.get(w)
                 found[w] = (a, b) if was is None else (min(a, was[0]), max(b, was[1]))
         machine = ahocorasick.Automaton()
@@ -131,14 +138,14 @@ def _automaton(window: int):
                 machine.add_word(w, a)
         machine.make_automaton()
         keep, owners = [], []
-        none = np.iinfo(np.int64).max
         for k, s in enumerate(passages):
-            own = [none] * (len(s) - window + 1)
+            own = [NONE] * (len(s) // wide - window + 1)
             hit = False
             if len(machine):
                 for end, owner in machine.iter(s):
-                    own[end - window + 1] = owner
-                    hit = True
+                    if (end + 1) % wide == 0:  # not from the middle of a word
+                        own[(end + 1) // wide - window] = owner
+                        hit = True
             if hit:
                 keep.append(k)
                 owners.append(own)
@@ -148,6 +155,50 @@ def _automaton(window: int):
     return located
 
 
+def _windows(window: int):
+    """The windows of passages one by one, with their places and words."""
+
+    def made(batches):
+        for whole in batches:
+            for batch in pieces(whole, "phrase"):
+                for row in batch.to_pylist():
+                    words = row["phrase"].split(" ")
+                    for a in range(0, len(words) - window + 1, 20_000):
+                        k = list(range(a, min(a + 20_000, len(words) - window + 1)))
+                        same = [pa.array([row[c]] * len(k), pa.int64()) for c in ("anchor", "print", "least", "most")]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(k, pa.int32()), pa.array([" ".join(words[x : x + window]) for x in k])], ["anchor", "print", "least", "most", "k", "words"])
+
+    return made
+
+
+def _grouped(phrases: DataFrame, window: int) -> DataFrame:
+    """What the automata give, for passages of any number: windows are grouped by their words and brought back."""
+    windows = phrases.select("anchor", "print", "least", "most", "phrase").mapInArrow(_windows(window), "anchor long, print long, least long, most long, k int, words string")
+    owner = windows.groupBy("words").agg(F.min("least").alias("owner"), F.max("most").alias("_most")).where("owner < _most").select("words", "owner")
+    back = windows.select("anchor", "print", "k", "words").join(owner, "words", "left")
+    back = back.groupBy("anchor", "print").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("owner", F.lit(NONE)).alias("owner")))).alias("o"), F.count("owner").alias("_n"))
+    return back.where("_n > 0").select("anchor", "print", F.col("o.owner").alias("owners"))
+
+
+def _owners(passages: DataFrame, window: int) -> DataFrame:
+    """(anchor, print, owners) of the passages with windows of several documents: the smallest document of each window, or NONE."""
+    hot = passages.select("anchor", "print").distinct().groupBy("anchor").count().where(F.col("count") > HOT)
+    hot = hot.select("anchor").toArrow()  # a thousandth of the passages at most
+    some = hot.num_rows > 0
+    hot = F.broadcast(passages.sparkSession.createDataFrame(hot)) if some else None
+
+    def phrases(of: DataFrame) -> DataFrame:
+        return of.groupBy("anchor", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("phrase").alias("phrase"))
+
+    shards = max(1, passages.count() // SHARD_SEGMENTS)
+    rest = passages.join(hot, "anchor", "left_anti") if some else passages
+    rest = phrases(rest).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    owners = rest.groupBy("shard").applyInArrow(_automaton(window), "anchor long, print long, owners array<long>")
+    if some:
+        owners = owners.unionByName(_grouped(phrases(passages.join(hot, "anchor", "left_semi")), window))
+    return owners
+
+
 def _removed(window: int):
     def made(batches):
         for whole in batches:
@@ -197,7 +248,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
        least and greatest of their documents. There windows that stand in several
        documents are confirmed word by word and compiled to an Aho-Corasick automaton
        over words, and every passage is streamed through it, so that each occurrence
-       gets the smallest document of its window.
+       gets the smallest document of its window. Of an anchor with more than 1,000
+       different passages the windows are grouped by their words instead, so that no
+       task holds them all.
     3. Occurrences are brought back to their documents, and covered words removed.
 
     Null and empty texts: no words, the digest of nothing. Null doc_id: nothing is
@@ -219,16 +272,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     passages = passages.withColumn("print", F.xxhash64("phrase"))
     passages = scratch.save(passages)
     scratch.settle()
-    phrases = passages.groupBy("anchor", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("phrase").alias("phrase"))
-    shards = max(1, passages.count() // SHARD_SEGMENTS)
-    phrases = phrases.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    owners = phrases.groupBy("shard").applyInArrow(_automaton(window), "anchor long, print long, owners array<long>")
+    owners = _owners(passages, window)
     hits = passages.select("anchor", "print", "doc_id", "pos").join(owners, ["anchor", "print"])
     starts = F.filter(F.transform("owners", lambda x, k: F.when(x < F.col("doc_id"), F.col("pos") + k)), lambda x: x.isNotNull())
     hits = hits.select(F.col("doc_id").alias("first_id"), starts.alias("s")).where(F.size("s") > 0)
     cover = scratch.save(hits.groupBy("first_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
     scratch.drop(passages)
-    del phrases, owners, hits, passages
+    del owners, hits, passages
     scratch.settle()
     known = firsts.join(cover, "first_id", "left")
     out = docs.join(known, ["tid", "crc"], "left")

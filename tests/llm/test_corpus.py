@@ -83,6 +83,38 @@ def test_substrings_equal_brute_force(spark):
         assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_substrings_of_a_hot_anchor(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 5)
+    rng = np.random.default_rng(6)
+    say = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 4000, k))
+    line, shared = say(8), [say(9) for _ in range(4)]
+    texts = [" ".join([say(5), shared[k % 4] if k % 3 else say(9), line, shared[(k + 1) % 4] if k % 2 else say(9)]) for k in range(40)] + ["x " * 500, "x " * 300 + line]
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs_of(spark, texts)).collect()}
+    first, lost = {}, 0
+    for k, t in enumerate(texts):
+        w = t.split()
+        gone = set()
+        for j in range(len(w) - 12):
+            if first.setdefault(tuple(w[j : j + 13]), k) < k:
+                gone |= set(range(j, j + 13))
+        lost += len(gone)
+        assert got[k].kept_text == " ".join(x for j, x in enumerate(w) if j not in gone)
+    assert lost > 300
+
+
+def test_automaton_of_more_words_than_characters(monkeypatch):
+    rng = np.random.default_rng(8)
+    phrases = [" ".join(f"w{x}" for x in rng.integers(0, 12, 30)) for _ in range(40)]
+    group = pa.table({"anchor": [0] * 40, "print": list(range(40)), "phrase": phrases, "least": list(range(40)), "most": list(range(40))})
+    one = substrings._automaton(3)(group).to_pylist()
+    monkeypatch.setattr(substrings, "SYMBOLS", 5)
+    assert one and substrings._automaton(3)(group).to_pylist() == one
+    monkeypatch.undo()
+    many = " ".join(f"w{x}" for x in range(1_112_070))
+    group = pa.table({"anchor": [0] * 2, "print": [0, 1], "phrase": [many, "a b " + many[-40:]], "least": [0, 1], "most": [0, 1]})
+    assert [r["print"] for r in substrings._automaton(3)(group).to_pylist()] == [0, 1]
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(1)
     items = [" ".join(f"b{x}" for x in rng.integers(0, 900, n)) for n in (14, 30, 60)]
