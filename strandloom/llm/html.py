@@ -126,6 +126,12 @@ class _Blocks(HTMLParser):
             if tag in INLINE and self.stack[k][0] not in INLINE:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # not a section that is known: a comment up to the next >
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data):
         if self.stack[-1][2]:
             return
@@ -142,11 +148,8 @@ class _Blocks(HTMLParser):
 
 def blocks_of(html: str) -> list[tuple[str, float, int]]:
     parser = _Blocks()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):  # a broken declaration; what was read so far counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.flush()
     return parser.blocks
 

@@ -234,6 +234,15 @@ def test_html():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>Menu</nav>") == ""
 
 
+def test_html_goes_on_after_unknown_declarations():
+    for odd in ("<![foo]>", "<![ x]>", "array<![0']>", "<![>", "<![if !IE]>", "<![endif]>", "<!x>"):
+        assert [t for t, *_ in html.blocks_of(f"<p>one</p>{odd}<p>two</p>")][-1] == "two"
+    rng = np.random.default_rng(9)
+    parts = ["<![", "<!", "[", "]", "]]>", ">", "<", "</", "<?", "--", "<!--", "cdata[", "if", " ", "x", "&#", "&#x110000;", "&", "<p>", "<a href='", "=", "\"", "\0"]
+    for _ in range(3000):
+        html.main_text("".join(rng.choice(parts, 12)))
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(5)
     for _ in range(40):
