@@ -107,7 +107,7 @@ def _segments(window: int, anchor: int):
                 for k in range(0, len(lo), 50_000):
                     a, b = lo[k : k + 50_000], hi[k : k + 50_000]
                     r = words.row[a]
-                    yield pa.RecordBatch.from_arrays([pa.array(low[good[first[k : k + 50_000]]]), pa.array(np.asarray(batch.column("doc_id"))[r]), pa.array((a - words.first[r]).astype(np.int32)), _slices(data, begin[a], end[b])], ["anchor", "doc_id", "pos", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array(low[good[first[k : k + 50_000]]]), pa.array(np.asarray(batch.column("doc_id"))[r]), pa.array((a - words.first[r]).astype(np.int32)), _slices(data, begin[a], end[b]), *(pa.array(np.asarray(batch.column(c))[r]) for c in ("tid", "crc"))], ["anchor", "doc_id", "pos", "phrase", "tid", "crc"])
 
     return made
 
@@ -268,19 +268,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     flags = scratch.save(flags.join(firsts, "tid").select("tid", "crc", "first_id", "anchors"))
     del filed, shared
     scratch.settle()
-    passages = able.join(flags, ["tid", "crc"]).where("doc_id = first_id").mapInArrow(_segments(window, anchor), "anchor long, doc_id long, pos int, phrase string")
+    passages = able.join(flags, ["tid", "crc"]).where("doc_id = first_id").mapInArrow(_segments(window, anchor), "anchor long, doc_id long, pos int, phrase string, tid long, crc long")
     passages = passages.withColumn("print", F.xxhash64("phrase"))
     passages = scratch.save(passages)
     scratch.settle()
     owners = _owners(passages, window)
-    hits = passages.select("anchor", "print", "doc_id", "pos").join(owners, ["anchor", "print"])
+    hits = passages.select("anchor", "print", "doc_id", "pos", "tid", "crc").join(owners, ["anchor", "print"])
     starts = F.filter(F.transform("owners", lambda x, k: F.when(x < F.col("doc_id"), F.col("pos") + k)), lambda x: x.isNotNull())
-    hits = hits.select(F.col("doc_id").alias("first_id"), starts.alias("s")).where(F.size("s") > 0)
-    cover = scratch.save(hits.groupBy("first_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
+    hits = hits.select("tid", "crc", starts.alias("s")).where(F.size("s") > 0)
+    cover = scratch.save(hits.groupBy("tid", "crc").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
     scratch.drop(passages)
     del owners, hits, passages
     scratch.settle()
-    known = firsts.join(cover, "first_id", "left")
+    known = firsts.join(cover, ["tid", "crc"], "left")
     out = docs.join(known, ["tid", "crc"], "left")
     out = out.select("doc_id", "text", F.when(F.col("doc_id") == F.col("first_id"), F.col("starts")).alias("starts"), (F.col("doc_id") > F.col("first_id")).alias("copied"))
     return out.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

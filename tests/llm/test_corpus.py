@@ -102,6 +102,13 @@ def test_substrings_of_a_hot_anchor(spark, monkeypatch):
     assert lost > 300
 
 
+def test_substrings_of_texts_with_one_id(spark):
+    shared = " ".join(f"s{k}" for k in range(15))
+    rows = [(0, shared), (5, "a b c " + shared + " d"), (5, " ".join(f"t{k}" for k in range(14)))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(0, 15, 0), (5, 14, 0), (5, 19, 15)]
+
+
 def test_automaton_of_more_words_than_characters(monkeypatch):
     rng = np.random.default_rng(8)
     phrases = [" ".join(f"w{x}" for x in rng.integers(0, 12, 30)) for _ in range(40)]
