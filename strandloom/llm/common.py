@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,44 +27,63 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Deletes the shuffle files of a query when the query has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests in local mode) a temporary folder is used.
+    Only a session in local mode may name none; it gets a temporary folder that goes
+    with the process. Tables that a result still reads stay in the shared folder.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="strandloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = f"file://{folder}"
         self.root = f"{root}/strandloom-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and return the written table; this cuts the lineage."""
+        """Write ``df`` once and return the written table; this cuts the lineage, and shuffle files go with the write."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete a table that ``save`` wrote and nothing will read again."""
-        path = self.paths.pop(id(df), None) if df is not None else None
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-    def settle(self) -> None:
-        """Let Spark delete the shuffle files of steps whose results are written and whose frames are gone."""
-        for _ in range(2):  # the first lets go of the frames, the second of what only they held
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that ``save`` wrote and nothing will read again."""
+        jvm = self.spark.sparkContext._jvm
+        for df in tables:
+            path = getattr(df, "scratch_path", None)
+            if path:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(columns, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that stand in no table with ``columns``, whatever the case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 # --- words of a packed Arrow column -----------------------------------------

@@ -43,12 +43,9 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         right = flat.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         rest = live.join(left, "u").join(right, "v").where("pu <> pv")
         rest = scratch.save(rest.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-        for old in (up, flat, label, live):
-            scratch.drop(old)
+        scratch.drop(up, flat, label, live)
         label, live = moved, rest
     least = label.groupBy("at").agg(F.min("node").alias("component_id"))
     out = scratch.save(label.join(least, "at").select("node", "component_id"))
-    scratch.drop(label)
-    scratch.drop(live)
-    scratch.drop(raw)
+    scratch.drop(label, live, raw)
     return out

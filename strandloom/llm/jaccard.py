@@ -7,14 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, Words, bounds, mix, pieces, table
+from strandloom.llm.common import Scratch, Words, fresh, mix, pieces, table
 from strandloom.llm.components import components
 
 GRAM, PERCENT = 4, 85
-#: Size bands of the first regions grow by this factor.
-BAND = 1.5
-#: Parts, by hash of shingle or point, in which shingles of open regions are counted and placed: disk holds the shuffle of one.
-PARTS = 4
+#: Shingles that are asked first whether another document has them: this many times the share that linked sets may lack...
+ASKED = 1.6
+#: ...and of a small set so many at least, about.
+ASKED_LEAST = 24
+#: Parts, by hash of shingle or point, in which shingles of open points are counted and placed: disk holds the shuffle of one.
+PARTS = 2
 _U = np.uint64
 _EPS = 1e-9
 
@@ -58,90 +60,44 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _band_edges(most: int) -> list[int]:
-    edges = [1]
-    while edges[-1] <= most:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
-    return edges
+def _ceiling(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles are asked whose spread hash, as a share of all hashes, is below this; it falls as sets grow."""
+    return np.maximum(min(1.0, ASKED * (100 - percent) / 100), np.minimum(1.0, ASKED_LEAST / np.maximum(n, 1)))
 
 
-def _classes(lo: int, d: int) -> int:
-    """M for sets of ``lo`` elements and more: so many that few sets leave over M - D - 1 classes without elements."""
-    m = d + 1 + (d // 20 + 2 if d else 0)
-    while d:
-        empty = m * np.exp(-lo / m)
-        if empty + 2 * np.sqrt(empty) <= m - d - 1 or m > 2 * d + 8:
-            break
-        m += 1
-    return m
+class Asked:
+    """Which shingles of each set are named (``named``) and which of these decide about the set (``deciding``).
 
+    Every set of a size that linked ones can have names what decides about this one.
+    """
 
-def _slices(percent: int) -> int:
-    """Parts into which signatures are dealt by hash, one at a time: signatures of an element grow with (100 - percent) / percent."""
-    return -(-100 * (100 - percent) // (18 * percent))
-
+    def __init__(self, sets: Sets, percent: int):
+        share = mix(sets.id + _U(77)).astype(np.float64) / 2.0**64
+        self.named = share < _ceiling(sets.n, percent)[sets.row]
+        self.deciding = share < _ceiling(sets.n * 100 // percent + 1, percent)[sets.row]
+        self.count = np.bincount(sets.row[self.deciding], minlength=len(sets.n))
 
-def nominations(sets: Sets, percent: int):
-    """(signature, node) by which documents meet: any two within the threshold have a signature in common.
 
-    Sizes of a linked pair differ by the factor of the threshold at most, so they
-    meet in the size band of the smaller one; a document is replicated to the bands
-    below its own that this window reaches. In a band whose smaller sets have at
-    most s elements, linked sets differ in at most D = s * (100 - percent) / percent
-    elements. Elements fall to M > D classes by hash, so some class is equal in
-    both; its contents are the signature. Classes without elements sign nothing:
-    with more than M - D - 1 of these in both sets, the sets also sign with the
-    single elements of a prefix, one of which linked sets share.
-    """
-    if not len(sets.id):
-        return
-    edges = _band_edges(int(sets.n.max()))
-    lowest = -(-sets.n * percent // 100)
-    spread = mix(sets.id + _U(77))
-    for b in range(len(edges) - 1):
-        lo, hi = edges[b], edges[b + 1]
-        chosen = (sets.n >= lo) & (lowest < hi)
-        if not chosen.any():
-            continue
-        d = (hi - 1) * (100 - percent) // percent
-        m = _classes(lo, d)
-        use = chosen[sets.row]
-        row, value = sets.row[use], spread[use]
-        kind = (mix(value ^ _U(b + 1)) % _U(m)).astype(np.int64)
-        order = np.argsort(row * m + kind, kind="stable")
-        key = (row * m + kind)[order]
-        edge = bounds(key)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)))
-        content = total[edge[1:]] - total[edge[:-1]]
-        key = key[edge[:-1]]
-        yield mix(mix(content) + (key % m).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(b)), sets.node[key // m]
-        signed = np.bincount(key // m, minlength=len(sets.n))
-        odd = np.flatnonzero(chosen & (m - signed > m - d - 1))
-        for r in odd.tolist():
-            own = np.sort(spread[sets.first[r] : sets.first[r + 1]])
-            prefix = own[: len(own) - int(lowest[r]) + 1]
-            yield mix(prefix ^ _U(0xA5A5A5A5A5A5A5A5 + b)), np.full(len(prefix), sets.node[r])
-
-
-def _slim(gram: int):
+def _slim(gram: int, percent: int):
     def made(batches):
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = Sets(batch.column("text"), gram)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.n), pa.array(sets.node)], ["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.n), pa.array(sets.node), pa.array(Asked(sets, percent).count)], ["doc_id", "n", "node", "asked"])
 
     return made
 
 
-def _signed(gram: int, percent: int, part: int, parts: int):
+def _named(gram: int, percent: int, deciding: bool):
+    """(key, node) of the shingles that are named, or of those that decide."""
+
     def made(batches):
         for whole in batches:
             for batch in pieces(whole, "text"):
-                for signature, node in nominations(Sets(batch.column("text"), gram), percent):
-                    if parts > 1:
-                        own = signature % _U(parts) == part
-                        signature, node = signature[own], node[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(signature.astype(np.int64)), pa.array(node)], ["sig", "node"])
+                sets = Sets(batch.column("text"), gram)
+                asked = Asked(sets, percent)
+                use = asked.deciding if deciding else asked.named
+                yield pa.RecordBatch.from_arrays([pa.array(sets.id[use].astype(np.int64)), pa.array(sets.node[sets.row[use]])], ["key", "node"])
 
     return made
 
@@ -153,7 +109,7 @@ def _sets_of(gram: int):
                 sets = Sets(batch.column("text"), gram)
                 want = np.asarray(batch.column("want"))
                 for r in np.flatnonzero(sets.node == want).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(want[r])]), pa.array([sets.packed(r)], pa.binary())], ["node", "items"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(want[r])]), pa.array([int(sets.n[r])]), pa.array([sets.packed(r)], pa.binary())], ["node", "n", "items"])
 
     return made
 
@@ -201,36 +157,42 @@ def _exploded(part: int, parts: int):
     return made
 
 
-def _rare_first(items: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _rare_first(items: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(node, key, n, place, weight): the shared shingles among each point's first ones, rarest first, with size, place and how central the point is.
 
     Counts are taken over all points in ``PARTS`` parts of the shingles, places in
     as many parts of the points; the parts only bound the disk in use at a time.
     """
-    counted, out = [], None
+    counted, out = [], []
     for part in range(PARTS):
         each = items.select("node", "items").mapInArrow(_exploded(part, PARTS), "node long, key long")
-        common = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        common = scratch.save(each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
         counted.append(scratch.save(each.join(common, "key").select("node", "key", "df")))
-        del each, common
-        scratch.settle()
+        scratch.drop(common)
     own = Window.partitionBy("node")
     place = F.row_number().over(own.orderBy("df", "key")) + F.col("n") - F.count("*").over(own)
+    shared = _union(counted)
     for part in range(PARTS):
-        each = counted[0]
-        for more in counted[1:]:
-            each = each.unionByName(more)
-        each = each.where(F.pmod("node", F.lit(PARTS)) == part).join(nodes.select("node", "n"), "node")
+        each = shared.where(F.pmod("node", F.lit(PARTS)) == part).join(items.select("node", "n"), "node")
         each = each.select("node", "key", "n", place.alias("place"), (F.sum("df").over(own) / F.col("n")).alias("weight"))
-        got = scratch.save(each.where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1))
-        out = got if out is None else out.unionByName(got)
-        del each, got
-        scratch.settle()
-    for old in counted:
-        scratch.drop(old)
+        out.append(scratch.save(each.where(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1)))
+    scratch.drop(*counted)
+    return _union(out)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
     return out
 
 
+def _regions(places: DataFrame) -> DataFrame:
+    """(key, pivot): the regions, of those with the same points one, under their first shingle; the pivot is the most central point."""
+    of = places.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"), F.count("*").alias("_n"), F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+    return of.where("_n > 1").groupBy("_x", "_y", "_n").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")).select("key", "pivot")
+
+
 def _inner_pairs(last: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that meet in an inner region and can be linked.
 
@@ -256,125 +218,118 @@ def labelled(points: DataFrame, group: DataFrame) -> DataFrame:
     return points.join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
 
 
+def _open(docs: DataFrame, nodes: DataFrame, gram: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The points that may be linked: enough of their shingles, of those chosen by hash, stand in another set, too.
+
+    A linked set lacks at most n - ceil(n * percent / 100) of the other's n shingles, so
+    no more of those asked may be without a second set.
+    """
+    named = docs.mapInArrow(_named(gram, percent, False), "key long, node long")
+    shared = named.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("key")
+    shared = scratch.save(shared)
+    asked = docs.mapInArrow(_named(gram, percent, True), "key long, node long")
+    # each row of documents with this set has named its shingles
+    count = scratch.save(asked.join(shared, "key").groupBy("node").agg(F.count("*").alias("found")))
+    found = F.coalesce(F.col("found"), F.lit(0)) / F.col("rows")
+    enough = F.col("asked") - (F.col("n") - F.expr(f"(n * {percent} + 99) div 100"))
+    out = scratch.save(nodes.join(count, "node", "left").where(found >= enough).select("node", "doc_id"))
+    scratch.drop(shared, count)
+    return out
+
+
 def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; linked: 100 * intersection >= percent * union.
 
     The join works on distinct sets; equal sets are one point with many documents.
 
-    1. Pivots. Points that share a signature (see ``nominations``) elect the one with
-       the least hash as a pivot of all of them. The region of a pivot holds every
-       point that elected it, so two linked points have a region in common; a
-       point's home is the region of its nearest pivot, and it is replicated to the
-       other regions it can't be kept out of.
-    2. Exact distances from points to their pivots. A point within the radius of its
-       pivot is linked with it. Points of a region that are in one component need no
-       further look.
-    3. Recursion. The points of regions that still hold several components are
-       divided anew: shingles are ordered by how few of these points have them, and
-       a point belongs to the inner regions of its first shingles (of a length that
-       linked points must share one). An inner region's pivot is its most central
-       point. A point with many shingles of its own falls out, whatever the size of
-       its region.
-    4. In inner regions that hold several components, points outside the pivot's
-       component are compared with those of other components inside the window of
-       the triangle inequality: distances of linked points to the pivot differ by
-       at most the radius. The places of the shared shingle bound the overlap; pairs
-       below the threshold by this bound don't meet. Nothing is left out, so links are exact but for
-       collisions of 48-bit shingles in a pair and of 64-bit digests of sets.
+    1. Far points. A point none of whose pivots could be nearer than the threshold needs
+       no region: linked points have most shingles in common, so of a choice of
+       shingles by hash enough must stand in a second set. Most points end here.
+    2. Regions. Shingles are ordered by how few of the open points have them, and a
+       point is replicated to the regions of its first shingles, of a length that
+       linked points must share one. Regions with the same points are one. A region's
+       pivot is its most central point.
+    3. Exact distances from points to their pivots. A point within the radius of its
+       pivot is linked with it, so a region whose points are in one component is done.
+    4. In the others, points outside the pivot's component are compared with those of
+       other components inside the window of the triangle inequality: distances of
+       linked points to the pivot differ by at most the radius. The places of the
+       shared shingle bound the overlap; pairs below the threshold by this bound don't
+       meet. Nothing is left out, so links are exact but for collisions of 48-bit
+       shingles in a pair and of 64-bit digests of sets.
 
     Words are split at white space, A-Z lower-cased. Null and empty texts: no
     shingles, linked with nothing, component_id their own doc_id. Fewer words than
     gram: the whole sequence is one shingle. Null doc_id: n_shingles is given,
-    component_id is null, links with nothing. Repeated rows are equal sets. An empty
-    table gives an empty result. Other columns are left out.
+    component_id is null, links with nothing. Rows with one doc_id and different texts
+    are looked at each by itself. Repeated rows are equal sets. An empty table gives an
+    empty result. Other columns are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    slim = scratch.save(docs.mapInArrow(_slim(gram), "doc_id long, n long, node long"))
+    able = docs.where("doc_id is not null")
+    slim = scratch.save(docs.mapInArrow(_slim(gram, percent), "doc_id long, n long, node long, asked long"))
     named = slim.where("n > 0 and doc_id is not null")
-    nodes = scratch.save(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    parts, dealt = _slices(percent), []
-    for part in range(parts):
-        signed = docs.where("doc_id is not null").mapInArrow(_signed(gram, percent, part, parts), "sig long, node long")
-        elected = signed.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).where("pivot <> _top").select("sig", "pivot")
-        dealt.append(scratch.save(signed.join(elected, "sig").where("node <> pivot").select("node", "pivot").distinct()))
-        del signed, elected
-        scratch.settle()  # disk holds the shuffle of one part at a time
-    met = dealt[0]
-    if parts > 1:
-        for more in dealt[1:]:
-            met = met.unionByName(more)
-        met = scratch.save(met.distinct())
-        for old in dealt:
-            scratch.drop(old)
-    del dealt
-    size = nodes.select(F.col("node").alias("_node"), F.col("n").alias("_n"))
-
-    def sized(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        """Pairs whose sizes are within the window."""
-        pairs = pairs.join(size, pairs[a] == size["_node"]).withColumnRenamed("_n", "na").drop("_node")
-        pairs = pairs.join(size, pairs[b] == size["_node"]).withColumnRenamed("_n", "nb").drop("_node")
-        return pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).drop("na", "nb")
-
-    involved = met.select(F.explode(F.array("node", "pivot")).alias("want")).distinct()
-    owners = nodes.join(involved, nodes["node"] == involved["want"]).select(F.col("doc_id").alias("_id"), "want")
-    texts = docs.join(owners, docs["doc_id"] == owners["_id"]).select("want", "text")
-    items = scratch.save(texts.mapInArrow(_batched(_sets_of(gram)), "node long, items binary"))
-    if items.count() > items.select("node").distinct().count():  # rows that are repeated
-        items = scratch.save(items.groupBy("node").agg(F.first("items").alias("items")))
-    scratch.settle()
+    nodes = scratch.save(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("asked").alias("asked"), F.count("*").alias("rows")))
+    open_ = _open(able, nodes, gram, percent, scratch)
+    owners = open_.select(F.col("doc_id").alias("_id"), F.col("node").alias("want"))
+    texts = able.join(owners, docs["doc_id"] == owners["_id"]).select("want", "text")
+    items = scratch.save(texts.mapInArrow(_batched(_sets_of(gram)), "node long, n long, items binary"))
+    if items.count() > open_.count():  # rows that are repeated
+        items = scratch.save(items.groupBy("node").agg(F.first("n").alias("n"), F.first("items").alias("items")))
+    places = _rare_first(items, percent, scratch)
+    members = scratch.save(places.join(scratch.save(_regions(places)), "key").select("key", "node", "pivot", "n", "place"))
+    size = items.select(F.col("node").alias("pivot"), F.col("n").alias("np"))
 
     def measured(pairs: DataFrame) -> DataFrame:
         """a, b, d, linked of pairs of nodes."""
         left = items.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = items.select(F.col("node").alias("b"), F.col("items").alias("y"))
         got = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_distances, "a long, b long, shared long, whole long")
-        got = got.select("a", "b", (F.lit(1.0) - F.col("shared") / F.col("whole")).alias("d"), (F.col("shared") * 100 >= F.col("whole") * percent).alias("linked"))
-        out = scratch.save(got)
-        scratch.settle()
-        return out
+        return scratch.save(got.select("a", "b", (F.lit(1.0) - F.col("shared") / F.col("whole")).alias("d"), (F.col("shared") * 100 >= F.col("whole") * percent).alias("linked")))
 
-    near = measured(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    pairs = members.where("node <> pivot").select("node", "n", "pivot").distinct().join(size, "pivot")
+    pairs = pairs.where(F.least("n", "np") * 100 >= F.greatest("n", "np") * percent)
+    near = measured(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     links = near.where("linked").select("a", "b")
     group = components(links, scratch)
-    regions = near.select(F.col("b").alias("region"), F.col("a").alias("member"))
-    regions = regions.unionByName(regions.select("region", F.col("region").alias("member")).distinct())
-    split = labelled(regions, group).groupBy("region").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
-    open_ = scratch.save(regions.join(split, "region").select(F.col("member").alias("node")).distinct())
-    if open_.limit(1).count():
-        inner = _rare_first(items.join(open_, "node"), nodes, percent, scratch)
-        elected = inner.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"), F.count("*").alias("_n")).where("_n > 1")
-        inner = scratch.save(inner.join(elected, "key").select("key", "node", "pivot", "n", "place"))
-        pairs = inner.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = measured(sized(pairs, "a", "b"))
-        links = links.unionByName(near.where("linked").select("a", "b"))
-        group = components(links, scratch)
-        last = labelled(inner.withColumnRenamed("node", "member"), group).withColumnRenamed("label", "l")
-        last = last.join(group.select(F.col("node").alias("pivot"), F.col("component_id").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-        last = last.join(near.select(F.col("a").alias("member"), F.col("b").alias("pivot"), "d"), ["member", "pivot"], "left")
-        d = F.when(F.col("member") == F.col("pivot"), 0.0).otherwise(F.col("d"))  # null: sizes out of the pivot's window
-        last = scratch.save(last.select("key", "member", "main", "l", "n", "place", d.alias("d")))
-        pairs = _inner_pairs(last, percent)
-        fresh = measured(pairs)
-        links = links.unionByName(fresh.where("linked").select("a", "b"))
-        group = components(links, scratch)
-    owner = nodes.select(F.col("node"), F.col("doc_id").alias("_id"))
-    root = group.select("node", "component_id").join(owner, "node")
-    least = root.groupBy("component_id").agg(F.min("_id").alias("least"))
-    root = root.join(least, "component_id").select("node", "least")
-    final = nodes.join(root, "node", "left").select("node", F.coalesce("least", "doc_id").alias("least"))
+    label = group.select(F.col("node").alias("member"), F.col("component_id").alias("l"))
+    main = group.select(F.col("node").alias("pivot"), F.col("component_id").alias("main"))
+    far = near.select(F.col("a").alias("member"), F.col("b").alias("pivot"), "d")  # no row: sizes out of the pivot's window
+    d = F.when(F.col("member") == F.col("pivot"), 0.0).otherwise(F.col("d"))
+    last = members.withColumnRenamed("node", "member").join(label, "member", "left").join(main, "pivot", "left").join(far, ["member", "pivot"], "left")
+    last = scratch.save(last.select("key", "member", F.coalesce("main", "pivot").alias("main"), F.coalesce("l", "member").alias("l"), "n", "place", d.alias("d")))
+    scratch.drop(members)
+    undone = last.where("l <> main").select("key").distinct()
+    rest = scratch.save(last.join(undone, "key", "left_semi"))
+    more = measured(scratch.save(_inner_pairs(rest, percent))).where("linked").select("a", "b")
+    # the links of both steps between components, named by their least node
+    ends = more.join(label.select(F.col("member").alias("a"), F.col("l").alias("la")), "a", "left").join(label.select(F.col("member").alias("b"), F.col("l").alias("lb")), "b", "left")
+    joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), scratch)
+    joined = joined.select(F.col("node").alias("l"), F.col("component_id").alias("top"))
+    root = nodes.select("node", "doc_id").join(label.withColumnRenamed("member", "node"), "node", "left").select("node", "doc_id", F.coalesce("l", "node").alias("l"))
+    root = root.join(joined, "l", "left").select("node", "doc_id", F.coalesce("top", "l").alias("top"))
+    least = root.groupBy("top").agg(F.min("doc_id").alias("least"))
+    final = scratch.save(root.join(least, "top").select("node", "least"))
     out = slim.join(final, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each group of linked documents, that with the smallest doc_id; rows without id or words stay."""
-    columns = docs.columns
-    kept = join(docs, gram, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.join(kept, docs["doc_id"] == kept["_id"], "left")
-    return marked.where("_id is not null or doc_id is null").select(columns)
+    """One row of ``docs`` for each group of linked documents, that with the smallest doc_id, with all its columns.
+
+    Rows without doc_id stay, and so do rows without words, null and empty texts. Of
+    rows with the same doc_id and text one stays. Texts of any length are compared as
+    a whole. An empty table gives an empty result. Columns may have any names.
+    """
+    own, one = fresh(docs.columns, "_own", "_one")
+    kept = join(docs, gram, percent).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept[own], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
+    named = named.withColumn(one, first).where(F.col(one) == 1).drop(one)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):

@@ -267,11 +267,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     flags = filed.join(shared, "anchor").groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
     flags = scratch.save(flags.join(firsts, "tid").select("tid", "crc", "first_id", "anchors"))
     del filed, shared
-    scratch.settle()
     passages = able.join(flags, ["tid", "crc"]).where("doc_id = first_id").mapInArrow(_segments(window, anchor), "anchor long, doc_id long, pos int, phrase string, tid long, crc long")
     passages = passages.withColumn("print", F.xxhash64("phrase"))
     passages = scratch.save(passages)
-    scratch.settle()
     owners = _owners(passages, window)
     hits = passages.select("anchor", "print", "doc_id", "pos", "tid", "crc").join(owners, ["anchor", "print"])
     starts = F.filter(F.transform("owners", lambda x, k: F.when(x < F.col("doc_id"), F.col("pos") + k)), lambda x: x.isNotNull())
@@ -279,7 +277,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     cover = scratch.save(hits.groupBy("tid", "crc").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
     scratch.drop(passages)
     del owners, hits, passages
-    scratch.settle()
     known = firsts.join(cover, ["tid", "crc"], "left")
     out = docs.join(known, ["tid", "crc"], "left")
     out = out.select("doc_id", "text", F.when(F.col("doc_id") == F.col("first_id"), F.col("starts")).alias("starts"), (F.col("doc_id") > F.col("first_id")).alias("copied"))
