@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat, decontamination, embeddings, html, jaccard, language, mixing, quality, sharding, substrings
+from strandloom.llm import chat, decontamination, embeddings, jaccard, language, mixing, quality, sharding, substrings
 from strandloom.llm.components import components
 from strandloom.llm.common import Scratch
 
@@ -230,37 +230,6 @@ def test_language(spark):
     assert language.identify(pages, spark.createDataFrame([], DOC)).where("lang is not null").count() == 0
 
 
-PAGE = """<html><head><title>T</title><style>p{}</style><body><nav><ul><li><a href=/>Home</a></li><li><a href=/x>About</a></ul></nav>
-<div class="cookie-notice">We use cookies</div><header>Site name</header><article><h1>Title &amp; more</h1><p>First
- paragraph of <b>text</b> with some words.<p>Short.<div class="ad">Buy now this thing</div><p>Last paragraph &#8212; here it ends.</article>
-<aside>Read also</aside><section id="comments"><p>I think this is a very good article indeed, thanks.</p></section><form>Name <input></form><footer>(c) us</footer><script>x="</p>"</script>"""
-
-
-def test_html():
-    assert html.main_text(PAGE) == "Title & more\nFirst paragraph of text with some words.\nShort.\nLast paragraph — here it ends."
-    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>Menu</nav>") == ""
-
-
-def test_html_goes_on_after_unknown_declarations():
-    for odd in ("<![foo]>", "<![ x]>", "array<![0']>", "<![>", "<![if !IE]>", "<![endif]>", "<!x>"):
-        assert [t for t, *_ in html.blocks_of(f"<p>one</p>{odd}<p>two</p>")][-1] == "two"
-    rng = np.random.default_rng(9)
-    parts = ["<![", "<!", "[", "]", "]]>", ">", "<", "</", "<?", "--", "<!--", "cdata[", "if", " ", "x", "&#", "&#x110000;", "&", "<p>", "<a href='", "=", "\"", "\0"]
-    for _ in range(3000):
-        html.main_text("".join(rng.choice(parts, 12)))
-
-
-def test_minimum_cut_is_minimal():
-    rng = np.random.default_rng(5)
-    for _ in range(40):
-        n = 7
-        unary = rng.normal(size=n).tolist()
-        edges = [(int(a), int(b), float(abs(rng.normal()))) for a, b in rng.integers(0, n, (9, 2)) if a != b]
-        cost = lambda keep: sum(max(u, 0) if not k else max(-u, 0) for u, k in zip(unary, keep)) + sum(c for a, b, c in edges if keep[a] != keep[b])
-        best = min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
-        assert cost(html.minimum_cut(list(unary), edges)) == pytest.approx(best)
-
-
 def test_chat_is_least_cost_and_independent_of_spans(spark):
     rng = np.random.default_rng(2)
     roles = ["user", "assistant", "system", "human", None, "tool"]
