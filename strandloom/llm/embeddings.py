@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, bounds, table
+from strandloom.llm.common import Scratch, table
 from strandloom.llm.components import components
 
 THRESHOLD = 0.9
@@ -73,9 +73,9 @@ def _verify(threshold: float):
         rep, m = table.column("rep").to_numpy(), table.column("m").to_numpy()
         lst, i, j, mine = (table.column(c).to_numpy() for c in ("list", "i", "j", "mine"))
         order = np.lexsort((rep, j, i, lst))
-        unit = lst[order] * 1_000_003 + i[order].astype(np.int64) * 1009 + j[order]
+        unit = np.stack([lst, i, j], 1)[order]
         out_a, out_b = [], []
-        edge = bounds(unit)
+        edge = np.concatenate(([0], np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1, [len(unit)]))
         vectors, nears = table.column("v").combine_chunks(), table.column("near").combine_chunks()
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             if hi - lo < 2:
@@ -124,13 +124,16 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX)
     shared pair alone counts them. The cosine, in double precision, decides. Lists
     of any length are compared whole, in pairs of blocks. The index is approximate:
     a linked pair that shares fewer than two reference points is missed (recall is
-    measured in the tests). No pair below the threshold is linked.
+    measured in the tests). No pair below the threshold is linked. The reference points
+    are a sample by hash of the vectors of each length; a length with fewer than 16 sampled
+    vectors gets random points instead, which differ in recall alone.
 
     Null, empty and zero vectors and vectors with null or non-finite components
     link with nothing, not even with their copies: n_links 0, component_id their
     own vec_id, kept. Vectors of different lengths never link. Rows with a null
     vec_id link with nothing and have a null component_id. Repeated rows count as
-    copies. An empty table gives an empty result. Other columns are left out.
+    copies; rows with one vec_id and different vectors are looked at each by itself.
+    Vectors are told apart by a digest of 64 bits. An empty table gives an empty result. Other columns are left out.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -138,15 +141,14 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX)
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", odd) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(17), "v"))
-    rows = scratch.save(rows)
-    reps = rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    reps = scratch.save(reps)
-    first = rows.where("good").select(F.col("vec_id").alias("rep"), "k1", "k2", "v").join(reps, ["rep", "k1", "k2"]).dropDuplicates(["rep"]).select("rep", "m", "v")
-    first = scratch.save(first)
+    narrow = rows.select("vec_id", "good", "k1", "k2")
+    reps = rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("m"), F.first("v").alias("v"))
+    first = scratch.save(reps.select(F.col("k1").alias("rep"), "k2", "vec_id", "m", "v"))
     n = first.count()
     want = min(MOST_PIVOTS, max(FEWEST_PIVOTS, n // ROWS_A_PIVOT))
     share = int(1_000_000 * min(1.0, want / max(n, 1)))
-    sample = first.where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1_000_000)) < share).orderBy("rep").select("v").toArrow().column("v").to_pylist()
+    sample = first.where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1_000_000)) < share).select("v", F.xxhash64("v", F.lit(6)).alias("o"), "rep")
+    sample = sample.orderBy("o", "rep").limit(2 * MOST_PIVOTS).select("v").toArrow().column("v").to_pylist()
     by_dim: dict[int, list] = {}
     for v in sample:
         by_dim.setdefault(len(v), []).append(v)
@@ -160,16 +162,19 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX)
     posted = posted.select("rep", "list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
     posted = scratch.save(posted)
     units = max(1, posted.count() // TASK_ROWS)
-    full = posted.join(first, "rep").join(index.select("rep", "near"), "rep")
+    full = posted.join(first.select("rep", "m", "v"), "rep").join(index.select("rep", "near"), "rep")
     full = full.withColumn("unit", F.pmod(F.xxhash64("list", "i", "j"), F.lit(units)))
     verify = _verify(threshold)
     found = full.groupBy("unit").applyInArrow(_grouped(verify), "rep long, links long, root long")
     found = scratch.save(found)
     group = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    done = reps.join(links, "rep", "left").join(group, reps["rep"] == group["node"], "left")
-    done = done.select("k1", "k2", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "rep").alias("component_id"), F.lit(True).alias("good"))
-    out = rows.select("vec_id", "k1", "k2", "good").join(done, ["k1", "k2", "good"], "left")
+    done = first.select("rep", "k2", "vec_id", "m").join(links, "rep", "left").join(group, first["rep"] == group["node"], "left")
+    done = done.select("rep", "k2", "vec_id", "m", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "rep").alias("_root"))
+    done = scratch.save(done)
+    least = done.groupBy("_root").agg(F.min("vec_id").alias("component_id"))
+    done = scratch.save(done.join(least, "_root").select(F.col("rep").alias("k1"), "k2", "m", "links", "component_id", F.lit(True).alias("good")))
+    out = narrow.join(done, ["k1", "k2", "good"], "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
     out = out.select("vec_id", F.when(F.col("good"), F.col("links") + F.col("m") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce("m", F.lit(1)).cast("long").alias("n_copies"))
     return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "n_copies")
