@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Words, mix, pieces, table
+from strandloom.llm.common import Scratch, Words, fresh, mix, pieces, table
 
 #: Positions of a window that are hashed, 1, or ignored, 0. Every overlap that counts has four equal words in a row
 #: or, if no run is longer than three, two runs of two or three beside one differing word; so with an item of 6 words or
 #: more it has a window of one of these. Shorter items need the masks of their length, too.
 MASKS = ("1111", "11011")
 SHORT = {"1": 1, "11": 2, "111": 3, "10111": 5, "11101": 5}
-#: Of an overlap that counts, a part of at most 29 words counts; it lies so far before and after the start of its window.
-BEFORE, AFTER = 25, 29
+#: Of an overlap that counts, a part of at most 29 words counts; it lies so far before and after the start of its window,
+#: or of the first of a run of windows on one diagonal. A run of 12 equal words counts by itself, a shorter one has 9 windows.
+BEFORE, AFTER = 25, 38
 #: Windows that are compared with the benchmark at once, about.
 HITS = 200_000
 #: An overlap counts from so many equal words, or this share of a shorter item.
@@ -52,6 +54,14 @@ def _stretch(same: np.ndarray) -> tuple[int, int, int]:
     return begin + int(np.argmax(same[begin:end])) if most else begin, end, most
 
 
+def _by_place(words: Words, mask: str) -> np.ndarray:
+    """The seed hash of the window that starts at each word, 0 where none does."""
+    out = np.zeros(len(words.start), np.uint64)
+    at, h = _seeds(words, mask)
+    out[at] = h
+    return out
+
+
 class Seeds:
     """The seed hashes of a block of benchmark items, with a bit filter before the exact lookup."""
 
@@ -73,9 +83,17 @@ class Seeds:
         hashes, places = np.concatenate(hashes), np.concatenate(places)
         order = np.argsort(hashes, kind="stable")
         self.hash, self.place = hashes[order], places[order]
+        self.by_mask = {mask: _by_place(self.words, mask) for mask in MASKS}
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _begins(self, docs: Words, mask: str, own: np.ndarray, where: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which windows have no like window right before them on their diagonal, so that a run is looked at once."""
+        item = self.by_mask[mask]
+        w, p = np.maximum(where - 1, 0), np.maximum(place - 1, 0)
+        goes_on = (docs.row[w] == docs.row[where]) & (self.words.row[p] == self.words.row[place]) & (where > 0) & (place > 0)
+        return ~(goes_on & (own[w] == item[p]) & (own[w] != 0))
+
     def _likely(self, docs: Words, where: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which windows have as many equal words around them, on their diagonal, as an overlap with the item needs."""
         row, item = docs.row[where], self.words.row[place]
@@ -93,6 +111,7 @@ class Seeds:
         row, item, shift = [], [], []
         for mask in self.masks:
             at, h = _seeds(docs, mask)
+            own = _by_place(docs, mask) if mask in self.by_mask else None
             near = self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
             at, h = at[near], h[near]
             lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
@@ -104,6 +123,9 @@ class Seeds:
                 size = (hi - lo)[k:to]
                 where = np.repeat(at[k:to], size)
                 place = self.place[np.repeat(lo[k:to] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                if own is not None:
+                    first = self._begins(docs, mask, own, where, place)
+                    where, place = where[first], place[first]
                 good = self._likely(docs, where, place)
                 where, place = where[good], place[good]
                 row.append(docs.row[where])
@@ -128,8 +150,11 @@ class Seeds:
         return [(r, i, e, n, -f) for (r, i), (e, n, f) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame) -> list[Seeds]:
-    """Benchmark items in blocks of bounded size, each collected for one pass over the documents."""
+def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
+    """Benchmark items in blocks of bounded size, each collected for one pass over the documents.
+
+    Who needs more than one lets go of each before the next.
+    """
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
     n = max(1, math.ceil(size / BLOCK_BYTES))
@@ -138,51 +163,90 @@ def _blocks(benchmark: DataFrame) -> list[Seeds]:
         yield Seeds(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, made, schema) -> DataFrame:
+    """The rows that ``made(block)`` finds in the documents, block after block; of several passes each is written."""
+    blocks = _blocks(benchmark)
+    block, scratch, out = next(blocks), None, None
+    while block is not None:
+        part, block = docs.mapInArrow(made(block), schema), next(blocks, None)
+        if block is not None or out is not None:  # the block goes with its pass
+            scratch = scratch or Scratch(docs.sparkSession)
+            part = scratch.save(part)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, equal_words, overlap_words, first_word, item_words): the best overlap of each document and item that share one.
 
-    Words are split at white space and A-Z lower-cased. Seed windows of documents
-    and items with equal hashes under a mask lie on one diagonal, and every overlap
-    that counts has one, whatever the length of the item; along the diagonal, of
-    all stretches where 80% of the words are equal, the one with the most equal words
-    is found. It counts with at least 12 equal words (of short items 80%, so one
-    of 1 to 4 words counts wherever it stands whole).
-
-    Null and empty texts and items share nothing; repeated rows each give their
-    rows. An empty table gives an empty result. The benchmark is a query set: it is
-    held in blocks of 4 MB, one pass over all documents each.
+    Words are split at white space and A-Z lower-cased. The seed hashes of documents
+    are joined with those of the items, held in a table, under each mask; a pair lies on one
+    diagonal, and every overlap that counts has such a pair, whatever the length of the
+    item. Along the diagonal, of all stretches where 80% of the words are equal, the one
+    with the most equal words is found. It counts with at least 12 equal words (of short
+    items 80%, so one of 1 to 4 words counts wherever it stands whole). Of overlaps with as
+    many equal words the longest counts, then the first.
+
+    Null and empty texts and items share nothing. Texts of any length are read whole.
+    Repeated rows and items each give their rows. An empty table gives an empty result;
+    other columns are left out. The benchmark is a query set: it is held in blocks of 4
+    MB, with one pass over all documents for each.
     """
-    out = None
-    schema = docs.select("doc_id").schema.add("item_id", "long").add("equal_words", "long").add("overlap_words", "long").add("first_word", "long").add("item_words", "long")
-    for block in _blocks(benchmark):
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    names = ["doc_id", "item_id", "equal_words", "overlap_words", "first_word", "item_words"]
 
-        def found(batches, block=block):
+    def made(block):
+        def found(batches):
             for whole in batches:
                 for batch in pieces(whole, "text"):
                     rows = block.overlaps(batch.column("text"))
                     if rows:
                         r, i, e, n, f = map(list, zip(*rows, strict=True))
                         length = np.diff(block.words.first)[i]
-                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r)), pa.array([block.ids[x] for x in i], pa.int64()), *(pa.array(x, pa.int64()) for x in (e, n, f, length))], schema.fieldNames())
+                        ids = [batch.column("doc_id").take(pa.array(r)), pa.array([block.ids[x] for x in i], pa.int64())]
+                        yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.int64()) for x in (e, n, f, length))], names)
 
-        part = docs.select("doc_id", "text").mapInArrow(found, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return found
+
+    return _passes(docs, benchmark, made, ", ".join(f"{x} long" for x in names))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that share no overlap with a benchmark item, with all their columns."""
-    for block in _blocks(benchmark):
+    """The rows of ``docs`` that share no overlap with a benchmark item, with all their columns, whatever their names.
 
-        def clean(batches, block=block):
+    What counts as an overlap, ties, nulls, empty and long texts are as in ``overlaps``;
+    repeated rows go or stay together, and an empty table gives an empty result. A
+    benchmark of more than one block marks texts by digest, and these are taken out.
+    """
+    text = [c.lower() for c in docs.columns].index("text")
+    blocks = _blocks(benchmark)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+
+        def clean(batches):
             for whole in batches:
-                for batch in pieces(whole, "text"):
+                for batch in pieces(whole, text):
                     keep = np.ones(batch.num_rows, bool)
-                    keep[[r for r, *_ in block.overlaps(batch.column("text"))]] = False
+                    keep[[r for r, *_ in block.overlaps(batch.column(text))]] = False
                     yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        return docs.mapInArrow(clean, docs.schema)
+    del block, more, blocks
+    digest = F.sha2(F.col("text"), 256)
+    (mark,) = fresh(docs.columns, "_digest")
+
+    def made(block):
+        def marked(batches):
+            for whole in batches:
+                for batch in pieces(whole, "text"):
+                    hit = sorted({r for r, *_ in block.overlaps(batch.column("text"))})
+                    yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(hit, pa.int64()))], ["digest"])
+
+        return marked
+
+    found = _passes(docs.select("text", digest.alias("digest")), benchmark, made, "digest string").distinct()
+    found = Scratch(docs.sparkSession).save(found.withColumnRenamed("digest", mark))
+    return docs.join(found, digest == found[mark], "left_anti")
 
 
 def op2_benchmark_decontamination(spark, sf_dir):
