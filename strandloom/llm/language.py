@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import pieces, table
+from strandloom.llm.common import Scratch, pieces, table
 
 BITS = 16
 #: The text model is fitted on about so many documents with a language, chosen by a hash of the id. Documented bound.
@@ -75,8 +75,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     taken out of its sums.
 
     Null or empty html: no text evidence. Null address: host, domain and suffix ''.
-    No declared language: no such evidence. Repeated rows are treated alike. An
-    empty table gives an empty result; without documents to learn from, lang is
+    No declared language: no such evidence. Of languages with equal odds the first by
+    name is taken. Pages of any length are read whole. Repeated rows are treated alike.
+    An empty table gives an empty result; without documents to learn from, lang is
     null. Other columns are left out.
     """
     langs, logs = fit(docs)
@@ -105,17 +106,20 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         fields = fields.add(f"v{k}", "double")
     for k in ks:
         fields = fields.add(f"p{k}", "double")
+    scratch = Scratch(pages.sparkSession)
     seen = base.mapInArrow(judged, fields)
     labels = F.split("host", r"\.")
     seen = seen.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.when(F.size(labels) >= 2, F.concat(F.element_at(labels, -2), F.lit("."), F.element_at(labels, -1))).otherwise(F.col("host")))
-    sums = seen.groupBy("declared", "suffix", "domain", "host").agg(*[F.sum(f"p{k}").alias(f"s{k}") for k in ks])
+    seen = scratch.save(seen)  # pages are read once
+    sums = scratch.save(seen.groupBy("declared", "suffix", "domain", "host").agg(*[F.sum(f"p{k}").alias(f"s{k}") for k in ks]))
 
     def by(name: str, *columns: str) -> DataFrame:
-        return sums.groupBy(*columns).agg(*[F.sum(f"s{k}").alias(f"{name}{k}") for k in ks])
+        return scratch.save(sums.groupBy(*columns).agg(*[F.sum(f"s{k}").alias(f"{name}{k}") for k in ks]))
 
     out = seen.join(F.broadcast(by("w")))  # one row
-    for name, column in (("m", "declared"), ("x", "suffix"), ("d", "domain"), ("h", "host")):
-        out = out.join(by(name, column), column)
+    out = out.join(F.broadcast(by("m", "declared")), "declared")  # names of at most three letters
+    for name, column in (("x", "suffix"), ("d", "domain"), ("h", "host")):
+        out = out.join(by(name, column), column)  # tables of their own, so that the join can split a host with many pages
     own = [F.col(f"p{k}") for k in ks]
     less = lambda name: [F.greatest(F.col(f"{name}{k}") - own[k], F.lit(0.0)) for k in ks]
     even = [F.lit(1.0 / len(langs))] * len(langs)
