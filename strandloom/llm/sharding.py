@@ -36,7 +36,7 @@ def _loads(rows: DataFrame, n: int) -> DataFrame:
     return every.join(F.broadcast(have), "shard", "left").select("shard", F.coalesce("_load", F.lit(0)).alias("load"))  # n rows
 
 
-def _round(rows: DataFrame, n: int, total: int, salt: int) -> DataFrame:
+def _round(rows: DataFrame, n: int, total: int, salt: int, scratch: Scratch) -> DataFrame:
     """One step: linked rows ask for the shard where most bytes of their neighbours are; quotas grant a part.
 
     From i to j as much may move as moves from j to i, and beyond that what the
@@ -45,6 +45,7 @@ def _round(rows: DataFrame, n: int, total: int, salt: int) -> DataFrame:
     most, least = total / n * (1 + SLACK), total / n * (1 - SLACK)
     votes = rows.where("_linked").groupBy("_text", "shard").agg(F.sum("size").alias("_w"))
     goal = votes.groupBy("_text").agg(F.max_by("shard", F.struct("_w", F.xxhash64("_text", "shard"))).alias("goal"))
+    goal = scratch.save(goal)  # a table of its own, so that the join can split a text with many rows
     asked = rows.where("_linked").join(goal, "_text")
     moving = asked.where("shard <> goal").withColumn("_cell", _cell(salt, CELLS, "_text", "doc_id"))
     flow = moving.groupBy("shard", "goal", "_cell").agg(F.sum("size").alias("_s"))
@@ -107,19 +108,22 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = ROUNDS) -> DataFrame:
 
     size is the text's bytes in UTF-8 plus 1. Null text: size 1, text_crc32 0, no
     links. An empty text: size 1, text_crc32 0, linked with other empty texts.
-    Null doc_id and repeated rows each get a slot. grown_shard is null under this
-    law. An empty table gives an empty result. Other columns are left out.
+    Null doc_id and repeated rows each get a slot. Ties in votes go by a hash of text and
+    shard, ties in slots by id and text. A text of any length is one row and stays whole.
+    grown_shard is null under this law. An empty table gives an empty result. Other
+    columns are left out.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select("doc_id", (utf8_bytes(F.col("text")) + 1).alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), F.unhex(F.md5("text")).alias("_text"))
     rows = scratch.save(rows)
     many = rows.where("_text is not null").groupBy("_text").agg(F.count("*").alias("_n")).where("_n > 1").select("_text", F.lit(True).alias("_linked"))
+    many = scratch.save(many)
     sums = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first()
     total = int(sums["s"])
     now = rows.join(many, "_text", "left").withColumn("_linked", F.coalesce("_linked", F.lit(False)))
     now = scratch.save(_start(now, n, total))
     for k in range(rounds):
-        then = scratch.save(_round(now, n, total, 10 + k))
+        then = scratch.save(_round(now, n, total, 10 + k, scratch))
         scratch.drop(now)
         now = scratch.save(_even_out(then, n, total, 100 + k))
         scratch.drop(then)
