@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Words, bounds, pieces, table
+from strandloom.llm.common import Words, fresh, pieces, table
 
 #: Hashed features: words, and runs of three bytes, as indicators.
 BITS = 18
@@ -99,7 +99,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """Fit on rows with a label and outside the held-out fold; None if a class has no rows.
 
-    The bounded sample is chosen by a hash of the id alone. Five sixths of it fit the
+    The bounded sample is chosen by a hash of the id alone (of labels that many documents
+    with one id share, each document counts). Five sixths of it fit the
     ratios and weights, the rest the curve. A document with several labels counts
     with the lowest; null labels don't count.
     """
@@ -128,28 +129,37 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     return Model(ratio * w, ratio, b, slope, shift)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with a column score, 0 to 1; higher: good text likelier.
+def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
+    """``docs`` with one more column, 0 to 1; higher: good text likelier.
 
     Null and empty texts have no features and get the score of the offset; without
-    a model (a class has no rows) every score is 0.5. Other columns are kept.
+    a model (a class has no rows) every score is 0.5. Texts of any length are read
+    whole. Repeated rows are scored alike; rows don't depend on each other, so there are
+    no ties. An empty table gives an empty result. A column of the new one's name is
+    replaced, others are kept.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(keep).schema.add("score", "double")
+    keep = [c for c in docs.columns if c.lower() != column.lower()]
+    schema = docs.select(keep).schema.add(column, "double")
+    text = [c.lower() for c in keep].index("text")
 
     def scored(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                value = model.score(batch.column("text")) if model else np.full(batch.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], [*batch.schema.names, "score"])
+            for batch in pieces(whole, text):
+                value = model.score(batch.column(text)) if model else np.full(batch.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], schema.fieldNames())
 
     return docs.select(keep).mapInArrow(scored, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that the classifier doesn't reject, with their columns."""
-    columns = docs.columns
-    return score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(columns)
+    """The rows that the classifier doesn't reject, with all their columns, whatever their names.
+
+    Null and empty texts are judged by the offset. Rows on the threshold stay, and
+    so do all rows if a class has no labelled rows. Texts of any length are read whole;
+    repeated rows are judged alike. An empty table gives an empty result.
+    """
+    (column,) = fresh(docs.columns, "_score")
+    return score(docs, fit(docs, labels), column).where(F.col(column) >= threshold).drop(column)
 
 
 def op9_quality_classifier(spark, sf_dir):
