@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import table, word_count
+from strandloom.llm.common import Scratch, fresh, table, word_count
 
 #: Sources by code point get these weights in turn; a target stops at CAP times its source.
 WEIGHTS = (1, 2, 3)
@@ -38,55 +38,71 @@ def _number(text) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def systematic_mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, cap: int = CAP, cells: int | None = None) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target and copies.
+def systematic_mix(
+    docs: DataFrame, seed: str = "mix", weights=WEIGHTS, cap: int = CAP, cells: int | None = None, size: str | None = None, names=("size", "source_size", "target", "copies")
+) -> DataFrame:
+    """Every row of ``docs`` with size, source_size, target and copies (under ``names``).
 
     Each document of a source expects target / source_size copies. Along the
     source (by size class, then cell, size and id, so that sizes are spread
     evenly) the expected copies are summed, one offset per source is added, and a
     document is taken once for each integer that the sum crosses in it. The sum is
     in two levels, counts of cells and ranks in a cell, so that a source of any
-    size is summed by many tasks.
-
-    Null text: size 0. Null source: a source of its own, last in order. Repeated
-    rows are taken one by one. A source of size 0 has target 0 and no copies.
-    An empty table gives an empty result. Other columns are kept.
+    size is summed by many tasks. The words taken from a source differ from its target
+    by less than its largest document.
+
+    ``size`` names a column with the words of each row; else words of the whole text are
+    counted. Null text: size 0. Null source: a source of its own, last in order. Rows
+    of equal size go by a digest of the id, then by the id; repeated rows are taken one by
+    one. A source of size 0 has target 0 and no copies. Texts of any length count whole.
+    An empty table gives an empty result. Columns with the new ones' names are
+    replaced, others are kept, whatever their names.
     """
-    own = {"size", "source_size", "target", "copies", "_class", "_cell", "_rank", "_before", "_n"}
-    docs = docs.select([c for c in docs.columns if c not in own])
+    new = {x.lower() for x in names}
+    words = F.col(size).cast("long") if size else word_count(F.col("text"))
+    keep = [c for c in docs.columns if c.lower() not in new or c == size]
+    w, cls, cell, tie, rank, src, c2, b2, before, count, sums, goal_, have = fresh(
+        [*docs.columns, *names], "_w", "_class", "_cell", "_tie", "_rank", "_s", "_c", "_b", "_before", "_n", "_sum", "_target", "_have"
+    )
     n = docs.count()
     cells = cells or max(16, n // CELL_ROWS)
-    bits = F.bin("size")
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    sized = sized.withColumn("_class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.rpad(F.substring(bits, 1, 4), 4, "0")))
-    sized = sized.withColumn("_tie", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("_cell", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % cells)
-    cell = ["source", "_class", "_cell"]
-    counts = sized.groupBy(*cell).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
-    order = Window.partitionBy("source").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    goal = targets(counts.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, cap)
-    goal = goal.withColumnRenamed("source", "_s")
-    counts = counts.join(goal, counts["source"].eqNullSafe(goal["_s"])).select(*cell, "_before", "source_size", "target")
-    counts = counts.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("_cell").alias("_b"), "_before", "source_size", "target")
-    placed = sized.join(counts, sized["source"].eqNullSafe(counts["_s"]) & (sized["_class"] == counts["_c"]) & (sized["_cell"] == counts["_b"]))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "_tie", "doc_id"))
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    sized = docs.select(*keep, words.alias(w))
+    bits, key = F.bin(w), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    sized = sized.withColumn(cls, F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.rpad(F.substring(bits, 1, 4), 4, "0")))
+    sized = sized.withColumn(tie, F.md5(key)).withColumn(cell, _number(key) % cells)
+    counts = sized.groupBy(F.col("source").alias(src), F.col(cls).alias(c2), F.col(cell).alias(b2)).agg(F.count("*").alias(count), F.sum(w).alias(sums))
+    order = Window.partitionBy(src).orderBy(c2, b2).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(before, F.coalesce(F.sum(count).over(order), F.lit(0)))
+    goal = targets(counts.groupBy(F.col(src).alias("source")).agg(F.sum(sums).alias("source_size")), weights, cap)
+    goal = goal.select(F.col("source").alias(rank), F.col("source_size").alias(have), F.col("target").alias(goal_))
+    counts = counts.join(goal, counts[src].eqNullSafe(goal[rank])).select(src, c2, b2, before, have, goal_)
+    placed = sized.join(counts, sized["source"].eqNullSafe(counts[src]) & (sized[cls] == counts[c2]) & (sized[cell] == counts[b2]))
+    place = F.row_number().over(Window.partitionBy("source", cls, cell).orderBy(w, tie, "doc_id"))
+    each = F.when(F.col(have) > 0, F.col(goal_) / F.col(have)).otherwise(F.lit(0.0))
     start = _number(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source"), F.lit("\u0000")))) / F.lit(4294967296.0)
-    placed = placed.withColumn("_rank", F.col("_before") + rank)
-    crossed = F.floor(each * F.col("_rank") + start) - F.floor(each * (F.col("_rank") - 1) + start)
-    return placed.withColumn("copies", F.least(crossed, F.lit(cap)).cast("long")).select(*docs.columns, "size", "source_size", "target", "copies")
+    placed = placed.withColumn(rank, F.col(before) + place)
+    crossed = F.floor(each * F.col(rank) + start) - F.floor(each * (F.col(rank) - 1) + start)
+    copies = F.least(crossed, F.lit(cap)).cast("long")
+    made = [F.col(w).alias(names[0]), F.col(have).alias(names[1]), F.col(goal_).alias(names[2]), copies.alias(names[3])]
+    return placed.select(*[c for c in keep if c.lower() not in new], *made)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    taken = systematic_mix(docs, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and names of columns
+    are treated as by ``systematic_mix``; rows with no words are never taken in a source
+    without words.
+    """
+    *names, copy = fresh(docs.columns, "_size", "_source_size", "_goal", "_copies", "_copy")
+    taken = systematic_mix(docs, names=names, **options).where(F.col(names[3]) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(names[3])))).select(*docs.columns)
 
 
 def op10_source_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = systematic_mix(docs)
+    docs = table(spark, sf_dir, "documents")
+    docs = Scratch(spark).save(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))  # texts are read once
+    out = systematic_mix(docs, size="words")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
