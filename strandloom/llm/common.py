@@ -172,9 +172,3 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20, most_r
         yield batch.slice(at, to - at)
         at = to
 
-
-def bounds(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where each run of equal keys starts, and the end."""
-    if not len(sorted_keys):
-        return np.zeros(1, np.int64)
-    return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]))

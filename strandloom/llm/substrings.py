@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, Words, bounds, pieces, table
+from strandloom.llm.common import Scratch, Words, pieces, table
 
 WINDOW = 13
 #: A window belongs to its least run of so many words, its anchor; equal windows have equal anchors.
