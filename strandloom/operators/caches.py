@@ -2,48 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordering import running_before
 from strandloom.schema import CACHE_MAGIC
 
-CELLS = 1024
-
 
 def inventory(files: DataFrame) -> DataFrame:
     left = F.instr("name", ".tmp-") == 0
     return files.agg(F.count_if(~left).alias("leftovers"), F.count_if(left).alias("n_files"), F.coalesce(F.sum(F.when(left, F.col("size"))), F.lit(0)).alias("bytes"))
 
 
-def _running(files: DataFrame, key: str, down: bool) -> DataFrame:
-    """``before``: bytes of the files that come first in (key, path) order, summed over ranges of the key in two levels.
-
-    The order's ranges come from key quantiles, so that no window holds all rows.
-    """
-    null_first = F.coalesce(F.col(key), F.lit(-(1 << 62)))
-    marks = files.select(null_first.alias("k")).approxQuantile("k", [x / 64 for x in range(1, 64)], 0.005) or []
-    marks = sorted(set(marks))
-    cell = F.lit(0)
-    for m in marks:
-        cell = cell + (null_first > F.lit(int(m))).cast("int")
-    files = files.withColumn("_cell", cell)
-    order = (lambda c: F.col(c).desc()) if down else F.col
-    sums = files.groupBy("_cell").agg(F.sum("size").alias("_s"))
-    prior = F.coalesce(F.sum("_s").over(Window.orderBy(order("_cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_cell", prior.alias("_prior"))  # 64 rows at most
-    inner = Window.partitionBy("_cell").orderBy(F.col(key).desc_nulls_last() if down else F.col(key).asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
-    return files.join(F.broadcast(sums), "_cell").withColumn("before", F.col("_prior") + F.coalesce(F.sum("size").over(inner), F.lit(0))).drop("_cell", "_prior")
-
-
 def eviction(files: DataFrame, high: int, low: int) -> DataFrame:
     """Above ``high`` in sum, the oldest files go until ``low`` is reached; unknown times first."""
     total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    return _running(files, "mtime", False).join(total).where((F.col("total") > high) & (F.col("total") - F.col("before") > low)).drop("total", "before")
+    before = running_before(files, [], [F.col("mtime"), F.col("path")], "before", "size")  # nulls are first
+    return before.join(total).where((F.col("total") > high) & (F.col("total") - F.col("before") > low)).drop("total", "before")
 
 
 def lru(textures: DataFrame, budget: int) -> DataFrame:
     """Textures that stay: the latest used whose sum fits the budget."""
-    return _running(textures, "last_used", True).where(F.col("before") + F.col("size") <= budget).drop("before")
+    known = F.when(F.col("last_used").isNull(), 1).otherwise(0)
+    before = running_before(textures, [], [known, -F.col("last_used"), F.col("path")], "before", "size")
+    return before.where(F.col("before") + F.col("size") <= budget).drop("before")
 
 
 def lru_victim(textures: DataFrame) -> DataFrame:

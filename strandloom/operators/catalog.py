@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.schema import FIRST_BATCH, NEXT_BATCH
+from strandloom.operators.ordering import numbered
+from strandloom.schema import FIRST_BATCH, FORMATS, NEXT_BATCH
 
 KEY = ["root", "path"]
 
 
 def incremental_diff(cur: DataFrame, prev: DataFrame) -> DataFrame:
-    """One row per (root, path) with status reused, updated, inserted or removed; one full outer join."""
+    """One row per (root, path) with a status; one full outer join.
+
+    reused, updated, inserted, removed; a file that the walk saw but couldn't read (size
+    null) is kept as it was cached, or skipped if it wasn't.
+    """
     c, p = cur.alias("c"), prev.alias("p")
     on = (F.col("c.root") == F.col("p.root")) & (F.col("c.path") == F.col("p.path"))
     same = (F.col("c.size") == F.col("p.size")) & (F.col("c.modified_ns") == F.col("p.modified_ns")) & (F.col("c.format") == F.col("p.format"))
-    status = F.when(F.col("c.path").isNull(), "removed").when(F.col("p.path").isNull(), "inserted").when(same, "reused").otherwise("updated")
-    keep = lambda x: F.coalesce(F.col(f"c.{x}"), F.col(f"p.{x}")).alias(x)
-    return c.join(p, on, "full_outer").select(keep("root"), keep("path"), F.coalesce(F.col("p.id"), F.col("c.id")).alias("id"), keep("size"), keep("modified_ns"), keep("format"), status.alias("status"))
+    known = F.col("p.path").isNotNull()
+    status = F.when(F.col("c.path").isNull(), "removed").when(F.col("c.size").isNull(), F.when(known, "kept").otherwise("skipped"))
+    status = status.when(~known, "inserted").when(same, "reused").otherwise("updated")
+    read = F.col("c.size").isNotNull()
+    keep = lambda x: F.when(read, F.col(f"c.{x}")).otherwise(F.col(f"p.{x}")).alias(x)
+    either = lambda x: F.coalesce(F.col(f"c.{x}"), F.col(f"p.{x}")).alias(x)
+    ids = F.coalesce(F.col("p.id"), F.col("c.id")).alias("id")
+    return c.join(p, on, "full_outer").select(either("root"), either("path"), ids, *[keep(x) for x in ("size", "modified_ns", "format")], status.alias("status"))
 
 
 def removed_paths(cur: DataFrame, prev: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -42,26 +54,40 @@ def scan_total(diff: DataFrame, errors: int) -> DataFrame:
 
 def batch_assign(diff: DataFrame) -> DataFrame:
     """Flush number of each changed row of a root: one batch of 128, then of 512."""
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("path"))
-    changed = diff.where(F.col("status").isin("inserted", "updated")).withColumn("rn", rank)
-    return changed.withColumn("batch", F.when(F.col("rn") <= FIRST_BATCH, 0).otherwise(1 + F.floor((F.col("rn") - FIRST_BATCH - 1) / NEXT_BATCH)).cast("long"))
+    changed = numbered(diff.where(F.col("status").isin("inserted", "updated")), ["root"], [F.col("path")], "rn")
+    later = 1 + F.floor((F.col("rn") - FIRST_BATCH) / NEXT_BATCH)
+    return changed.withColumn("batch", F.when(F.col("rn") < FIRST_BATCH, 0).otherwise(later).cast("long"))
+
+
+VALUES = ["relative_path", "file_name", "size", "modified_ns", "format", "thumbnail_key"]
 
 
 def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace those of their (root, path), keep their ids, and lose width and height; others get new ids."""
-    values = ["relative_path", "file_name", "size", "modified_ns", "format", "thumbnail_key"]
-    old, fresh = catalog.alias("o"), new.alias("n")
-    both = old.join(fresh, (F.col("o.root") == F.col("n.root")) & (F.col("o.path") == F.col("n.path")), "full_outer")
-    hit = F.col("n.path").isNotNull()
-    pick = lambda x: F.when(hit, F.col(f"n.{x}")).otherwise(F.col(f"o.{x}")).alias(x)
-    merged = both.select(F.col("o.id").alias("id"), pick("root"), pick("path"), *[pick(x) for x in values], *[F.when(~hit, F.col(f"o.{x}")).alias(x) for x in ("width", "height")])
-    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh_rows = merged.where("id is null")
-    per_root = fresh_rows.groupBy("root").agg(F.count("*").alias("_n"))
-    base = per_root.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("root").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("path"))
-    fresh_rows = fresh_rows.join(base, "root").join(top).withColumn("id", F.col("_top") + F.col("_base") + rank).drop("_top", "_base")
-    return merged.where("id is not null").unionByName(fresh_rows)
+    """Rows of ``new`` replace those of their (root, path), keep their ids, and lose width and height; others get new ids.
+
+    Known rows are found by one join, new ones by another; only new ones are ordered.
+    """
+    fresh = new.select(*KEY, F.struct(*VALUES).alias("_new"))
+    old = catalog.join(fresh, KEY, "left")
+    hit = F.col("_new").isNotNull()
+    values = [F.when(hit, F.col(f"_new.{x}")).otherwise(F.col(x)).alias(x) for x in VALUES]
+    old = old.select("id", *KEY, *values, *[F.when(~hit, F.col(x)).alias(x) for x in ("width", "height")])
+    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    added = numbered(new.select(*KEY, *VALUES).join(catalog.select(*KEY), KEY, "left_anti"), [], [F.col(k) for k in KEY], "_k")
+    added = added.join(F.broadcast(top)).select((F.col("_top") + F.col("_k") + 1).alias("id"), *KEY, *VALUES)
+    return old.unionByName(added.select("*", *[F.lit(None).cast("int").alias(x) for x in ("width", "height")]))
+
+
+def sync(catalog: DataFrame, walk: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The catalog after a walk: changed files merged in, unreadable ones kept, files not seen gone if the walk met no error.
+
+    ``walk`` has the files it saw (any format), with null sizes where it couldn't read.
+    """
+    seen = walk.where(F.col("format").isin(*FORMATS))
+    cached = catalog.select(*KEY, F.struct("size", "modified_ns", "format").alias("_old"))
+    now = F.struct("size", "modified_ns", "format")
+    changed = seen.where("size is not null").join(cached, KEY, "left").where(F.col("_old").isNull() | ~F.col("_old").eqNullSafe(now))
+    return upsert(catalog, changed).join(removed_paths(seen, catalog, errors).select("id"), "id", "left_anti")
 
 
 def update_metadata(catalog: DataFrame, updates: DataFrame) -> DataFrame:
@@ -80,47 +106,100 @@ def changed_metadata(catalog: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def migrate(v1: DataFrame) -> DataFrame:
-    """Schema 1, one row per path, to schema 2, one per (root, path)."""
-    return v1.dropDuplicates(KEY)
+    """Schema 1, one row per path, to schema 2, one per (root, path), with every column; of rows with one new key the one with the greatest id."""
+    rest = [c for c in v1.columns if c not in KEY]
+    return v1.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "id").alias("_row")).select(*KEY, "_row.*").select(v1.columns)
 
 
 def key_violations(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first; read again, and commit anew."""
+
+
 class VersionedStore:
-    """Versions of a catalog in directories; a pointer file, replaced in one rename, names the current one."""
+    """Versions of a catalog. Each is a small file, named by its number alone, that lists the folder of each root's rows.
+
+    A version file is created only if no one else has created it, so of two writers one
+    gets a ``Conflict``. Rows of roots that a commit doesn't touch stay where they are.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         jvm = spark.sparkContext._jvm
         self.Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.jvm = jvm
+
+    def _names(self, folder: str) -> list[str]:
+        at = self.Path(folder)
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def version(self) -> int:
+        return max([int(x.split("-")[1]) for x in self._names(self.path) if x.startswith("version-")], default=0)
+
+    def manifest(self, version: int | None = None) -> dict[str, str]:
+        """Folder of each root's rows."""
+        version = self.version() if version is None else version
+        if not version:
+            return {}
+        stream = self.fs.open(self.Path(f"{self.path}/version-{version:012d}"))
+        try:
+            return json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def read(self, roots: list[str] | None = None) -> DataFrame | None:
+        """Rows of these roots, or of all; only their folders are opened."""
+        found = self.manifest()
+        folders = [f"{self.path}/{f}" for root, f in sorted(found.items()) if roots is None or root in roots]
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*folders) if folders else None
+
+    def _publish(self, manifest: dict[str, str], after: int) -> None:
+        # written aside and then named, so that no reader sees half a file; a name that is taken isn't replaced
+        aside, name = self.Path(f"{self.path}/.aside-{uuid.uuid4().hex}"), self.Path(f"{self.path}/version-{after + 1:012d}")
+        out = self.fs.create(aside)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        claim = self.Path(f"{self.path}/.claim-{after + 1:012d}")
+        try:
+            self.fs.create(claim, False).close()
+        except Exception as e:
+            self.fs.delete(aside, False)
+            raise Conflict(f"version {after + 1} is there already") from e
+        self.fs.rename(aside, name)
+
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        name = f"rows-{uuid.uuid4().hex}"
+        df.withColumn("_root", F.col("root")).write.partitionBy("_root").parquet(f"{self.path}/{name}")
+        return {unquote(x.split("=", 1)[1]): f"{name}/{x}" for x in self._names(f"{self.path}/{name}") if x.startswith("_root=")}
+
+    def commit(self, df: DataFrame, after: int | None = None) -> None:
+        """``df`` is the whole catalog from now on. ``after``: the version that it was made from."""
+        after = self.version() if after is None else after
+        self._publish(self._write(df), after)
+
+    def commit_roots(self, df: DataFrame, roots: list[str], after: int | None = None) -> None:
+        """``df`` has all rows of these roots from now on; others stay as they are."""
+        after = self.version() if after is None else after
+        keep = {root: f for root, f in self.manifest(after).items() if root not in roots}
+        self._publish(keep | self._write(df.where(F.col("root").isin(roots))), after)
 
-    def _pointers(self) -> list[str]:
-        there = self.fs.exists(self.Path(self.path))
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.Path(self.path))] if there else []
-        return sorted(x for x in names if x.startswith("current-"))
-
-    def current(self) -> str | None:
-        found = self._pointers()
-        return found[-1].split("-", 2)[2] if found else None
-
-    def _point(self, name: str) -> None:
-        found = self._pointers()
-        number = int(found[-1].split("-")[1]) + 1 if found else 1
-        self.fs.create(self.Path(f"{self.path}/.next-{name}-{number}")).close()
-        self.fs.rename(self.Path(f"{self.path}/.next-{name}-{number}"), self.Path(f"{self.path}/current-{number:012d}-{name}"))
+    def clear(self) -> None:
+        """From now on there are no rows; the next commit starts anew."""
+        self._publish({}, self.version())
 
-    def read(self) -> DataFrame | None:
-        now = self.current()
-        return self.spark.read.parquet(f"{self.path}/{now}") if now not in (None, "none") else None
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete versions but the last ones, and rows that none of these lists."""
+        last = self.version()
+        used = {f.split("/")[0] for v in range(max(1, last - keep + 1), last + 1) for f in self.manifest(v).values()}
+        for x in self._names(self.path):
+            old = x.startswith((".claim-", "version-")) and int(x.split("-")[1]) <= last - keep
+            if old or x.startswith("rows-") and x not in used:
+                self.fs.delete(self.Path(f"{self.path}/{x}"), True)
 
-    def commit(self, df: DataFrame) -> None:
-        name = f"v{uuid.uuid4().hex}"
-        df.write.partitionBy("root").parquet(f"{self.path}/{name}")
-        self._point(name)
 
-    def clear(self) -> None:
-        """From now on there are no rows; the next commit starts anew."""
-        self._point("none")
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.ordering import numbered
+
 
 def current_generation(events: DataFrame) -> DataFrame:
     """Events of the generation that was started last."""
@@ -25,9 +29,10 @@ def apply_upserts(records: DataFrame, events: DataFrame) -> DataFrame:
     """Known paths are replaced in place, others appended in order of seq; the last write of a path wins."""
     last = events.groupBy("root", "path").agg(F.max_by("size", "seq").alias("_size"), F.min("seq").alias("_first"))
     top = records.groupBy("root").agg((F.max("pos") + 1).alias("_top"))
-    out = records.join(last, ["root", "path"], "full_outer").join(top, "root", "left")
-    rank = F.row_number().over(Window.partitionBy("root", F.col("pos").isNull()).orderBy("_first")) - 1
-    return out.select("root", "path", F.coalesce("_size", "size").alias("size"), F.coalesce("pos", F.coalesce("_top", F.lit(0)) + rank).cast("long").alias("pos"))
+    known = records.join(last, ["root", "path"], "left").select("root", "path", F.coalesce("_size", "size").alias("size"), F.col("pos").cast("long").alias("pos"))
+    added = numbered(last.join(records.select("root", "path"), ["root", "path"], "left_anti"), ["root"], [F.col("_first"), F.col("path")], "_k")
+    added = added.join(top, "root", "left").select("root", "path", F.col("_size").alias("size"), (F.coalesce("_top", F.lit(0)) + F.col("_k")).cast("long").alias("pos"))
+    return known.unionByName(added)
 
 
 def apply_removes(records: DataFrame, removed: DataFrame) -> DataFrame:
@@ -53,10 +58,8 @@ def valid_epochs(requests: DataFrame) -> DataFrame:
 
 
 def queue_caps(requests: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """Requests that find room in their queue, in order of arrival; by row count per priority this is a bounded top-k."""
-    cap = F.element_at(F.create_map(*[F.lit(x) for p in caps.items() for x in p]), F.col("priority"))
-    rank = F.row_number().over(Window.partitionBy("priority").orderBy("seq"))
-    return requests.withColumn("rn", rank).where(F.col("rn") <= cap).drop("rn")
+    """Requests that find room in their queue, in order of arrival: a bounded top-n for each priority."""
+    return reduce(DataFrame.unionByName, [requests.where(F.col("priority") == p).orderBy("seq").limit(n) for p, n in caps.items()])
 
 
 def next_requests(requests: DataFrame, k: int) -> DataFrame:
@@ -64,6 +67,18 @@ def next_requests(requests: DataFrame, k: int) -> DataFrame:
     return requests.withColumn("rank", order).orderBy("rank", "seq").limit(k)
 
 
+def fire_times(bursts: DataFrame, busy: DataFrame, gap: str = "6 hours") -> DataFrame:
+    """When each burst starts a scan: a gap after its last event, or when the work (user_id, busy_from, busy_until) that runs then ends.
+
+    Pieces of work of one root don't overlap.
+    """
+    due = bursts.withColumn("fire_ts", F.col("last_ts") + F.expr(f"interval {gap}"))
+    at = (F.col("fire_ts") >= F.col("busy_from")) & (F.col("fire_ts") < F.col("busy_until"))
+    work = busy.withColumnRenamed("user_id", "_user")
+    out = due.join(work, (F.col("user_id") == F.col("_user")) & at, "left")
+    return out.withColumn("fire_ts", F.coalesce("busy_until", "fire_ts")).drop("_user", "busy_from", "busy_until")
+
+
 def debounce(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     """Bursts of changes of a root: an event opens a new one if it comes a whole gap after the last."""
     w = F.session_window("ts", gap)

@@ -9,9 +9,10 @@ from strandloom.functions.scalars import path_depth, relative_path
 
 
 def empty_folders(dirs: DataFrame, entries: DataFrame, root: str) -> DataFrame:
-    """Readable folders below root without any entry; an empty subfolder is an entry."""
+    """Readable folders below root without any entry; an empty subfolder is an entry. ``sort_key`` orders them."""
     found = dirs.where((F.col("path") != root) & ~F.col("error")).join(entries.select(F.col("parent").alias("path")), "path", "left_anti")
-    return found.select("path", relative_path(F.col("path"), F.lit(root)).alias("relative_path"))
+    relative = relative_path(F.col("path"), F.lit(root))
+    return found.select("path", relative.alias("relative_path"), F.lower(relative).alias("sort_key"))
 
 
 def reverify(candidates: DataFrame, fresh_dirs: DataFrame, fresh_entries: DataFrame, root: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import same_path
@@ -34,12 +34,12 @@ def _base(name: str) -> tuple[str, str, str, str]:
 
 
 def _resolve(items: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
-    """In order: a free name is taken; else the policy decides."""
+    """In order: a free name is taken; else the policy decides. exhausted: no name was left, which ends the whole request."""
     used = {x.lower() for x in existing["name"]}
     free: dict = {}
     out = []
     for row in items.sort_values("seq").itertuples(index=False):
-        target = row.file_name
+        target, exhausted = row.file_name, False
         if target.lower() in used:
             if row.policy in ("ask", "skip"):
                 target = None
@@ -49,36 +49,68 @@ def _resolve(items: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
                 while at <= MOST_RENAMES and f"{stem} ({at}){ext}".lower() in used:
                     at += 1
                 free[stem.lower(), ext.lower()] = at
-                target = f"{stem} ({at}){ext}" if at <= MOST_RENAMES else None
+                exhausted = at > MOST_RENAMES
+                target = None if exhausted else f"{stem} ({at}){ext}"
         if target is not None:
             used.add(target.lower())
-        out.append((row.seq, row.file_name, row.policy, target))
-    return pd.DataFrame(out, columns=["seq", "file_name", "policy", "target"])
+        out.append((row.seq, row.file_name, row.policy, target, exhausted))
+    return pd.DataFrame(out, columns=["seq", "file_name", "policy", "target", "exhausted"])
+
+
+def _name_group(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the stem without trailing numbers in brackets, and the extension, both in lower case."""
+    dot = F.length(name) - F.instr(F.reverse(name), ".") + 1
+    dot = F.when((F.instr(name, ".") > 0) & (dot > 1), dot).otherwise(F.length(name) + 1)
+    df = df.withColumn("_dot", dot)
+    stem = F.regexp_replace(F.lower(F.expr(f"substring({name}, 1, _dot - 1)")), r"( \(\d+\))+$", "")
+    return df.withColumn("_stem", stem).withColumn("_ext", F.lower(F.expr(f"substring({name}, _dot)"))).drop("_dot")
 
 
 def auto_rename(items: DataFrame, existing: DataFrame) -> DataFrame:
     """Collision-free targets, as if item after item in order of seq.
 
     Names of different groups (lower-case stem without trailing numbers in
-    brackets, extension) never meet, so groups are worked through by themselves.
+    brackets, extension) never meet, so groups are worked through by themselves. Most
+    groups have no collision at all and never leave the JVM; of the others one holds at
+    most the items that ask for names of one stem.
     """
-    group = lambda df, name: df.withColumn("_dot", F.expr(f"length({name}) - locate('.', reverse({name})) + 1")).withColumn("_dot", F.expr(f"case when instr({name}, '.') > 0 and _dot > 1 then _dot else length({name}) + 1 end")).withColumn("_stem", F.regexp_replace(F.lower(F.expr(f"substring({name}, 1, _dot - 1)")), r"( \(\d+\))+$", "")).withColumn("_ext", F.lower(F.expr(f"substring({name}, _dot)"))).drop("_dot")
-    left = group(items.select("seq", "file_name", "policy"), "file_name")
-    right = group(existing.select("name"), "name")
-    return left.groupBy("_stem", "_ext").cogroup(right.groupBy("_stem", "_ext")).applyInPandas(_resolve, "seq long, file_name string, policy string, target string")
+    left = _name_group(items.select("seq", "file_name", "policy"), "file_name")
+    right = _name_group(existing.select("name"), "name")
+    group = ["_stem", "_ext"]
+    crowd = left.groupBy(*group).agg(F.count("*").alias("_n"))
+    alone = crowd.where("_n = 1").join(right.select(*group).distinct(), group, "left_anti").select(*group)
+    simple = left.join(alone, group, "left_semi").select("seq", "file_name", "policy", F.col("file_name").alias("target"), F.lit(False).alias("exhausted"))
+    rest = left.join(alone, group, "left_anti")
+    schema = "seq long, file_name string, policy string, target string, exhausted boolean"
+    return simple.unionByName(rest.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_resolve, schema))
+
 
+def plan(items: DataFrame, existing: DataFrame, destination: str) -> DataFrame:
+    """Status of each item before anything happens: missing, same place, no target, no name left, or planned.
 
-def plan(items: DataFrame, resolved: DataFrame, destination: str) -> DataFrame:
-    """Status of each item before anything happens: missing, same place, no target, or planned."""
-    out = items.join(resolved.select("seq", "target"), "seq")
+    Missing sources are skipped first and reserve no name; deletions need none.
+    """
+    moves = F.col("action").isin("copy", "move")
+    resolved = auto_rename(items.where(F.col("source_exists") & moves), existing).select("seq", "target", "exhausted")
+    out = items.join(resolved, "seq", "left")
     target = F.concat(F.lit(destination + "/"), F.col("target"))
-    status = F.when(~F.col("source_exists"), "skipped_missing").when(F.col("target").isNull(), "skipped_conflict").when(same_path(F.col("path"), target) & (F.col("action") == "move"), "skipped_same").otherwise("planned")
+    status = F.when(~F.col("source_exists"), "skipped_missing").when(~moves, "planned").when(F.col("exhausted"), "failed_names")
+    status = status.when(F.col("target").isNull(), "skipped_conflict")
+    status = status.when(same_path(F.col("path"), target) & (F.col("action") == "move"), "skipped_same").otherwise("planned")
     return out.select("seq", "path", "action", target.alias("target_path"), status.alias("status"))
 
 
+def permanent_delete(items: DataFrame, entries: DataFrame) -> DataFrame:
+    """What a permanent deletion of ``items`` (path, is_dir, source_exists) does: files go, folders only without entries (parent), a missing source fails."""
+    full = entries.select(F.col("parent").alias("path")).distinct().withColumn("_full", F.lit(True))
+    good = F.col("source_exists") & ~(F.col("is_dir") & F.coalesce("_full", F.lit(False)))
+    return items.join(full, "path", "left").withColumn("status", F.when(good, "succeeded").otherwise("failed")).drop("_full")
+
+
 def verify(items: DataFrame, cancelled: bool) -> DataFrame:
     """Result of each item by what is there afterwards."""
-    good = F.when(F.col("action").isin("recycle_delete", "permanent_delete"), ~F.col("source_exists")).when(F.col("action") == "copy", F.col("target_exists")).otherwise(~F.col("source_exists") & F.col("target_exists"))
+    gone, there = ~F.col("source_exists"), F.col("target_exists")
+    good = F.when(F.col("action").isin("recycle_delete", "permanent_delete"), gone).when(F.col("action") == "copy", there).otherwise(gone & there)
     return items.withColumn("status", F.when(good, "succeeded").when(F.lit(cancelled), "skipped").otherwise("failed"))
 
 

@@ -1,4 +1,4 @@
-"""Sorting, positions, paging, selections of a catalog. Views are per root, so windows are too."""
+"""Sorting, positions, paging, selections of a catalog, per root."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import div_ceil, natural_key
+from strandloom.operators.ordering import numbered
 
 
 def sort_keys(mode: str) -> list[Column]:
+    """What each mode sorts by, ascending."""
     keys = {
-        "modified": [F.col("modified_ns").desc()],
+        "modified": [-F.col("modified_ns")],
         "natural": [natural_key(F.col("file_name"))],
-        "size": [F.col("size").desc()],
+        "size": [-F.col("size")],
         "path": [F.lower("relative_path")],
     }[mode]
     return [*keys, F.col("id")]
@@ -20,18 +22,25 @@ def sort_keys(mode: str) -> list[Column]:
 
 def positions(catalog: DataFrame, mode: str = "modified") -> DataFrame:
     """Each row with its position, from 0, among the rows of its root."""
-    return catalog.withColumn("pos", (F.row_number().over(Window.partitionBy("root").orderBy(*sort_keys(mode))) - 1).cast("long"))
+    return numbered(catalog, ["root"], sort_keys(mode), "pos")
+
+
+def _per_root(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("root").agg(F.count("*").alias("_rows"))
 
 
 def neighbours(placed: DataFrame) -> DataFrame:
-    w = Window.partitionBy("root").orderBy("pos")
-    n = F.count("*").over(Window.partitionBy("root"))
-    return placed.select("root", "id", "pos", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"), F.concat((F.col("pos") + 1).cast("string"), F.lit(" / "), n.cast("string")).alias("label"))
+    """The rows before and after each, and its label; positions are gapless, so a neighbour is a join away."""
+    beside = lambda step, name: placed.select("root", (F.col("pos") + step).alias("pos"), F.col("id").alias(name))
+    out = placed.select("root", "id", "pos").join(beside(1, "prev_id"), ["root", "pos"], "left").join(beside(-1, "next_id"), ["root", "pos"], "left")
+    label = F.concat((F.col("pos") + 1).cast("string"), F.lit(" / "), F.col("_rows").cast("string"))
+    return out.join(_per_root(placed), "root").select("root", "id", "pos", "prev_id", "next_id", label.alias("label"))
 
 
 def grid(placed: DataFrame, width: int, thumb: int) -> DataFrame:
     cols = max(1, int(width / (thumb + 28)))
-    return placed.select("root", "id", "pos", F.expr(f"pos div {cols}").alias("row"), (F.col("pos") % cols).alias("col"), div_ceil(F.count("*").over(Window.partitionBy("root")), cols).alias("rows"))
+    out = placed.join(_per_root(placed), "root")
+    return out.select("root", "id", "pos", F.expr(f"pos div {cols}").alias("row"), (F.col("pos") % cols).alias("col"), div_ceil(F.col("_rows"), cols).alias("rows"))
 
 
 def tiers(placed: DataFrame, start: int, end: int) -> DataFrame:
@@ -60,6 +69,17 @@ def reanchor(placed: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def first_eight(chosen: DataFrame, n: int = 8) -> DataFrame:
-    ranked = chosen.withColumn("rn", F.row_number().over(Window.partitionBy("root").orderBy("pos")))
-    more = F.greatest(F.count("*").over(Window.partitionBy("root")) - n, F.lit(0))
-    return ranked.withColumn("more", more.cast("long")).where(F.col("rn") <= n).select("root", F.col("rn").cast("long").alias("rn"), "id", "more")
+    """The first rows of each root, for which a top-n is kept before the shuffle, and how many more there are."""
+    ranked = chosen.withColumn("rn", F.row_number().over(Window.partitionBy("root").orderBy("pos"))).where(F.col("rn") <= n)
+    more = F.greatest(F.col("_rows") - n, F.lit(0)).cast("long")
+    return ranked.join(_per_root(chosen), "root").select("root", F.col("rn").cast("long").alias("rn"), "id", more.alias("more"))
+
+
+def select_all(catalog: DataFrame) -> DataFrame:
+    """Every id of the catalog, once."""
+    return catalog.select("id").distinct()
+
+
+def without_failed(wanted: DataFrame, failed: DataFrame) -> DataFrame:
+    """Textures still to be decoded: those whose key hasn't failed in this generation."""
+    return wanted.join(failed.select("texture_key"), "texture_key", "left_anti")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import scalars as S
 from strandloom.operators import caches, catalog, events, folders, transfers, views
-from strandloom.plans.fixtures import CTE, current, keyed, listing, previous, table
-from strandloom.schema import CACHE_MAGIC, FORMATS, QUEUE_CAPS
+from strandloom.operators.ordering import numbered
+from strandloom.plans.fixtures import CTE, current, file_tree, keyed, listing, previous, scratch_folder, table
+from strandloom.schema import CACHE_MAGIC, QUEUE_CAPS
+from strandloom.sources import files
 from strandloom.streaming import streams
 
 QUERIES: dict = {}
@@ -20,7 +22,9 @@ def query(sql: str | None):
 
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
+        if sql and sql.startswith(", recursive "):
+            SQL[f.__name__] = CTE.replace("with ", "with recursive ", 1) + sql.replace(" recursive", "", 1)
+        elif sql:
             SQL[f.__name__] = CTE + sql
         return f
 
@@ -46,12 +50,9 @@ def _events(spark, d):
 
 def _requests(spark, d):
     role = F.when(F.col("role") == "user", "visible").when(F.col("role") == "assistant", "prefetch").otherwise("preview")
-    # numbers of arrival: per conversation, then within it
-    c = table(spark, d, "conversations")
-    sizes = c.groupBy("conv_id").agg(F.count("*").alias("_n"))
-    base = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    seq = F.col("_b") + F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return c.join(base, "conv_id").select(seq.alias("seq"), (F.col("conv_id") % 5).alias("generation"), F.col("turn").alias("epoch"), F.concat("role", F.lit("-"), (F.col("conv_id") % 7).cast("string")).alias("key"), role.alias("priority"))
+    c = numbered(table(spark, d, "conversations"), [], [F.col("conv_id"), F.col("turn")], "_k")  # numbers of arrival
+    key = F.concat("role", F.lit("-"), (F.col("conv_id") % 7).cast("string"))
+    return c.select((F.col("_k") + 1).alias("seq"), (F.col("conv_id") % 5).alias("generation"), F.col("turn").alias("epoch"), key.alias("key"), role.alias("priority"))
 
 
 def _caches(spark, d):
@@ -149,6 +150,30 @@ def incremental_diff(spark, d):
     return _diff(spark, d)
 
 
+@query("""select coalesce(c.root, p.root) as root, coalesce(c.path, p.path) as path, coalesce(p.id, c.id) as id, case when c.size is not null then c.size else p.size end as size,
+  case when c.path is null then 'removed' when c.size is null then case when p.path is null then 'skipped' else 'kept' end
+    when p.path is null then 'inserted' when c.size = p.size and c.modified_ns = p.modified_ns and c.format = p.format then 'reused' else 'updated' end as status
+  from (select * replace (case when id % 13 = 0 then null else size end as size) from cur) c full outer join prev p on c.root = p.root and c.path = p.path""")
+def unreadable_diff(spark, d):
+    walk = current(spark, d).withColumn("size", F.when(F.col("id") % 13 != 0, F.col("size")))
+    return catalog.incremental_diff(walk, previous(spark, d)).select("root", "path", "id", "size", "status")
+
+
+_SYNC = """select root, path, coalesce(pid, top + row_number() over (partition by pid is null order by root, path))::bigint as id, size, modified_ns, width, height from (
+  select c.root, c.path, p.id as pid, coalesce(c.size, p.size) as size, coalesce(c.modified_ns, p.modified_ns) as modified_ns, (select max(id) from prev) as top,
+    case when c.size is null or c.size = p.size and c.modified_ns = p.modified_ns and c.format = p.format then p.width end as width,
+    case when c.size is null or c.size = p.size and c.modified_ns = p.modified_ns and c.format = p.format then p.height end as height
+  from (select * replace (case when id % 13 = 0 then null else size end as size) from listing where format in ('jpg','jpeg','png','webp','gif','bmp','tif','tiff','ico')) c
+  left join prev p on c.root = p.root and c.path = p.path where c.size is not null or p.id is not null)"""
+
+
+@query(_SYNC)
+def catalog_sync(spark, d):
+    """A whole scan: listing, filter, comparison, merge, guarded removal."""
+    walk = keyed(listing(spark, d)).withColumn("size", F.when(F.col("id") % 13 != 0, F.col("size"))).drop("id", "width", "height")
+    return catalog.sync(keyed(previous(spark, d)), walk).select("root", "path", "id", "size", "modified_ns", "width", "height")
+
+
 @query("select id, path from prev where (root, path) not in (select (root, path) from cur)")
 def removed_paths(spark, d):
     return catalog.removed_paths(current(spark, d), previous(spark, d)).select("id", "path")
@@ -213,9 +238,13 @@ def metadata_changed(spark, d):
     return catalog.changed_metadata(current(spark, d), res).select("id", "width", "height")
 
 
-@query("select root, path, count(*) as n from cur group by root, path")
+@query("""select id, root, path, size, width from (select *, row_number() over (partition by root, path order by id desc) as k from
+  (select id, root, path, size, width from cur union all select id + 50000000, case when id % 2 = 0 then root else '/lib/two' end, path, size + 1, width from cur where id % 3 = 0)) where k = 1""")
 def schema_migrate(spark, d):
-    return catalog.migrate(current(spark, d)).groupBy("root", "path").agg(F.count("*").alias("n"))
+    """Rows of schema 1, where one path may stand under two roots, some under the same root twice."""
+    more = current(spark, d).where("id % 3 = 0").withColumn("root", F.when(F.col("id") % 2 == 0, F.col("root")).otherwise("/lib/two"))
+    more = more.withColumn("id", F.col("id") + 50_000_000).withColumn("size", F.col("size") + 1)
+    return catalog.migrate(current(spark, d).unionByName(more)).select("id", "root", "path", "size", "width")
 
 
 @query("select root, path, count(*) as n from (select root, path from cur union all select root, path from prev) group by root, path having count(*) > 1")
@@ -286,6 +315,23 @@ def top8_selected(spark, d):
     return views.first_eight(views.selected(_placed(spark, d), _selection(spark, d)))
 
 
+@query("select distinct id from cur")
+def select_all(spark, d):
+    return views.select_all(current(spark, d))
+
+
+@query(f"select id from cur where id not in (select id from cur where id % 6 = 0)")
+def without_failed(spark, d):
+    """Textures to decode, without those whose key failed."""
+    wanted = keyed(current(spark, d)).select("id", S.texture_key(F.col("thumbnail_key"), F.lit(False)).alias("texture_key"))
+    return views.without_failed(wanted, wanted.where("id % 6 = 0")).select("id")
+
+
+@query("select path from placed where id in (select id from sel)")
+def selected_paths(spark, d):
+    return views.selected(_placed(spark, d), _selection(spark, d)).select("path")
+
+
 # --- transfers
 
 
@@ -306,24 +352,53 @@ def policy_resolve(spark, d):
     return transfers.policies(current(spark, d), over, "auto_rename").select("id", "policy")
 
 
-_PART_NAMES = "(select p_partkey as seq, p_name || '.jpg' as file_name, row_number() over (partition by lower(p_name) order by p_partkey) - 1 as k from part)"
+# names in a folder: of every seventh part the name itself, of every eleventh " (1)" and " (3)" of it
+_THERE = """there as (select distinct p_name || '.jpg' as name from part where p_partkey % 7 = 0
+  union select distinct p_name || ' (1).jpg' from part where p_partkey % 11 = 0 union select distinct p_name || ' (3).jpg' from part where p_partkey % 11 = 0)"""
+
+
+def _there(spark, d):
+    p = _parts(spark, d)
+    of = lambda k, end: p.where(F.col("p_partkey") % k == 0).select(F.concat("p_name", F.lit(end)).alias("name"))
+    return of(7, ".jpg").union(of(11, " (1).jpg")).union(of(11, " (3).jpg")).distinct()
+
 
+# the free names of a stem in order: itself, then (1), (2), ...; the items of the stem take them in turn
+_RENAMED = """renamed as (select i.seq, i.file_name, i.k, (list_filter([i.stem || '.jpg'] || list_transform(range(1, i.n + 4), lambda x: i.stem || ' (' || x || ').jpg'),
+    lambda x: not list_contains(i.taken, lower(x))))[i.k] as target
+  from (select *, row_number() over (partition by lower(file_name) order by seq) as k, count(*) over (partition by lower(file_name)) as n, file_name[:-5] as stem,
+    coalesce((select list(lower(name)) from there where starts_with(lower(name), lower(file_name[:-5]))), []) as taken from items) i)"""
 
-@query(f"select seq, case when k = 0 then file_name else file_name[:-5] || ' (' || k || ').jpg' end as target from {_PART_NAMES}")
+
+@query(f""", {_THERE}, items as (select p_partkey as seq, p_name || '.jpg' as file_name from part), {_RENAMED}
+select seq, target from renamed""")
 def auto_rename(spark, d):
     items = _parts(spark, d).select(F.col("p_partkey").alias("seq"), F.concat("p_name", F.lit(".jpg")).alias("file_name"), F.lit("auto_rename").alias("policy"))
-    return transfers.auto_rename(items, items.select(F.col("file_name").alias("name")).limit(0)).select("seq", "target")
+    return transfers.auto_rename(items, _there(spark, d)).select("seq", "target")
 
 
 def _plan_items(spark, d):
-    return _parts(spark, d).select(F.col("p_partkey").alias("seq"), F.concat("p_name", F.lit(".jpg")).alias("file_name"), F.when(F.col("p_partkey") % 3 == 0, "skip").otherwise("auto_rename").alias("policy"), F.concat(F.lit("/src/"), "p_name", F.lit(".jpg")).alias("path"), F.when(F.col("p_partkey") % 2 == 0, "copy").otherwise("move").alias("action"), (F.col("p_partkey") % 10 != 0).alias("source_exists"))
+    name = F.concat("p_name", F.lit(".jpg"))
+    action = F.element_at(F.array(*[F.lit(x) for x in ("copy", "move", "recycle_delete")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    path = F.concat(F.when(F.col("p_partkey") % 5 == 0, "/dest/").otherwise("/src/"), name)
+    return _parts(spark, d).select(F.col("p_partkey").alias("seq"), name.alias("file_name"), F.lit("auto_rename").alias("policy"), path.alias("path"), action.alias("action"), (F.col("p_partkey") % 10 != 0).alias("source_exists"))
+
+
+@query(f""", {_THERE}, every as (select p_partkey as seq, p_name || '.jpg' as file_name, case when p_partkey % 5 = 0 then '/dest/' else '/src/' end || p_name || '.jpg' as path,
+  ['copy', 'move', 'recycle_delete'][(p_partkey % 3 + 1)::int] as action, p_partkey % 10 <> 0 as source_exists from part),
+items as (select * from every where source_exists and action <> 'recycle_delete'), {_RENAMED}
+select e.seq, e.path, e.action, '/dest/' || r.target as target_path,
+  case when not source_exists then 'skipped_missing' when action = 'move' and lower(path) = lower('/dest/' || r.target) then 'skipped_same' else 'planned' end as status
+from every e left join renamed r on e.seq = r.seq""")
+def op_plan(spark, d):
+    return transfers.plan(_plan_items(spark, d), _there(spark, d), "/dest")
 
 
-@query(None)
-def op_plan(spark, d):
-    items = _plan_items(spark, d)
-    there = _parts(spark, d).where("p_partkey % 11 = 0").select(F.concat("p_name", F.lit(".jpg")).alias("name")).distinct()
-    return transfers.plan(items, transfers.auto_rename(items, there), "/dest")
+@query("select id, case when id % 7 = 0 or id % 3 = 0 and id % 2 = 0 then 'failed' else 'succeeded' end as status from cur")
+def permanent_delete(spark, d):
+    items = current(spark, d).select("id", "path", (F.col("id") % 3 == 0).alias("is_dir"), (F.col("id") % 7 != 0).alias("source_exists"))
+    entries = current(spark, d).where("id % 2 = 0").select(F.col("path").alias("parent"))
+    return transfers.permanent_delete(items, entries).select("id", "status")
 
 
 def _report(spark, d):
@@ -367,15 +442,20 @@ entries as (select '/w' as parent union select a from deep union select b from d
 """
 
 
-@query(_TREE + "select path, path[4:] as relative_path from tree where path <> '/w' and path not in (select parent from entries)")
+@query(_TREE + "select path, path[4:] as relative_path, lower(path[4:]) as sort_key from tree where path <> '/w' and path not in (select parent from entries)")
 def empty_folders(spark, d):
     return folders.empty_folders(*_tree(spark, d), "/w")
 
 
-@query(_TREE + "select path, path[4:] as relative_path from tree where path <> '/w' and path not in (select parent from entries)")
+@query(_TREE + """select path, path[4:] as relative_path from tree where path <> '/w' and path not in (select parent from entries)
+  and length(path) % 4 <> 1 and length(path) % 5 <> 2""")
 def empty_reverify(spark, d):
+    """Since the folders were found empty, some got a file, some went, and some can't be read."""
     dirs, entries = _tree(spark, d)
-    return folders.reverify(dirs, dirs, entries, "/w")
+    found = folders.empty_folders(dirs, entries, "/w")
+    later = entries.union(dirs.where("length(path) % 4 = 1").select("path"))
+    still = dirs.where("length(path) % 5 <> 2 or length(path) % 2 = 0").withColumn("error", F.expr("length(path) % 5 = 2"))
+    return folders.reverify(found, still, later, "/w").select("path", "relative_path")
 
 
 @query(_TREE + "select count(*) as visited, 0::bigint as errors, count(*) filter (path <> '/w' and path not in (select parent from entries)) as found from tree")
@@ -386,8 +466,8 @@ def empty_stats(spark, d):
 
 @query(_TREE + "select path, (length(path) - length(replace(path, '/', '')))::bigint as depth, row_number() over (order by length(path) - length(replace(path, '/', '')) desc, path) as rank from tree")
 def depth_order(spark, d):
-    out = folders.depth_order(_tree(spark, d)[0].select("path"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("depth").desc(), "path")).cast("long"))
+    out = numbered(folders.depth_order(_tree(spark, d)[0].select("path")), [], [-F.col("depth"), F.col("path")], "rank")
+    return out.withColumn("rank", F.col("rank") + 1)
 
 
 # --- caches
@@ -455,8 +535,7 @@ def latest_wins(spark, d):
   from (select root, path, size, row_number() over (partition by root order by pos) - 1 as pos from placed where id % 3 <> 0) p
   full outer join (select root, path, size + 5 as size, id as first from cur where id % 2 = 0) u on p.root = u.root and p.path = u.path)""")
 def apply_upserts(spark, d):
-    w = Window.partitionBy("root").orderBy("pos")
-    rec = _placed(spark, d).where("id % 3 <> 0").select("root", "path", "size", (F.row_number().over(w) - 1).cast("long").alias("pos"))
+    rec = views.positions(current(spark, d).where("id % 3 <> 0")).select("root", "path", "size", "pos")
     ev = current(spark, d).where("id % 2 = 0").select("root", "path", (F.col("size") + 5).alias("size"), F.col("id").alias("seq"))
     first = ev.withColumn("size", F.lit(1).cast("long")).withColumn("seq", F.col("seq"))
     return events.apply_upserts(rec, first.withColumn("seq", F.col("seq") * 2).unionByName(ev.withColumn("seq", F.col("seq") * 2 + 1)))
@@ -510,6 +589,62 @@ def debounce_sessions(spark, d):
     return events.debounce(streams.changes(table(spark, d, "events")))
 
 
-@query(None)
+_BURSTS = """select user_id, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from (
+  select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from (
+    select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 6 hour then 0 else 1 end as fresh from events where event_type <> 'view'))
+  group by user_id, session"""
+
+
+@query(f"""select b.user_id, b.first_ts, coalesce(w.busy_until, last_ts + interval 6 hour) as fire_ts from ({_BURSTS}) b
+  left join (select o_custkey as user_id, timestamp '2024-01-05' + interval 1 hour * (o_custkey % 400) as busy_from, timestamp '2024-01-06' + interval 1 hour * (o_custkey % 400) as busy_until
+    from (select distinct o_custkey from orders)) w on b.user_id = w.user_id and last_ts + interval 6 hour >= busy_from and last_ts + interval 6 hour < busy_until""")
+def debounce_busy(spark, d):
+    who = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    begin = F.expr("timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(0, cast(user_id % 400 as int))").cast("timestamp")
+    kind = table(spark, d, "events").schema["ts"].dataType
+    busy = who.withColumn("busy_from", begin.cast(kind)).withColumn("busy_until", (F.col("busy_from") + F.expr("interval 24 hours")).cast(kind))
+    bursts = events.debounce(streams.changes(table(spark, d, "events")))
+    return events.fire_times(bursts, busy).select("user_id", "first_ts", "fire_ts")
+
+
+@query(""", recursive shown as (
+  select e.event_id, e.user_id, e.ts from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) e where k = 1
+  union all
+  select n.event_id, n.user_id, n.ts from (
+    select e.event_id, e.user_id, e.ts, row_number() over (partition by e.user_id order by e.ts, e.event_id) as k
+    from shown s join events e on e.user_id = s.user_id and e.ts >= s.ts + interval 6 hour) n where k = 1)
+select event_id, user_id, ts from shown""")
 def throttle(spark, d):
     return streams.throttle(table(spark, d, "events"))
+
+
+# --- files: a small tree, written under the session's folder, whose names come from the pages
+
+
+@query("select 'f' || page_id || '.png' as name, 24::bigint as size, false as error from pages")
+def scan_files(spark, d):
+    return files.scan_files(spark, file_tree(spark, d)).select(S.file_name(F.col("path")).alias("name"), "size", "error")
+
+
+@query("select distinct 'd' || page_id % 7 as name, false as error from pages union select 'tree', false union select 'none', false")
+def dir_scan(spark, d):
+    return files.directories(files.scan_tree(spark, file_tree(spark, d))).select(S.file_name(F.col("path")).alias("name"), "error")
+
+
+@query("select 'f' || page_id || '.png' as name, (page_id % 50 + 1)::int as width, (page_id % 30 + 2)::int as height from pages")
+def image_dims(spark, d):
+    dims = files.image_dims(files.scan_files(spark, file_tree(spark, d)))
+    return dims.select(S.file_name(F.col("path")).alias("name"), "width", "height")
+
+
+@query("select c.id, case when c.id % 3 = 0 and c.id % 4 <> 0 then (c.id % 640 + 1)::int else c.width end as width, case when c.id % 3 = 0 and c.id % 4 <> 0 then (c.id % 480 + 1)::int else c.height end as height from cur c")
+def metadata_stream(spark, d):
+    """Metadata updates as a stream of files, merged into a stored catalog."""
+    base = scratch_folder(spark)
+    store = catalog.VersionedStore(spark, f"{base}/store")
+    store.commit(current(spark, d))
+    roots = current(spark, d).select("id", "root")
+    _updates(spark, d).where("seq = 2").join(roots, "id").repartition(3).write.parquet(f"{base}/updates")
+    rows = spark.readStream.schema(spark.read.parquet(f"{base}/updates").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/updates")
+    streams.write_metadata(rows, store, f"{base}/checkpoint").awaitTermination()
+    return store.read().select("id", "width", "height")

@@ -25,3 +25,13 @@ CACHE_MAGIC = "RIPTHM2\0"
 DISK_HIGH, DISK_LOW, TEXTURE_BUDGET = 1 << 30, 800 << 20, 256 << 20
 FIRST_BATCH, NEXT_BATCH = 128, 512
 KEY_VERSION = "thumb-v2-256"
+
+
+def storage_locations(base: str) -> dict[str, str]:
+    """Where a catalog and its caches lie below a base folder."""
+    return {"catalog": f"{base}/data/catalog", "thumbnails": f"{base}/data/cache/thumbnails"}
+
+
+def decoder_threads(cores: int) -> int:
+    """Workers that decode images: one core is left to the rest, two work at least and eight at most."""
+    return max(2, min(8, cores - 1))

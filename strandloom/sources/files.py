@@ -8,9 +8,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "path string, parent string, is_dir boolean, is_symlink boolean, size long, modified_ns long, error boolean"
+CHANGES = "path string, modified_ns long, event_type string"
+#: The driver lists folders, level by level, until there are so many to deal out.
+PARTS = 256
+#: Bytes of a file that are read for its dimensions; only of a JPEG file with larger leading segments more.
+HEADER = 64 << 10
 
 
 class _Top(InputPartition):
@@ -30,17 +36,26 @@ def _row(entry: os.DirEntry, parent: str):
 
 
 class _Reader(DataSourceReader):
-    """The driver lists the root; each of its folders is a partition, walked on an executor."""
+    """The driver lists the topmost levels; each folder below is a partition, walked on an executor."""
 
     def __init__(self, root: str):
         self.root = root
 
     def partitions(self):
-        tops = [e.path for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]  # an unreadable root fails the scan
-        return [_Top(self.root, False), *(_Top(p, True) for p in tops)]
+        listed, level = [], [self.root]
+        while level and len(level) < PARTS:
+            below = []
+            for folder in level:
+                try:
+                    below += [e.path for e in sorted(os.scandir(folder), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+                except OSError:
+                    if folder == self.root:  # an unreadable root fails the scan
+                        raise
+            listed, level = listed + level, below
+        return [*(_Top(p, False) for p in listed), *(_Top(p, True) for p in level)]
 
     def read(self, partition: _Top) -> Iterator[tuple]:
-        if not partition.deep:
+        if partition.path == self.root:
             yield (self.root, None, True, False, None, None, False)
         stack = [partition.path]
         while stack:
@@ -71,6 +86,47 @@ class FileTree(DataSource):
         return _Reader(self.options["path"])
 
 
+class _Changes(SimpleDataSourceStreamReader):
+    """Offsets are times of modification; a batch has what was modified after the last one."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"ns": -1}
+
+    def _between(self, after: int, upto: int | None) -> list[tuple]:
+        walk = _Reader(self.root)
+        rows = [r for part in walk.partitions() for r in walk.read(part) if r[1] is not None and r[5] is not None]
+        return sorted((r[0], r[5], "modify") for r in rows if r[5] > after and (upto is None or r[5] <= upto))
+
+    def read(self, start: dict):
+        rows = self._between(start["ns"], None)
+        return iter(rows), {"ns": max([start["ns"], *(r[1] for r in rows)])}
+
+    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
+        return iter(self._between(start["ns"], end["ns"]))
+
+
+class FileChanges(DataSource):
+    """spark.readStream.format("file_changes").load(root): entries below root that were made or modified, batch after batch."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_changes"
+
+    def schema(self) -> str:
+        return CHANGES
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _Changes(self.options["path"])
+
+
+def change_stream(spark: SparkSession, root: str) -> DataFrame:
+    spark.dataSource.register(FileChanges)
+    return spark.readStream.format("file_changes").load(root)
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(FileTree)
     return spark.read.format("file_tree").load(root)
@@ -141,12 +197,31 @@ def _jpeg(data: bytes):
     return None
 
 
+def _header(path: str) -> tuple[int, int] | None:
+    """Dimensions from the first bytes of a file; a JPEG file is read on if these don't tell."""
+    try:
+        with open(path, "rb") as f:
+            data = f.read(HEADER)
+            found = dimensions(data)
+            if found is None and data[:2] == b"\xff\xd8":
+                found = dimensions(data + f.read())
+            return found
+    except OSError:
+        return None
+
+
 def image_dims(files: DataFrame) -> DataFrame:
-    """path, width, height of rows of the binaryFile source; null where the header can't be read."""
+    """path, width, height of files by path, as the walk gives them; null where the header can't be read."""
 
     def read(batches):
         for batch in batches:
-            found = [dimensions(x.as_py() or b"") for x in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([f and int(f[0]) for f in found], pa.int32()), pa.array([f and int(f[1]) for f in found], pa.int32())], ["path", "width", "height"])
+            found = [_header(x.as_py()) for x in batch.column("path")]
+            dims = [pa.array([f and int(f[k]) for f in found], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *dims], ["path", "width", "height"])
+
+    return files.select("path").mapInArrow(read, "path string, width int, height int")
+
 
-    return files.select("path", "content").mapInArrow(read, "path string, width int, height int")
+def directories(tree: DataFrame) -> DataFrame:
+    """Folders of a walk, each once: those it listed and those it could not."""
+    return tree.where("is_dir").groupBy("path").agg(F.bool_or("error").alias("error"))

@@ -30,7 +30,7 @@ def _kept(frame: pd.DataFrame, last, step: pd.Timedelta):
     return frame[keep], last
 
 
-def throttle(events: DataFrame, key: str = "user_id", interval: str = "6 hours", span: str = "30 days") -> DataFrame:
+def throttle(events: DataFrame, key: str = "user_id", interval: str = "6 hours") -> DataFrame:
     """Events that are shown: the first of a key, then each that comes a whole interval after the last one shown.
 
     The interval starts anew at each event shown, so a key's events are gone
@@ -65,15 +65,47 @@ class Throttle(StatefulProcessor):
         pass
 
 
-def write_metadata(updates: DataFrame, store: VersionedStore, checkpoint: str):
-    """Micro-batches of metadata updates merged into the catalog, each guarded; a batch that runs twice changes nothing more."""
+def _batches(rows: DataFrame, store: VersionedStore, checkpoint: str, merged):
+    """Each micro-batch is merged into the roots that it touches; ``merged(rows of these roots, batch)`` gives their new rows."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.commit(update_metadata(store.read(), batch))
+        version = store.version()
+        roots = [r["root"] for r in batch.select("root").distinct().collect()]
+        old = store.read(roots)
+        if roots and old is not None:
+            store.commit_roots(merged(old, batch), roots, after=version)
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_metadata(updates: DataFrame, store: VersionedStore, checkpoint: str):
+    """Micro-batches of metadata updates (with root) merged into the catalog, each guarded; a batch that runs twice changes nothing more.
+
+    Updates of roots without rows fall out: there is nothing that they fit.
+    """
+    return _batches(updates, store, checkpoint, lambda old, batch: update_metadata(old, batch.drop("root")))
+
+
+def reduce_events(events: DataFrame, store: VersionedStore, checkpoint: str):
+    """A snapshot in the store, then deltas: upserts and removes (root, path, kind, size, seq) folded into it, batch after batch.
+
+    Rows hold the seq that wrote them, so an event that comes again or late changes nothing. A removed path
+    stays as a row with size null, for the events that come late; ``live`` leaves these out.
+    """
+
+    def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
+        size = F.when(F.col("kind") == "upsert", F.col("size"))
+        new = batch.where("kind in ('upsert', 'remove')").select("root", "path", size.alias("size"), F.col("seq").cast("long").alias("seq"))
+        both = old.select("root", "path", "size", "seq").unionByName(new)
+        return both.groupBy("root", "path").agg(F.max_by(F.struct("size", "seq"), "seq").alias("r")).select("root", "path", "r.*")
+
+    return _batches(events, store, checkpoint, merged)
+
 
-    return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def live(rows: DataFrame) -> DataFrame:
+    return rows.where("size is not null")
 
 
 def cancel(spark, tag: str) -> None:
-    """Stop the jobs of a superseded scan or sort."""
-    spark.interruptTag(tag)
+    """Stop the jobs of a superseded scan or sort: those of threads that called ``spark.sparkContext.addJobTag(tag)``."""
+    spark.sparkContext.cancelJobsWithTag(tag)
