@@ -15,6 +15,9 @@ GRAM, PERCENT = 4, 85
 ASKED = 1.6
 #: ...and of a small set so many at least, about.
 ASKED_LEAST = 24
+#: A region with more points than this, not all of one component, is divided by one more pivot, so many times at most; what
+#: is left is joined in either case.
+LEAF, LEVELS = 512, 2
 #: Parts, by hash of shingle or point, in which shingles of open points are counted and placed: disk holds the shuffle of one.
 PARTS = 2
 _U = np.uint64
@@ -194,28 +197,62 @@ def _regions(places: DataFrame) -> DataFrame:
 
 
 def _inner_pairs(last: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that meet in an inner region and can be linked.
+    """(a, b) of different components that meet in a region, one of them at home there, and can be linked.
 
-    At the first key two points share, what follows it bounds their overlap. For the
+    At the first shingle two points share, what follows it bounds their overlap. For the
     smaller point of a linked pair this bound holds against its own size, too, so
-    only points whose key comes that early meet the others of their region.
+    only points whose shingle comes that early meet the others of their region.
     """
     need = F.expr(f"(n * {2 * percent} + {99 + percent}) div {100 + percent}")
     early = last.where(F.col("place") <= F.col("n") - need + 1)
-    small = lambda rows: rows.select("key", F.col("member").alias("a"), F.col("l").alias("la"), F.col("d").alias("da"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    can = (F.col("la") != F.col("l")) & (F.col("na") <= F.col("n")) & (F.col("na") * 100 >= F.col("n") * percent)
+    names = {"member": "a", "l": "la", "d": "da", "n": "na", "place": "pa", "home": "ha"}
+    small = lambda rows: rows.select("cell", *[F.col(x).alias(y) for x, y in names.items()])
+    can = (F.col("la") != F.col("l")) & (F.col("na") <= F.col("n")) & (F.col("na") * 100 >= F.col("n") * percent) & (F.col("ha") | F.col("home"))
     can &= F.coalesce(F.abs(F.col("da") - F.col("d")) <= (100 - percent) / 100 + _EPS, F.lit(True))
     can &= (F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("place")) + 1) * (100 + percent) >= (F.col("na") + F.col("n")) * percent
     apart, rest = F.col("l") != F.col("main"), F.col("l") == F.col("main")
-    pairs = small(early.where(apart)).join(last, "key").where(can)
-    pairs = pairs.select("a", "member").unionByName(small(early.where(rest)).join(last.where(apart), "key").where(can).select("a", "member"))
+    pairs = small(early.where(apart)).join(last, "cell").where(can).select("a", "member")
+    pairs = pairs.unionByName(small(early.where(rest)).join(last.where(apart), "cell").where(can).select("a", "member"))
     return pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
 
 
-def labelled(points: DataFrame, group: DataFrame) -> DataFrame:
-    """Each member with the label of its component, itself if it has no link."""
-    label = group.select(F.col("node").alias("member"), F.col("component_id").alias("label"))
-    return points.join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
+def _undone(cells: DataFrame, group: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of regions that hold several components, with each point's component (l) and its pivot's (main)."""
+    label = group.select(F.col("node").alias("member"), F.col("component_id").alias("l"))
+    main = group.select(F.col("node").alias("pivot"), F.col("component_id").alias("main"))
+    rows = cells.join(label, "member", "left").join(main, "pivot", "left")
+    rows = scratch.save(rows.withColumns({"l": F.coalesce("l", "member"), "main": F.coalesce("main", "pivot")}))
+    out = scratch.save(rows.join(rows.where("l <> main").select("cell").distinct(), "cell", "left_semi"))
+    scratch.drop(rows)
+    return out
+
+
+def _divided(rest: DataFrame, leaf: int, percent: int, measured, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Large regions as two Voronoi cells each, the others as they are, and the distances that were measured for it.
+
+    The second pivot is the farthest point outside the first one's component. A point's home is
+    the cell of its nearer pivot, and it is replicated to the other if that is no farther than
+    the threshold's radius twice beyond: of two linked points each reaches the other's home.
+    """
+    far = F.struct((F.col("l") != F.col("main")).cast("int"), F.coalesce("d", F.lit(1.0)), F.xxhash64("member"))
+    big = scratch.save(rest.groupBy("cell").agg(F.count("*").alias("_n"), F.max_by("member", far).alias("q")).where(F.col("_n") > leaf).select("cell", "q"))
+    if not big.limit(1).count():
+        return None
+    inside = rest.drop("l", "main").join(big, "cell")
+    pairs = inside.where("member <> q").select(F.col("member").alias("a"), F.col("q").alias("b"))
+    pairs = pairs.unionByName(inside.where("d is null").select(F.col("member").alias("a"), F.col("pivot").alias("b"))).distinct()
+    got = measured(pairs)
+    to = lambda pivot, name: got.select(F.col("a").alias("member"), F.col("b").alias(pivot), F.col("d").alias(name))
+    both = inside.join(to("q", "_dq"), ["member", "q"], "left").join(to("pivot", "_dp"), ["member", "pivot"], "left")
+    dp, dq = F.coalesce("d", "_dp"), F.when(F.col("member") == F.col("q"), 0.0).otherwise(F.col("_dq"))
+    ways = F.array(F.struct(F.lit(0).alias("k"), F.col("pivot").alias("p"), dp.alias("d")), F.struct(F.lit(1).alias("k"), F.col("q").alias("p"), dq.alias("d")))
+    near = F.least(dp, dq)
+    both = both.select("cell", "member", "n", "place", "home", near.alias("_near"), F.when(dp <= dq, 0).otherwise(1).alias("_home"), F.explode(ways).alias("w"))
+    both = both.where(F.col("w.d") <= F.col("_near") + 2 * (100 - percent) / 100 + _EPS)
+    home = F.col("home") & (F.col("w.k") == F.col("_home"))
+    both = both.select(F.xxhash64("cell", "w.k").alias("cell"), "member", F.col("w.p").alias("pivot"), "n", "place", F.col("w.d").alias("d"), home.alias("home"))
+    small = rest.join(big, "cell", "left_anti").select(both.columns)
+    return scratch.save(small.unionByName(both)), got
 
 
 def _open(docs: DataFrame, nodes: DataFrame, gram: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -237,21 +274,26 @@ def _open(docs: DataFrame, nodes: DataFrame, gram: int, percent: int, scratch: S
     return out
 
 
-def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; linked: 100 * intersection >= percent * union.
 
     The join works on distinct sets; equal sets are one point with many documents.
 
-    1. Far points. A point none of whose pivots could be nearer than the threshold needs
-       no region: linked points have most shingles in common, so of a choice of
-       shingles by hash enough must stand in a second set. Most points end here.
-    2. Regions. Shingles are ordered by how few of the open points have them, and a
+    1. Far points. Linked points have most shingles in common, so of a choice of shingles
+       by hash enough must stand in a second set. A point for which this fails has no
+       point, and so no pivot, within the radius; most points end here.
+    2. First regions. Pivots alone don't divide this space, in which nearly all distances
+       are 1. Shingles are ordered by how few of the open points have them, and a
        point is replicated to the regions of its first shingles, of a length that
        linked points must share one. Regions with the same points are one. A region's
-       pivot is its most central point.
-    3. Exact distances from points to their pivots. A point within the radius of its
-       pivot is linked with it, so a region whose points are in one component is done.
-    4. In the others, points outside the pivot's component are compared with those of
+       pivot is its most central point, and distances from points to pivots are exact.
+    3. A point within the radius of a pivot is linked with it. A region whose points are
+       in one component is done.
+    4. Recursion. Other regions with more than ``leaf`` points get a second pivot, and are
+       divided in Voronoi cells: a point's home is the cell of its nearest pivot, and the
+       window of the triangle inequality replicates it to the cell beyond the border.
+       Cells are regions again.
+    5. In what is left, points outside the pivot's component are compared with those of
        other components inside the window of the triangle inequality: distances of
        linked points to the pivot differ by at most the radius. The places of the
        shared shingle bound the overlap; pairs below the threshold by this bound don't
@@ -294,15 +336,19 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame
     near = measured(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     links = near.where("linked").select("a", "b")
     group = components(links, scratch)
-    label = group.select(F.col("node").alias("member"), F.col("component_id").alias("l"))
-    main = group.select(F.col("node").alias("pivot"), F.col("component_id").alias("main"))
     far = near.select(F.col("a").alias("member"), F.col("b").alias("pivot"), "d")  # no row: sizes out of the pivot's window
     d = F.when(F.col("member") == F.col("pivot"), 0.0).otherwise(F.col("d"))
-    last = members.withColumnRenamed("node", "member").join(label, "member", "left").join(main, "pivot", "left").join(far, ["member", "pivot"], "left")
-    last = scratch.save(last.select("key", "member", F.coalesce("main", "pivot").alias("main"), F.coalesce("l", "member").alias("l"), "n", "place", d.alias("d")))
-    scratch.drop(members)
-    undone = last.where("l <> main").select("key").distinct()
-    rest = scratch.save(last.join(undone, "key", "left_semi"))
+    cells = members.withColumnRenamed("node", "member").join(far, ["member", "pivot"], "left")
+    cells = cells.select(F.col("key").alias("cell"), "member", "pivot", "n", "place", d.alias("d"), F.lit(True).alias("home"))
+    for level in range(LEVELS + 1):
+        rest = _undone(cells, group, scratch)
+        parts = _divided(rest, leaf, percent, measured, scratch) if level < LEVELS else None
+        if parts is None:
+            break
+        cells, got = parts
+        links = links.unionByName(got.where("linked").select("a", "b"))
+        group = components(links, scratch)
+    label = group.select(F.col("node").alias("member"), F.col("component_id").alias("l"))
     more = measured(scratch.save(_inner_pairs(rest, percent))).where("linked").select("a", "b")
     # the links of both steps between components, named by their least node
     ends = more.join(label.select(F.col("member").alias("a"), F.col("l").alias("la")), "a", "left").join(label.select(F.col("member").alias("b"), F.col("l").alias("lb")), "b", "left")

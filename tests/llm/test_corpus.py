@@ -50,10 +50,17 @@ class Groups(dict):
         self[max(a, b)] = min(a, b)
 
 
-@pytest.mark.parametrize(("gram", "percent"), [(4, 85), (5, 80), (2, 50)])
-def test_jaccard_equals_brute_force(spark, gram, percent):
+@pytest.mark.parametrize(("gram", "percent", "leaf"), [(4, 85, 512), (5, 80, 2), (2, 50, 2), (1, 60, 3)])
+def test_jaccard_equals_brute_force(spark, gram, percent, leaf):
+    rng = np.random.default_rng(17)
+    families = [[f"f{f}_{x}" for x in range(40)] + [f"c{x}" for x in range(30)] for f in range(4)]  # near each other, and farther
     texts = corpus(n=80)
-    got = {r.doc_id: r for r in jaccard.join(docs_of(spark, texts, [(None, "one two", None, None, None, None)]), gram, percent).collect()}
+    for k in range(40):
+        w = list(families[k % 4])
+        for j in rng.integers(0, 70, k // 4):
+            w[j] = f"e{k}_{j}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r for r in jaccard.join(docs_of(spark, texts, [(None, "one two", None, None, None, None)]), gram, percent, leaf).collect()}
 
     def shingles(t):
         w = [x.lower() for x in re.findall(WORD, t or "")]
