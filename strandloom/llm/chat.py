@@ -13,7 +13,10 @@ from strandloom.llm.common import Scratch, table
 
 ROLES = ("system", "user", "assistant")
 #: Other names of roles; any other name is unknown.
-SYNONYMS = {"system": "system", "developer": "system", "user": "user", "human": "user", "prompter": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
+SYNONYMS = {
+    "system": "system", "developer": "system", "user": "user", "human": "user", "prompter": "user",
+    "assistant": "assistant", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant",
+}
 MERGE, RELABEL, NAME_UNKNOWN, INSERT = 1.0, 2.0, 1.0, 3.0
 #: Turns of a conversation are worked through in spans of so many turn numbers.
 SPAN = 512
@@ -72,8 +75,15 @@ def _run(roles) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 _COSTS = pa.schema([("conv_id", pa.int64()), ("span", pa.int64()), ("cost", pa.list_(pa.float64()))])
-_STATES = pa.schema([("conv_id", pa.int64()), ("span", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()), ("conv_cost", pa.float64())])
-_TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int32()), ("role_before", pa.string()), ("role", pa.string()), ("action", pa.string()), ("cost", pa.float64()), ("text", pa.string()), ("rendered", pa.string()), ("conv_cost", pa.float64())])
+_STATES = pa.schema([
+    ("conv_id", pa.int64()), ("span", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32()), ("last", pa.bool_()),
+    ("conv_cost", pa.float64()),
+])
+_TURNS = pa.schema([
+    ("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int32()), ("role_before", pa.string()),
+    ("role", pa.string()), ("action", pa.string()), ("cost", pa.float64()), ("text", pa.string()),
+    ("rendered", pa.string()), ("conv_cost", pa.float64()),
+])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -171,7 +181,10 @@ def repair(conversations: DataFrame, span: int = SPAN) -> DataFrame:
     an empty result. Other columns are left out.
     """
     scratch = Scratch(conversations.sparkSession)
-    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.floor(F.col("turn") / span).cast("long").alias("span"))
+    turns = conversations.select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text",
+        F.floor(F.col("turn") / span).cast("long").alias("span"),
+    )
     # spans are gathered by hash to groups of bounded size, for each call into Python has its price
     groups = max(1, turns.count() // GROUP_ROWS)
     by_span = F.pmod(F.xxhash64("conv_id", "span"), F.lit(groups)).alias("part")

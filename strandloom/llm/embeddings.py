@@ -176,7 +176,11 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX)
     done = scratch.save(done.join(least, "_root").select(F.col("rep").alias("k1"), "k2", "m", "links", "component_id", F.lit(True).alias("good")))
     out = narrow.join(done, ["k1", "k2", "good"], "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
-    out = out.select("vec_id", F.when(F.col("good"), F.col("links") + F.col("m") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce("m", F.lit(1)).cast("long").alias("n_copies"))
+    out = out.select(
+        "vec_id",
+        F.when(F.col("good"), F.col("links") + F.col("m") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"), F.coalesce("m", F.lit(1)).cast("long").alias("n_copies"),
+    )
     return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "n_copies")
 
 

@@ -86,7 +86,9 @@ def _slim(gram: int, percent: int):
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = Sets(batch.column("text"), gram)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets.n), pa.array(sets.node), pa.array(Asked(sets, percent).count)], ["doc_id", "n", "node", "asked"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id"), pa.array(sets.n), pa.array(sets.node), pa.array(Asked(sets, percent).count),
+                ], ["doc_id", "n", "node", "asked"])
 
     return made
 
@@ -112,7 +114,9 @@ def _sets_of(gram: int):
                 sets = Sets(batch.column("text"), gram)
                 want = np.asarray(batch.column("want"))
                 for r in np.flatnonzero(sets.node == want).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([int(want[r])]), pa.array([int(sets.n[r])]), pa.array([sets.packed(r)], pa.binary())], ["node", "n", "items"])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([int(want[r])]), pa.array([int(sets.n[r])]), pa.array([sets.packed(r)], pa.binary()),
+                    ], ["node", "n", "items"])
 
     return made
 
@@ -141,7 +145,9 @@ def _distances(batches):
             k = int((both[1:] == both[:-1]).sum())
             shared.append(k)
             union.append(len(x) + len(y) - k)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "whole"])
+        yield pa.RecordBatch.from_arrays([
+            batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(union, pa.int64()),
+        ], ["a", "b", "shared", "whole"])
 
 
 def _exploded(part: int, parts: int):
@@ -192,7 +198,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _regions(places: DataFrame) -> DataFrame:
     """(key, pivot): the regions, of those with the same points one, under their first shingle; the pivot is the most central point."""
-    of = places.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"), F.count("*").alias("_n"), F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+    of = places.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"),
+        F.count("*").alias("_n"), F.max_by("node", F.struct("weight", "node")).alias("pivot"),
+    )
     return of.where("_n > 1").groupBy("_x", "_y", "_n").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")).select("key", "pivot")
 
 
@@ -250,7 +259,10 @@ def _divided(rest: DataFrame, leaf: int, percent: int, measured, scratch: Scratc
     both = both.select("cell", "member", "n", "place", "home", near.alias("_near"), F.when(dp <= dq, 0).otherwise(1).alias("_home"), F.explode(ways).alias("w"))
     both = both.where(F.col("w.d") <= F.col("_near") + 2 * (100 - percent) / 100 + _EPS)
     home = F.col("home") & (F.col("w.k") == F.col("_home"))
-    both = both.select(F.xxhash64("cell", "w.k").alias("cell"), "member", F.col("w.p").alias("pivot"), "n", "place", F.col("w.d").alias("d"), home.alias("home"))
+    both = both.select(
+        F.xxhash64("cell", "w.k").alias("cell"), "member", F.col("w.p").alias("pivot"), "n", "place",
+        F.col("w.d").alias("d"), home.alias("home"),
+    )
     small = rest.join(big, "cell", "left_anti").select(both.columns)
     return scratch.save(small.unionByName(both)), got
 
@@ -313,7 +325,10 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, leaf: int =
     able = docs.where("doc_id is not null")
     slim = scratch.save(docs.mapInArrow(_slim(gram, percent), "doc_id long, n long, node long, asked long"))
     named = slim.where("n > 0 and doc_id is not null")
-    nodes = scratch.save(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("asked").alias("asked"), F.count("*").alias("rows")))
+    nodes = scratch.save(named.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("asked").alias("asked"),
+        F.count("*").alias("rows"),
+    ))
     open_ = _open(able, nodes, gram, percent, scratch)
     owners = open_.select(F.col("doc_id").alias("_id"), F.col("node").alias("want"))
     texts = able.join(owners, docs["doc_id"] == owners["_id"]).select("want", "text")
@@ -329,7 +344,10 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, leaf: int =
         left = items.select(F.col("node").alias("a"), F.col("items").alias("x"))
         right = items.select(F.col("node").alias("b"), F.col("items").alias("y"))
         got = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_distances, "a long, b long, shared long, whole long")
-        return scratch.save(got.select("a", "b", (F.lit(1.0) - F.col("shared") / F.col("whole")).alias("d"), (F.col("shared") * 100 >= F.col("whole") * percent).alias("linked")))
+        return scratch.save(got.select(
+            "a", "b", (F.lit(1.0) - F.col("shared") / F.col("whole")).alias("d"),
+            (F.col("shared") * 100 >= F.col("whole") * percent).alias("linked"),
+        ))
 
     pairs = members.where("node <> pivot").select("node", "n", "pivot").distinct().join(size, "pivot")
     pairs = pairs.where(F.least("n", "np") * 100 >= F.greatest("n", "np") * percent)
@@ -351,7 +369,9 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, leaf: int =
     label = group.select(F.col("node").alias("member"), F.col("component_id").alias("l"))
     more = measured(scratch.save(_inner_pairs(rest, percent))).where("linked").select("a", "b")
     # the links of both steps between components, named by their least node
-    ends = more.join(label.select(F.col("member").alias("a"), F.col("l").alias("la")), "a", "left").join(label.select(F.col("member").alias("b"), F.col("l").alias("lb")), "b", "left")
+    ends = more.join(label.select(F.col("member").alias("a"), F.col("l").alias("la")), "a", "left").join(
+        label.select(F.col("member").alias("b"), F.col("l").alias("lb")), "b", "left",
+    )
     joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), scratch)
     joined = joined.select(F.col("node").alias("l"), F.col("component_id").alias("top"))
     root = nodes.select("node", "doc_id").join(label.withColumnRenamed("member", "node"), "node", "left").select("node", "doc_id", F.coalesce("l", "node").alias("l"))

@@ -84,9 +84,16 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     plain = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>|&[a-zA-Z#0-9]{1,10};", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    base = pages.select("page_id", "url", host.alias("host"), F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)).alias("declared"), plain.alias("text"))
+    base = pages.select(
+        "page_id", "url", host.alias("host"),
+        F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)).alias("declared"),
+        plain.alias("text"),
+    )
     if not langs:
-        return base.select("page_id", "url", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
+        return base.select(
+            "page_id", "url", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"),
+            F.lit(None).cast("string").alias("text_lang"), "declared", "host",
+        )
 
     def judged(batches):
         for whole in batches:
@@ -98,7 +105,13 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
                 value -= value.max(0)
                 share = np.exp(value)
                 share /= share.sum(0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "declared")), *map(pa.array, value), *map(pa.array, share)], ["page_id", "url", "host", "declared", *(f"v{k}" for k in range(len(langs))), *(f"p{k}" for k in range(len(langs)))])
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(c) for c in ("page_id", "url", "host", "declared")), *map(pa.array, value),
+                    *map(pa.array, share),
+                ], [
+                    "page_id", "url", "host", "declared", *(f"v{k}" for k in range(len(langs))),
+                    *(f"p{k}" for k in range(len(langs))),
+                ])
 
     ks = range(len(langs))
     fields = base.select("page_id", "url", "host", "declared").schema

@@ -111,7 +111,10 @@ class _Maker:
         if not inside:
             after.append(talk)
         if rng.random() < 0.5:
-            after.append(self.box(f"<h4>{' '.join(self.words(2))}</h4>" + self.links() + (f"<p>{self.text(1, 1)}</p>" if rng.random() < 0.4 else ""), "side", ["aside", "div"]))
+            after.append(self.box(
+                f"<h4>{' '.join(self.words(2))}</h4>" + self.links() + (f"<p>{self.text(1, 1)}</p>" if rng.random() < 0.4 else ""),
+                "side", ["aside", "div"],
+            ))
         if rng.random() < 0.3:
             after.append(f"<form><p>{self.sentence(3, 9)}</p><input></form>")
         if rng.random() < 0.85:

@@ -108,7 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT != 0)
     n = usable.count()
     mark = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
-    sample = usable.where(mark < int(1_000_000 * min(1.0, fit_rows / max(n, 1)))).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(6)).cast("int").alias("fold"))
+    sample = usable.where(mark < int(1_000_000 * min(1.0, fit_rows / max(n, 1)))).select(
+        F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"),
+        F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(6)).cast("int").alias("fold"),
+    )
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # about fit_rows rows
     got = joined.select("quality", "fold", "text", "doc_id").mapInArrow(_feature_rows, "quality int, fold int, features binary").toArrow()
     x = [np.frombuffer(v.as_py(), np.int32) for v in got.column("features")]

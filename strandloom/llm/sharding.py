@@ -114,7 +114,11 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = ROUNDS) -> DataFrame:
     columns are left out.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select("doc_id", (utf8_bytes(F.col("text")) + 1).alias("size"), F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), F.unhex(F.md5("text")).alias("_text"))
+    rows = docs.select(
+        "doc_id", (utf8_bytes(F.col("text")) + 1).alias("size"),
+        F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.unhex(F.md5("text")).alias("_text"),
+    )
     rows = scratch.save(rows)
     many = rows.where("_text is not null").groupBy("_text").agg(F.count("*").alias("_n")).where("_n > 1").select("_text", F.lit(True).alias("_linked"))
     many = scratch.save(many)

@@ -107,7 +107,11 @@ def _segments(window: int, anchor: int):
                 for k in range(0, len(lo), 50_000):
                     a, b = lo[k : k + 50_000], hi[k : k + 50_000]
                     r = words.row[a]
-                    yield pa.RecordBatch.from_arrays([pa.array(low[good[first[k : k + 50_000]]]), pa.array(np.asarray(batch.column("doc_id"))[r]), pa.array((a - words.first[r]).astype(np.int32)), _slices(data, begin[a], end[b]), *(pa.array(np.asarray(batch.column(c))[r]) for c in ("tid", "crc"))], ["anchor", "doc_id", "pos", "phrase", "tid", "crc"])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(low[good[first[k : k + 50_000]]]), pa.array(np.asarray(batch.column("doc_id"))[r]),
+                        pa.array((a - words.first[r]).astype(np.int32)), _slices(data, begin[a], end[b]),
+                        *(pa.array(np.asarray(batch.column(c))[r]) for c in ("tid", "crc")),
+                    ], ["anchor", "doc_id", "pos", "phrase", "tid", "crc"])
 
     return made
 
@@ -166,7 +170,9 @@ def _windows(window: int):
                     for a in range(0, len(words) - window + 1, 20_000):
                         k = list(range(a, min(a + 20_000, len(words) - window + 1)))
                         same = [pa.array([row[c]] * len(k), pa.int64()) for c in ("anchor", "print", "least", "most")]
-                        yield pa.RecordBatch.from_arrays([*same, pa.array(k, pa.int32()), pa.array([" ".join(words[x : x + window]) for x in k])], ["anchor", "print", "least", "most", "k", "words"])
+                        yield pa.RecordBatch.from_arrays([
+                            *same, pa.array(k, pa.int32()), pa.array([" ".join(words[x : x + window]) for x in k]),
+                        ], ["anchor", "print", "least", "most", "k", "words"])
 
     return made
 
@@ -229,7 +235,10 @@ def _removed(window: int):
                         text = data[begin[a] : end[b - 1]].tobytes() if b > a else b""
                     kept.append(text.decode())
                     digest.append(hashlib.sha256(text).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(lost), pa.array(digest), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(lost), pa.array(digest),
+                    pa.array(kept),
+                ], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return made
 
@@ -279,7 +288,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     del owners, hits, passages
     known = firsts.join(cover, ["tid", "crc"], "left")
     out = docs.join(known, ["tid", "crc"], "left")
-    out = out.select("doc_id", "text", F.when(F.col("doc_id") == F.col("first_id"), F.col("starts")).alias("starts"), (F.col("doc_id") > F.col("first_id")).alias("copied"))
+    out = out.select(
+        "doc_id", "text", F.when(F.col("doc_id") == F.col("first_id"), F.col("starts")).alias("starts"),
+        (F.col("doc_id") > F.col("first_id")).alias("copied"),
+    )
     return out.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
