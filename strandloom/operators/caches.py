@@ -11,7 +11,10 @@ from strandloom.schema import CACHE_MAGIC
 
 def inventory(files: DataFrame) -> DataFrame:
     left = F.instr("name", ".tmp-") == 0
-    return files.agg(F.count_if(~left).alias("leftovers"), F.count_if(left).alias("n_files"), F.coalesce(F.sum(F.when(left, F.col("size"))), F.lit(0)).alias("bytes"))
+    return files.agg(
+        F.count_if(~left).alias("leftovers"), F.count_if(left).alias("n_files"),
+        F.coalesce(F.sum(F.when(left, F.col("size"))), F.lit(0)).alias("bytes"),
+    )
 
 
 def eviction(files: DataFrame, high: int, low: int) -> DataFrame:
@@ -42,7 +45,11 @@ def decode_header(files: DataFrame) -> DataFrame:
     digits = F.hex("content")
     word = lambda at: F.conv(F.concat(*[F.substring(digits, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
     names = ("source_width", "source_height", "width", "height")
-    out = files.select("path", F.octet_length("content").alias("_n"), (F.substring(digits, 1, 16) == CACHE_MAGIC.encode().hex().upper()).alias("_magic"), *[word(8 + 4 * k).alias(x) for k, x in enumerate(names)])
+    out = files.select(
+        "path", F.octet_length("content").alias("_n"),
+        (F.substring(digits, 1, 16) == CACHE_MAGIC.encode().hex().upper()).alias("_magic"),
+        *[word(8 + 4 * k).alias(x) for k, x in enumerate(names)],
+    )
     valid = F.col("_magic") & (F.col("_n") >= 24) & F.expr("source_width > 0 and source_height > 0 and width > 0 and height > 0") & (F.col("_n") == 24 + 4 * F.col("width") * F.col("height"))
     valid = F.coalesce(valid, F.lit(False))
     return out.select("path", valid.alias("valid"), *[F.when(valid, F.col(x)).alias(x) for x in names])

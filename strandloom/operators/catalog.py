@@ -31,7 +31,10 @@ def incremental_diff(cur: DataFrame, prev: DataFrame) -> DataFrame:
     keep = lambda x: F.when(read, F.col(f"c.{x}")).otherwise(F.col(f"p.{x}")).alias(x)
     either = lambda x: F.coalesce(F.col(f"c.{x}"), F.col(f"p.{x}")).alias(x)
     ids = F.coalesce(F.col("p.id"), F.col("c.id")).alias("id")
-    return c.join(p, on, "full_outer").select(either("root"), either("path"), ids, *[keep(x) for x in ("size", "modified_ns", "format")], status.alias("status"))
+    return c.join(p, on, "full_outer").select(
+        either("root"), either("path"), ids, *[keep(x) for x in ("size", "modified_ns", "format")],
+        status.alias("status"),
+    )
 
 
 def removed_paths(cur: DataFrame, prev: DataFrame, errors: DataFrame | None = None) -> DataFrame:
@@ -102,7 +105,9 @@ def changed_metadata(catalog: DataFrame, results: DataFrame) -> DataFrame:
     """Decode results that say something new about a row that is still the same."""
     r = results.select("path", "id", "modified_ns", F.col("width").alias("new_width"), F.col("height").alias("new_height"))
     both = catalog.join(r, ["path", "id", "modified_ns"]).where("new_width > 0 and new_height > 0")
-    return both.where(~(F.col("width").eqNullSafe(F.col("new_width")) & F.col("height").eqNullSafe(F.col("new_height")))).select("id", "path", "modified_ns", F.col("new_width").alias("width"), F.col("new_height").alias("height"))
+    return both.where(~(F.col("width").eqNullSafe(F.col("new_width")) & F.col("height").eqNullSafe(F.col("new_height")))).select(
+        "id", "path", "modified_ns", F.col("new_width").alias("width"), F.col("new_height").alias("height"),
+    )
 
 
 def migrate(v1: DataFrame) -> DataFrame:

@@ -29,9 +29,14 @@ def apply_upserts(records: DataFrame, events: DataFrame) -> DataFrame:
     """Known paths are replaced in place, others appended in order of seq; the last write of a path wins."""
     last = events.groupBy("root", "path").agg(F.max_by("size", "seq").alias("_size"), F.min("seq").alias("_first"))
     top = records.groupBy("root").agg((F.max("pos") + 1).alias("_top"))
-    known = records.join(last, ["root", "path"], "left").select("root", "path", F.coalesce("_size", "size").alias("size"), F.col("pos").cast("long").alias("pos"))
+    known = records.join(last, ["root", "path"], "left").select(
+        "root", "path", F.coalesce("_size", "size").alias("size"), F.col("pos").cast("long").alias("pos"),
+    )
     added = numbered(last.join(records.select("root", "path"), ["root", "path"], "left_anti"), ["root"], [F.col("_first"), F.col("path")], "_k")
-    added = added.join(top, "root", "left").select("root", "path", F.col("_size").alias("size"), (F.coalesce("_top", F.lit(0)) + F.col("_k")).cast("long").alias("pos"))
+    added = added.join(top, "root", "left").select(
+        "root", "path", F.col("_size").alias("size"),
+        (F.coalesce("_top", F.lit(0)) + F.col("_k")).cast("long").alias("pos"),
+    )
     return known.unionByName(added)
 
 

@@ -40,7 +40,10 @@ def neighbours(placed: DataFrame) -> DataFrame:
 def grid(placed: DataFrame, width: int, thumb: int) -> DataFrame:
     cols = max(1, int(width / (thumb + 28)))
     out = placed.join(_per_root(placed), "root")
-    return out.select("root", "id", "pos", F.expr(f"pos div {cols}").alias("row"), (F.col("pos") % cols).alias("col"), div_ceil(F.col("_rows"), cols).alias("rows"))
+    return out.select(
+        "root", "id", "pos", F.expr(f"pos div {cols}").alias("row"), (F.col("pos") % cols).alias("col"),
+        div_ceil(F.col("_rows"), cols).alias("rows"),
+    )
 
 
 def tiers(placed: DataFrame, start: int, end: int) -> DataFrame:

@@ -45,20 +45,30 @@ def _selection(spark, d):
 
 def _events(spark, d):
     kind = F.when(F.col("event_type") == "signup", "started").when(F.col("event_type") == "error", "remove").otherwise("upsert")
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("generation"), kind.alias("kind"), F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string")).alias("path"), (F.col("event_id") * 3).alias("size"))
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("generation"), kind.alias("kind"),
+        F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string")).alias("path"),
+        (F.col("event_id") * 3).alias("size"),
+    )
 
 
 def _requests(spark, d):
     role = F.when(F.col("role") == "user", "visible").when(F.col("role") == "assistant", "prefetch").otherwise("preview")
     c = numbered(table(spark, d, "conversations"), [], [F.col("conv_id"), F.col("turn")], "_k")  # numbers of arrival
     key = F.concat("role", F.lit("-"), (F.col("conv_id") % 7).cast("string"))
-    return c.select((F.col("_k") + 1).alias("seq"), (F.col("conv_id") % 5).alias("generation"), F.col("turn").alias("epoch"), key.alias("key"), role.alias("priority"))
+    return c.select(
+        (F.col("_k") + 1).alias("seq"), (F.col("conv_id") % 5).alias("generation"), F.col("turn").alias("epoch"),
+        key.alias("key"), role.alias("priority"),
+    )
 
 
 def _caches(spark, d):
     e = table(spark, d, "embeddings")
     name = F.concat(F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 10 == 3, ".tmp-1").otherwise(".rgba"))
-    return e.select(name.alias("path"), F.when(F.col("vec_id") % 17 != 0, F.col("vec_id") * 7919 % 1000).alias("mtime"), ((F.coalesce("label", F.lit(0)) + 1) * F.lit(1000003).cast("long")).alias("size"))
+    return e.select(
+        name.alias("path"), F.when(F.col("vec_id") % 17 != 0, F.col("vec_id") * 7919 % 1000).alias("mtime"),
+        ((F.coalesce("label", F.lit(0)) + 1) * F.lit(1000003).cast("long")).alias("size"),
+    )
 
 
 # --- scans, projections, scalars
@@ -66,7 +76,9 @@ def _caches(spark, d):
 
 @query("select id, root, path, relative_path, file_name, size, modified_ns, width, height, format from cur where root = '/lib/en'")
 def catalog_load(spark, d) -> DataFrame:
-    return current(spark, d).where("root = '/lib/en'").select("id", "root", "path", "relative_path", "file_name", "size", "modified_ns", "width", "height", "format")
+    return current(spark, d).where("root = '/lib/en'").select(
+        "id", "root", "path", "relative_path", "file_name", "size", "modified_ns", "width", "height", "format",
+    )
 
 
 @query("select id, format from listing where format in ('jpg','jpeg','png','webp','gif','bmp','tif','tiff','ico')")
@@ -77,7 +89,11 @@ def supported_filter(spark, d):
 @query("select id, path[len(root) + 2:] as relative, list_extract(string_split(path, '/'), -1) as name, 'img' || id as stem, format as ext, length(path) - length(replace(path, '/', '')) as depth from listing")
 def path_parts(spark, d):
     p = F.col("path")
-    return listing(spark, d).select("id", S.relative_path(p, F.col("root")).alias("relative"), S.file_name(p).alias("name"), S.file_stem(S.file_name(p)).alias("stem"), S.extension_lower(S.file_name(p)).alias("ext"), S.path_depth(p).cast("long").alias("depth"))
+    return listing(spark, d).select(
+        "id", S.relative_path(p, F.col("root")).alias("relative"), S.file_name(p).alias("name"),
+        S.file_stem(S.file_name(p)).alias("stem"), S.extension_lower(S.file_name(p)).alias("ext"),
+        S.path_depth(p).cast("long").alias("depth"),
+    )
 
 
 _LE8 = "unhex(substr(lpad(to_hex({x}),16,'0'),15,2)||substr(lpad(to_hex({x}),16,'0'),13,2)||substr(lpad(to_hex({x}),16,'0'),11,2)||substr(lpad(to_hex({x}),16,'0'),9,2)||substr(lpad(to_hex({x}),16,'0'),7,2)||substr(lpad(to_hex({x}),16,'0'),5,2)||substr(lpad(to_hex({x}),16,'0'),3,2)||substr(lpad(to_hex({x}),16,'0'),1,2))"
@@ -91,7 +107,10 @@ def cache_key(spark, d):
 
 @query(f"select id, {_KEY} || case when id % 2 = 0 then ':preview' else ':thumb' end as texture_key, {_KEY} || '.rgba' as cache_file from cur")
 def texture_key(spark, d):
-    return keyed(current(spark, d)).select("id", S.texture_key(F.col("thumbnail_key"), F.col("id") % 2 == 0).alias("texture_key"), S.cache_file(F.col("thumbnail_key")).alias("cache_file"))
+    return keyed(current(spark, d)).select(
+        "id", S.texture_key(F.col("thumbnail_key"), F.col("id") % 2 == 0).alias("texture_key"),
+        S.cache_file(F.col("thumbnail_key")).alias("cache_file"),
+    )
 
 
 _BYTES = "case when {x} >= 1073741824 then printf('%.2f GiB', {x} / 1073741824.0::double) when {x} >= 1048576 then printf('%.1f MiB', {x} / 1048576.0::double) when {x} >= 1024 then printf('%.1f KiB', {x} / 1024.0::double) else {x} || ' B' end"
@@ -115,7 +134,10 @@ def hover_text(spark, d):
 @query("select id, least(256.0::double / width, 256.0::double / height) as thumb, least(least(1600.0::double / width, 900.0::double / height), 1.0) as preview from cur where width is not null")
 def fit_scale(spark, d):
     cur = current(spark, d).where("width is not null")
-    return cur.select("id", S.fit_scale(256, 256, F.col("width"), F.col("height"), False).alias("thumb"), S.fit_scale(1600, 900, F.col("width"), F.col("height"), True).alias("preview"))
+    return cur.select(
+        "id", S.fit_scale(256, 256, F.col("width"), F.col("height"), False).alias("thumb"),
+        S.fit_scale(1600, 900, F.col("width"), F.col("height"), True).alias("preview"),
+    )
 
 
 @query("select id, greatest(least(greatest(least(1.0::double * (1 + (id % 900)::double * 0.001), 12.0), 0.05) * (1 + (-(id % 1100))::double * 0.001), 12.0), 0.05)::double as zoom, (id % 4 + 1) % 4 as rotation from cur")
@@ -222,7 +244,11 @@ _UPDATES = "(select id, path, modified_ns + case when id % 4 = 0 then 1 else 0 e
 
 def _updates(spark, d):
     cur = current(spark, d).where("id % 3 = 0")
-    late = cur.select("id", "path", F.expr("modified_ns + case when id % 4 = 0 then 1 else 0 end").alias("modified_ns"), F.expr("cast(id % 640 + 1 as int)").alias("width"), F.expr("cast(id % 480 + 1 as int)").alias("height"), F.lit(2).alias("seq"))
+    late = cur.select(
+        "id", "path", F.expr("modified_ns + case when id % 4 = 0 then 1 else 0 end").alias("modified_ns"),
+        F.expr("cast(id % 640 + 1 as int)").alias("width"), F.expr("cast(id % 480 + 1 as int)").alias("height"),
+        F.lit(2).alias("seq"),
+    )
     early = late.withColumn("width", F.lit(7)).withColumn("seq", F.lit(1))
     return early.unionByName(late)
 
@@ -234,7 +260,10 @@ def metadata_update_guarded(spark, d):
 
 @query("select id, w as width, h as height from (select *, (id % 5)::int as w, (id % 3000 + 1)::int as h from cur) where w > 0 and (width is distinct from w or height is distinct from h)")
 def metadata_changed(spark, d):
-    res = current(spark, d).select("id", "path", "modified_ns", F.expr("cast(id % 5 as int)").alias("width"), F.expr("cast(id % 3000 + 1 as int)").alias("height"))
+    res = current(spark, d).select(
+        "id", "path", "modified_ns", F.expr("cast(id % 5 as int)").alias("width"),
+        F.expr("cast(id % 3000 + 1 as int)").alias("height"),
+    )
     return catalog.changed_metadata(current(spark, d), res).select("id", "width", "height")
 
 
@@ -302,7 +331,9 @@ def selection_summary(spark, d):
 
 @query("select user_id as id from (select user_id, arg_max(event_type <> 'error', event_id) as checked from events group by user_id) where checked")
 def selection_toggle(spark, d):
-    return views.toggled(table(spark, d, "events").select(F.col("user_id").alias("id"), (F.col("event_type") != "error").alias("checked"), F.col("event_id").alias("seq")))
+    return views.toggled(table(spark, d, "events").select(
+        F.col("user_id").alias("id"), (F.col("event_type") != "error").alias("checked"), F.col("event_id").alias("seq"),
+    ))
 
 
 @query("select s.id, p.pos from sel s left join placed p on s.id = p.id")
@@ -381,7 +412,10 @@ def _plan_items(spark, d):
     name = F.concat("p_name", F.lit(".jpg"))
     action = F.element_at(F.array(*[F.lit(x) for x in ("copy", "move", "recycle_delete")]), (F.col("p_partkey") % 3 + 1).cast("int"))
     path = F.concat(F.when(F.col("p_partkey") % 5 == 0, "/dest/").otherwise("/src/"), name)
-    return _parts(spark, d).select(F.col("p_partkey").alias("seq"), name.alias("file_name"), F.lit("auto_rename").alias("policy"), path.alias("path"), action.alias("action"), (F.col("p_partkey") % 10 != 0).alias("source_exists"))
+    return _parts(spark, d).select(
+        F.col("p_partkey").alias("seq"), name.alias("file_name"), F.lit("auto_rename").alias("policy"),
+        path.alias("path"), action.alias("action"), (F.col("p_partkey") % 10 != 0).alias("source_exists"),
+    )
 
 
 @query(f""", {_THERE}, every as (select p_partkey as seq, p_name || '.jpg' as file_name, case when p_partkey % 5 = 0 then '/dest/' else '/src/' end || p_name || '.jpg' as path,
@@ -402,7 +436,11 @@ def permanent_delete(spark, d):
 
 
 def _report(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.element_at(F.array(*[F.lit(x) for x in ("copy", "move", "recycle_delete", "permanent_delete")]), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("action"), (F.col("o_custkey") % 2 == 0).alias("source_exists"), (F.col("o_custkey") % 3 == 0).alias("target_exists"))
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.element_at(F.array(*[F.lit(x) for x in ("copy", "move", "recycle_delete", "permanent_delete")]), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("action"),
+        (F.col("o_custkey") % 2 == 0).alias("source_exists"), (F.col("o_custkey") % 3 == 0).alias("target_exists"),
+    )
     return transfers.verify(rows, cancelled=False)
 
 
@@ -430,7 +468,10 @@ def op_apply(spark, d):
 
 def _tree(spark, d):
     url = table(spark, d, "pages").select(F.split(F.regexp_extract("url", r"://([^?#]+)", 1), "/").alias("p"))
-    deep = url.select(F.concat(F.lit("/w/"), F.col("p")[0]).alias("a"), F.concat(F.lit("/w/"), F.col("p")[0], F.lit("/"), F.col("p")[1]).alias("b"), F.col("p")[2].alias("leaf"))
+    deep = url.select(
+        F.concat(F.lit("/w/"), F.col("p")[0]).alias("a"),
+        F.concat(F.lit("/w/"), F.col("p")[0], F.lit("/"), F.col("p")[1]).alias("b"), F.col("p")[2].alias("leaf"),
+    )
     dirs = deep.select("a").union(deep.select("b")).union(spark.range(1).select(F.lit("/w"))).distinct().select(F.col("a").alias("path"), F.lit(False).alias("error"))
     entries = deep.select(F.lit("/w").alias("parent")).union(deep.select("a")).union(deep.where("pmod(length(leaf), 3) <> 0").select("b")).distinct()
     return dirs, entries

@@ -23,9 +23,18 @@ def listing(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     ext = F.element_at(F.array(*[F.lit(x) for x in EXTENSIONS]), (F.col("doc_id") % 11 + 1).cast("int"))
     name = F.concat(F.lit("img"), F.col("doc_id").cast("string"), F.lit("."), ext)
-    out = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("/lib/"), "lang").alias("root"), F.concat("source", F.lit("/"), name).alias("relative_path"), name.alias("file_name"), (F.col("n_chars") * 1024 + F.col("doc_id")).alias("size"), (F.lit(1700000000000000000) + F.col("doc_id") * 1000003).alias("modified_ns"))
+    out = docs.select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("/lib/"), "lang").alias("root"),
+        F.concat("source", F.lit("/"), name).alias("relative_path"), name.alias("file_name"),
+        (F.col("n_chars") * 1024 + F.col("doc_id")).alias("size"),
+        (F.lit(1700000000000000000) + F.col("doc_id") * 1000003).alias("modified_ns"),
+    )
     dims = lambda m: F.when(F.col("id") % 3 != 0, (F.col("id") % m + 1).cast("int"))
-    return out.select("id", "root", F.concat("root", F.lit("/"), "relative_path").alias("path"), "relative_path", "file_name", "size", "modified_ns", dims(4000).alias("width"), dims(3000).alias("height"), extension_lower(F.col("file_name")).alias("format"))
+    return out.select(
+        "id", "root", F.concat("root", F.lit("/"), "relative_path").alias("path"), "relative_path", "file_name", "size",
+        "modified_ns", dims(4000).alias("width"), dims(3000).alias("height"),
+        extension_lower(F.col("file_name")).alias("format"),
+    )
 
 
 def current(spark, d) -> DataFrame:
@@ -36,7 +45,11 @@ def previous(spark, d) -> DataFrame:
     cur = current(spark, d)
     old = cur.where("id % 11 <> 4").withColumn("size", F.col("size") + F.when(F.col("id") % 5 == 0, 1).otherwise(0))
     name = F.concat(F.lit("img"), F.col("id").cast("string"), F.lit(".jpg"))
-    gone = cur.where("id % 7 = 0").select((F.col("id") + 10000000).alias("id"), "root", F.concat("root", F.lit("/gone/"), name).alias("path"), F.concat(F.lit("gone/"), name).alias("relative_path"), name.alias("file_name"), "size", "modified_ns", "width", "height", F.lit("jpg").alias("format"))
+    gone = cur.where("id % 7 = 0").select(
+        (F.col("id") + 10000000).alias("id"), "root", F.concat("root", F.lit("/gone/"), name).alias("path"),
+        F.concat(F.lit("gone/"), name).alias("relative_path"), name.alias("file_name"), "size", "modified_ns", "width",
+        "height", F.lit("jpg").alias("format"),
+    )
     return old.unionByName(gone)
 
 

@@ -18,7 +18,9 @@ def changes(events: DataFrame) -> DataFrame:
 def debounce_stream(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Bursts per root; run it in append mode; a burst comes out once the watermark has passed it, so the last one waits for later events."""
     w = F.session_window("ts", gap)
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", w.alias("w")).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
 
 
 def _kept(frame: pd.DataFrame, last, step: pd.Timedelta):
