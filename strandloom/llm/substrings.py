@@ -186,12 +186,11 @@ def _grouped(phrases: DataFrame, window: int) -> DataFrame:
     return back.where("_n > 0").select("anchor", "print", F.col("o.owner").alias("owners"))
 
 
-def _owners(passages: DataFrame, window: int) -> DataFrame:
+def _owners(passages: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """(anchor, print, owners) of the passages with windows of several documents: the smallest document of each window, or NONE."""
     hot = passages.select("anchor", "print").distinct().groupBy("anchor").count().where(F.col("count") > HOT)
-    hot = hot.select("anchor").toArrow()  # a thousandth of the passages at most
-    some = hot.num_rows > 0
-    hot = F.broadcast(passages.sparkSession.createDataFrame(hot)) if some else None
+    hot = scratch.save(hot.select("anchor"))  # a table of its own, so that the joins can split an anchor with many passages
+    some = hot.limit(1).count() > 0
 
     def phrases(of: DataFrame) -> DataFrame:
         return of.groupBy("anchor", "print").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("phrase").alias("phrase"))
@@ -263,8 +262,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     3. Occurrences are brought back to their documents, and covered words removed.
 
     Null and empty texts: no words, the digest of nothing. Null doc_id: nothing is
-    removed and nothing elsewhere because of it. Rows with one doc_id don't remove each
-    other's words. An empty table gives an empty result. Other columns are left out.
+    removed and nothing elsewhere because of it. Rows with one doc_id, also repeated rows,
+    don't remove each other's words, so ties between documents can't be. Texts of any
+    length are read whole. An empty table gives an empty result. Other columns are left
+    out.
     """
     scratch = Scratch(docs.sparkSession)
     text = [F.xxhash64("text").alias("tid"), F.crc32(F.encode("text", "UTF-8")).alias("crc")]
@@ -279,7 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     passages = able.join(flags, ["tid", "crc"]).where("doc_id = first_id").mapInArrow(_segments(window, anchor), "anchor long, doc_id long, pos int, phrase string, tid long, crc long")
     passages = passages.withColumn("print", F.xxhash64("phrase"))
     passages = scratch.save(passages)
-    owners = _owners(passages, window)
+    owners = _owners(passages, window, scratch)
     hits = passages.select("anchor", "print", "doc_id", "pos", "tid", "crc").join(owners, ["anchor", "print"])
     starts = F.filter(F.transform("owners", lambda x, k: F.when(x < F.col("doc_id"), F.col("pos") + k)), lambda x: x.isNotNull())
     hits = hits.select("tid", "crc", starts.alias("s")).where(F.size("s") > 0)
