@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.scalars import le8
 from strandloom.operators.ordering import running_before
 from strandloom.schema import CACHE_MAGIC
 
@@ -35,6 +36,20 @@ def lru_victim(textures: DataFrame) -> DataFrame:
     return textures.agg(F.min_by("path", F.struct("last_used", "path")).alias("path"))
 
 
+def encode(entries: DataFrame) -> DataFrame:
+    """``content`` of cache files: magic, four dimensions, pixels; null where dimensions and pixels don't fit."""
+    four = lambda x: F.substring(le8(F.col(x).cast("long")), 1, 4)
+    names = ("source_width", "source_height", "width", "height")
+    fits = F.expr("source_width > 0 and source_height > 0 and width > 0 and height > 0") & (F.octet_length("pixels") == 4 * F.col("width") * F.col("height"))
+    content = F.concat(F.lit(CACHE_MAGIC.encode()), *[four(x) for x in names], F.col("pixels"))
+    return entries.withColumn("content", F.when(F.coalesce(fits, F.lit(False)), content))
+
+
+def still_fresh(writes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Writes of images that are still as they were when they were decoded."""
+    return writes.join(catalog.select("path", "size", "modified_ns"), ["path", "size", "modified_ns"], "left_semi")
+
+
 def write_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     o = old.select("path", F.col("size").alias("_old"))
     return new.join(o, "path", "left").select("path", (F.col("size") - F.coalesce("_old", F.lit(0))).alias("delta"))

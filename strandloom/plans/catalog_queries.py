@@ -550,6 +550,18 @@ def cache_header_decode(spark, d):
     return caches.decode_header(table(spark, d, "embeddings").select(v.cast("string").alias("path"), content.alias("content")))
 
 
+@query("""select id, case when id % 5 = 0 then null else '52495054484D3200' || 'A00F0000' || 'B80B0000' || case id % 3 when 0 then '01' when 1 then '02' else '03' end || '000000' || '01000000'
+  || repeat('01020304', (id % 3 + 1)::int) end as content from cur where id % 4 <> 1""")
+def cache_write(spark, d):
+    """Entries of images that didn't change since, as they go to the cache; every fifth has a pixel too many."""
+    cur = current(spark, d)
+    seen = cur.withColumn("modified_ns", F.col("modified_ns") + F.when(F.col("id") % 4 == 1, 1).otherwise(0))
+    dims = {"source_width": F.lit(4000), "source_height": F.lit(3000), "width": F.col("id") % 3 + 1, "height": F.lit(1)}
+    pixels = F.unhex(F.repeat(F.lit("01020304"), (F.col("id") % 3 + F.when(F.col("id") % 5 == 0, 2).otherwise(1)).cast("int")))
+    out = caches.encode(caches.still_fresh(seen.withColumns(dims | {"pixels": pixels}), cur))
+    return out.select("id", F.hex("content").alias("content"))
+
+
 # --- events
 
 
