@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ class Scratch:
     """Tables written to the folder in ``spark.checkpoint.dir``, which driver and executors share.
 
     Only a session in local mode may name none; it gets a temporary folder that goes
-    with the process. Tables that a result still reads stay in the shared folder.
+    with the process. ``done`` deletes what a result doesn't read; the rest stays in the shared folder.
     """
 
     def __init__(self, spark: SparkSession):
@@ -50,6 +51,7 @@ class Scratch:
             root = f"file://{folder}"
         self.root = f"{root}/strandloom-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: set[str] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the written table; this cuts the lineage, and shuffle files go with the write."""
@@ -63,16 +65,21 @@ class Scratch:
             self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.live.add(path)
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that ``save`` wrote and nothing will read again."""
         jvm = self.spark.sparkContext._jvm
-        for df in tables:
-            path = getattr(df, "scratch_path", None)
-            if path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for path in {getattr(df, "scratch_path", None) for df in tables} & self.live:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self.live.discard(path)
+
+    def done(self, *kept: DataFrame) -> None:
+        """Delete all tables but these, which the result reads."""
+        rest = self.live - {df.scratch_path for df in kept}
+        self.drop(*[SimpleNamespace(scratch_path=path) for path in rest])
 
 
 def fresh(columns, *wanted: str) -> list[str]:

@@ -174,6 +174,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int = PREFIX)
     done = scratch.save(done)
     least = done.groupBy("_root").agg(F.min("vec_id").alias("component_id"))
     done = scratch.save(done.join(least, "_root").select(F.col("rep").alias("k1"), "k2", "m", "links", "component_id", F.lit(True).alias("good")))
+    scratch.done(done)
     out = narrow.join(done, ["k1", "k2", "good"], "left")
     component = F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id"))
     out = out.select(

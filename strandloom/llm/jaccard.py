@@ -378,6 +378,7 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, leaf: int =
     root = root.join(joined, "l", "left").select("node", "doc_id", F.coalesce("top", "l").alias("top"))
     least = root.groupBy("top").agg(F.min("doc_id").alias("least"))
     final = scratch.save(root.join(least, "top").select("node", "least"))
+    scratch.done(slim, final)
     out = slim.join(final, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

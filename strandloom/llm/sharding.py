@@ -132,6 +132,7 @@ def shard(docs: DataFrame, n: int = 16, rounds: int = ROUNDS) -> DataFrame:
         now = scratch.save(_even_out(then, n, total, 100 + k))
         scratch.drop(then)
     now = scratch.save(_even_out(now, n, total, 200, linked=True))
+    scratch.done(now)
     out = number_slots(now, max(16, int(sums["n"]) // (n * SLOT_ROWS)))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

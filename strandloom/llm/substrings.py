@@ -287,6 +287,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     cover = scratch.save(hits.groupBy("tid", "crc").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
     scratch.drop(passages)
     del owners, hits, passages
+    scratch.done(firsts, cover)
     known = firsts.join(cover, ["tid", "crc"], "left")
     out = docs.join(known, ["tid", "crc"], "left")
     out = out.select(
