@@ -71,7 +71,8 @@ def run(spark, sf_dir):
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs)
+            scratch.drop(before)
     return docs
