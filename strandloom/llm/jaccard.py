@@ -17,7 +17,7 @@ ASKED = 1.6
 ASKED_LEAST = 24
 #: A region with more points than this, not all of one component, is divided by one more pivot, so many times at most; what
 #: is left is joined in either case.
-LEAF, LEVELS = 512, 2
+LEAF, LEVELS = 4096, 2
 #: Parts, by hash of shingle or point, in which shingles of open points are counted and placed: disk holds the shuffle of one.
 PARTS = 2
 _U = np.uint64
@@ -242,9 +242,14 @@ def _divided(rest: DataFrame, leaf: int, percent: int, measured, scratch: Scratc
     The second pivot is the farthest point outside the first one's component. A point's home is
     the cell of its nearer pivot, and it is replicated to the other if that is no farther than
     the threshold's radius twice beyond: of two linked points each reaches the other's home.
+    A region within twice the radius of its pivot stays whole, for its pivot would stand in
+    both cells, and much else with it.
     """
     far = F.struct((F.col("l") != F.col("main")).cast("int"), F.coalesce("d", F.lit(1.0)), F.xxhash64("member"))
-    big = scratch.save(rest.groupBy("cell").agg(F.count("*").alias("_n"), F.max_by("member", far).alias("q")).where(F.col("_n") > leaf).select("cell", "q"))
+    apart = F.max(F.when(F.col("l") != F.col("main"), F.coalesce("d", F.lit(1.0)))).alias("_apart")
+    big = rest.groupBy("cell").agg(F.count("*").alias("_n"), F.max_by("member", far).alias("q"), apart)
+    big = big.where((F.col("_n") > leaf) & (F.col("_apart") > 2 * (100 - percent) / 100 + _EPS))
+    big = scratch.save(big.select("cell", "q"))
     if not big.limit(1).count():
         return None
     inside = rest.drop("l", "main").join(big, "cell")
