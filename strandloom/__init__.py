@@ -1 +1,11 @@
-"""Spark-native analytics for file catalogs and training corpora."""
+"""Spark-native analytics for file and media catalogs.
+
+Python functions of this package travel to the executors by value, so that a
+cluster needs no copy of the repository on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
