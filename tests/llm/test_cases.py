@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,8 +125,6 @@ def test_overlaps_equal_brute_force(spark):
 
 def test_repetitive_texts_take_little_room():
     seeds = decontamination.Seeds([0], ["x " * 2000])
-    import pyarrow as pa
-
     assert seeds.overlaps(pa.array(["x " * 10_000])) == [(0, 0, 2000, 2000, 0)]
 
 
@@ -282,7 +282,7 @@ def test_vectors_with_one_id(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (5, 1, 5), (5, 2, 1), (7, 2, 1), (9, 1, 5)]
 
 
-def test_recall_on_fifty_thousand_vectors(spark):
+def test_recall_on_fifty_thousand_vectors(spark, tmp_path):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(42_000, 64)).astype(np.float32)
     pick = rng.integers(0, len(base), 8_000)
@@ -292,8 +292,9 @@ def test_recall_on_fifty_thousand_vectors(spark):
     aside -= (aside * unit).sum(1, keepdims=True) * unit
     aside /= np.linalg.norm(aside, axis=1, keepdims=True)
     x = np.concatenate([base, np.cos(angle) * unit + np.sin(angle) * aside]).astype(np.float64)
-    frame = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})
-    got = embeddings.link(spark.createDataFrame(frame, "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 64), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": lists}), f"{tmp_path}/v.parquet")
+    got = embeddings.link(spark.read.parquet(f"{tmp_path}/v.parquet").repartition(8)).toPandas().sort_values("vec_id")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = np.concatenate([(unit[k : k + 2000] @ unit.T >= 0.9).sum(1) - 1 for k in range(0, len(x), 2000)])
     found = got.n_links.to_numpy()
@@ -325,8 +326,6 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     labels.write.parquet(f"{d}/labels.parquet")
     # quality: the fitted model on each text by itself
     model = quality.fit(spark.read.parquet(f"{d}/documents.parquet"), labels)
-    import pyarrow as pa
-
     now = [r for r in rows if model.score(pa.array([r[1]], pa.string()))[0] >= quality.THRESHOLD]
     assert 0 < len(now) < len(rows)
 
