@@ -203,14 +203,18 @@ def test_cancelled_work_ends(spark):
     assert not thread.is_alive() and failed
 
 
-def test_sync_keeps_what_it_could_not_read(spark):
-    from strandloom.plans.fixtures import keyed
+def test_sync_keeps_what_it_could_not_read(spark, tmp_path):
+    from strandloom.plans.fixtures import current, keyed
 
-    old = keyed(q._placed(spark, D).drop("pos"))
+    def written(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    old = written(keyed(current(spark, D)), "old")
     walk = old.drop("id", "width", "height")
-    first = catalog.sync(old.limit(0), walk)
+    first = written(catalog.sync(old.limit(0), walk), "first")
     assert first.count() == old.count() and first.select("id").distinct().count() == old.count()
-    same = catalog.sync(first, walk)
+    same = written(catalog.sync(first, walk), "same")
     assert same.exceptAll(first).count() == first.exceptAll(same).count() == 0
     blind = catalog.sync(first, walk.selectExpr("root", "path", "relative_path", "file_name", "cast(null as long) as size", "modified_ns", "format", "thumbnail_key"))
     assert blind.exceptAll(first).count() == 0 and blind.count() == first.count()
