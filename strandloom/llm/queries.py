@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chat, decontamination, embeddings, html, jaccard, language, mixing, quality, sharding, substrings
+from strandloom.llm import audit, chat, decontamination, embeddings, html, jaccard, language, mixing, quality, sharding, substrings
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_html_extraction": html.op8_html_extraction,
         "op9_quality_classifier": quality.op9_quality_classifier,
         "op10_source_mixing": mixing.op10_source_mixing,
+        "op11_filter_audit": audit.op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.OP10_SQL}
+    return {"op10_source_mixing": mixing.OP10_SQL, "op11_filter_audit": audit.OP11_SQL}
