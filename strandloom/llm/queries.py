@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import audit, chat, decontamination, embeddings, html, jaccard, language, mixing, quality, sharding, substrings
+from strandloom.llm import audit, chat, codes, decontamination, embeddings, html, jaccard, language, mixing, quality, rules, sharding, substrings
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_quality_classifier": quality.op9_quality_classifier,
         "op10_source_mixing": mixing.op10_source_mixing,
         "op11_filter_audit": audit.op11_filter_audit,
+        "op12_vector_codes": codes.op12_vector_codes,
+        "op13_quality_rules": rules.op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.OP10_SQL, "op11_filter_audit": audit.OP11_SQL}
+    return {"op10_source_mixing": mixing.OP10_SQL, "op11_filter_audit": audit.OP11_SQL, "op12_vector_codes": codes.OP12_SQL}
