@@ -50,7 +50,7 @@ def cells(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
         _bits(failures(text)).alias("mask"), F.unhex(F.sha2(text, 256)).alias("digest"),
     ))
     first = slim.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    first = first.where("lo <> hi").select("digest", "lo")
+    first = scratch.save(first.where("lo <> hi").select("digest", "lo"))  # a table, so that the join can split a frequent digest
     masked = slim.join(first, "digest", "left").select(
         "doc_id", "part", (F.col("mask") + F.when(F.col("doc_id") > F.col("lo"), 16).otherwise(0)).alias("mask"),
         # rows without an id have nothing to meet, and are dealt out by their text
