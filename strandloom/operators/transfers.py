@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import same_path
+from strandloom.operators.ordering import numbered
+from strandloom.operators.scratch import saved
 
 MOST_RENAMES = 99_999
 
@@ -26,63 +28,114 @@ def policies(items: DataFrame, overrides: DataFrame, default: str) -> DataFrame:
     return items.join(overrides.select("path", F.col("policy").alias("_p")), "path", "left").withColumn("policy", F.coalesce("_p", F.lit(default))).drop("_p")
 
 
-def _base(name: str) -> tuple[str, str, str, str]:
-    """Group (stem without trailing numbers, extension), stem and extension with its dot."""
-    dot = name.rfind(".")
-    stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-    return re.sub(r"( \(\d+\))+$", "", stem.lower()), ext.lower(), stem, ext
-
-
-def _resolve(items: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
-    """In order: a free name is taken; else the policy decides. exhausted: no name was left, which ends the whole request."""
-    used = {x.lower() for x in existing["name"]}
-    free: dict = {}
-    out = []
-    for row in items.sort_values("seq").itertuples(index=False):
-        target, exhausted = row.file_name, False
-        if target.lower() in used:
-            if row.policy in ("ask", "skip"):
-                target = None
-            elif row.policy == "auto_rename":
-                _, _, stem, ext = _base(row.file_name)
-                at = free.get((stem.lower(), ext.lower()), 1)
-                while at <= MOST_RENAMES and f"{stem} ({at}){ext}".lower() in used:
-                    at += 1
-                free[stem.lower(), ext.lower()] = at
-                exhausted = at > MOST_RENAMES
-                target = None if exhausted else f"{stem} ({at}){ext}"
-        if target is not None:
-            used.add(target.lower())
-        out.append((row.seq, row.file_name, row.policy, target, exhausted))
-    return pd.DataFrame(out, columns=["seq", "file_name", "policy", "target", "exhausted"])
-
-
-def _name_group(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with the stem without trailing numbers in brackets, and the extension, both in lower case."""
-    dot = F.length(name) - F.instr(F.reverse(name), ".") + 1
-    dot = F.when((F.instr(name, ".") > 0) & (dot > 1), dot).otherwise(F.length(name) + 1)
-    df = df.withColumn("_dot", dot)
-    stem = F.regexp_replace(F.lower(F.expr(f"substring({name}, 1, _dot - 1)")), r"( \(\d+\))+$", "")
-    return df.withColumn("_stem", stem).withColumn("_ext", F.lower(F.expr(f"substring({name}, _dot)"))).drop("_dot")
-
-
-def auto_rename(items: DataFrame, existing: DataFrame) -> DataFrame:
-    """Collision-free targets, as if item after item in order of seq.
-
-    Names of different groups (lower-case stem without trailing numbers in
-    brackets, extension) never meet, so groups are worked through by themselves. Most
-    groups have no collision at all and never leave the JVM; of the others one holds at
-    most the items that ask for names of one stem.
+_NUMBERED = r"(?s)^(.+) \(([1-9][0-9]{0,4})\)$"
+
+
+def _named(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the name in lower case (key), its stem and extension, and, if it is a numbered one, the key and number that it is made from."""
+    key = F.lower(name)
+    dot = F.length(key) - F.instr(F.reverse(key), ".") + 1
+    df = df.withColumn("key", key).withColumn("_dot", F.when((F.instr(key, ".") > 0) & (dot > 1), dot).otherwise(F.length(key) + 1))
+    df = df.withColumn("stem", F.expr("substring(key, 1, _dot - 1)")).withColumn("ext", F.expr("substring(key, _dot)")).drop("_dot")
+    number = F.regexp_extract("stem", _NUMBERED, 2)
+    of = F.when(number != "", F.concat(F.regexp_extract("stem", _NUMBERED, 1), F.col("ext")))
+    return df.withColumn("of", of).withColumn("number", F.when(number != "", number.cast("int")))
+
+
+def _skipped(batches):
+    """Of the numbers of a name that items ask for themselves, in order, those that are taken when the count comes to them.
+
+    ``late`` is how many earlier ones must have been taken for the count to come in time.
+    """
+    for batch in batches:
+        keys, numbers, lates = batch.column("of"), batch.column("numbers"), batch.column("lates")
+        out_key, out_number = [], []
+        for key, number, late in zip(keys, numbers, lates, strict=True):
+            taken = 0
+            for k, a in zip(number.as_py(), late.as_py(), strict=True):
+                if taken < a:
+                    taken += 1
+                    out_key.append(key.as_py())
+                    out_number.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.string()), pa.array(out_number, pa.int32())], ["of", "number"])
+
+
+def _allotted(jobs: DataFrame, asked: DataFrame, there: DataFrame, most: int) -> DataFrame:
+    """``jobs`` (key, x, seq: the x-th that needs a number of this name) with the number that each gets.
+
+    Numbers in the folder are taken from the start. One that an item asks for itself
+    (``asked``: of, number, d) is taken when the count comes to it after d, and given out otherwise. The count
+    reaches number c, of which r are not in the folder up to it, with job r less the asked ones
+    passed over, so c is passed over if fewer than r less the jobs before d were. With what is
+    passed over known, the x-th job gets the x-th number of the rest. A name has at most
+    ``most`` numbers, which bounds every window here.
+    """
+    live = jobs.select(F.col("key").alias("of")).distinct()
+    taken = there.where(F.col("number") <= most).select("of", "number").distinct().join(live, "of", "left_semi")
+    asked = asked.where(F.col("number") <= most).join(taken, ["of", "number"], "left_anti").join(live, "of", "left_semi")
+    up = Window.partitionBy("of").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.select("of", "number", "d").unionByName(taken.withColumn("d", F.lit(None).cast("long")))
+    rank = both.withColumn("r", F.col("number") - F.sum(F.when(F.col("d").isNull(), 1).otherwise(0)).over(up)).where("d is not null")
+    times = rank.select("of", "number", "r", F.col("d").alias("at"), F.lit(0).alias("job"))
+    times = times.unionByName(jobs.select(F.col("key").alias("of"), F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("r"), F.col("seq").alias("at"), F.lit(1).alias("job")))
+    by_time = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    late = times.withColumn("late", F.col("r") - F.sum("job").over(by_time)).where("job = 0 and late > 0")
+    gathered = late.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("number", "late"))).alias("c"))  # at most as many as there are numbers
+    passed = gathered.select("of", F.col("c.number").alias("numbers"), F.col("c.late").alias("lates")).mapInArrow(_skipped, "of string, number int")
+    blocked = taken.unionByName(passed)
+    free = F.col("number") - F.row_number().over(Window.partitionBy("of").orderBy("number"))  # free numbers below it
+    line = blocked.select("of", free.cast("long").alias("x"), F.lit(1).alias("blocked"), F.lit(None).cast("long").alias("seq"))
+    line = line.unionByName(jobs.select(F.col("key").alias("of"), "x", F.lit(0).alias("blocked"), "seq"))
+    before = Window.partitionBy("of").orderBy("x", "blocked").rowsBetween(Window.unboundedPreceding, 0)
+    got = line.withColumn("got", F.col("x") + F.sum("blocked").over(before)).where("blocked = 0")
+    return got.select(F.col("of").alias("key"), "seq", F.when(F.col("got") <= most, F.col("got")).alias("got"))
+
+
+def auto_rename(items: DataFrame, existing: DataFrame, most: int = MOST_RENAMES) -> DataFrame:
+    """Collision-free targets, as if item after item in order of seq, which no two items share.
+
+    A name is used from the start if it is in the folder, else from the first item that
+    asks for it or gets it as a numbered name. Items that ask for a used name later collide; those that may
+    be renamed are numbered in order, and the x-th gets the x-th number that is free for it.
+    Numbered names that items ask for themselves depend on the names that they are made from,
+    so names are worked through by how often they are numbered, a few levels. However
+    many items ask for one name, they are counted by range partitions; only the first
+    ``most`` of a name can get a number, and the rest are exhausted, which ends the whole request.
     """
-    left = _name_group(items.select("seq", "file_name", "policy"), "file_name")
-    right = _name_group(existing.select("name"), "name")
-    group = ["_stem", "_ext"]
-    crowd = left.groupBy(*group).agg(F.count("*").alias("_n"))
-    alone = crowd.where("_n = 1").join(right.select(*group).distinct(), group, "left_anti").select(*group)
-    simple = left.join(alone, group, "left_semi").select("seq", "file_name", "policy", F.col("file_name").alias("target"), F.lit(False).alias("exhausted"))
-    rest = left.join(alone, group, "left_anti")
-    schema = "seq long, file_name string, policy string, target string, exhausted boolean"
-    return simple.unionByName(rest.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_resolve, schema))
+    left = _named(items.select(F.col("seq").cast("long").alias("seq"), "file_name", "policy"), "file_name")
+    left = left.withColumn("level", F.regexp_count(F.regexp_extract("stem", r"((?: \([1-9][0-9]{0,4}\))+)$", 1), F.lit(r"\(")))
+    there = _named(existing.select("name"), "name").select("key", "of", "number")
+    first = left.groupBy("key", "of", "number").agg(F.min("seq").alias("d"))
+    levels = sorted(r["level"] for r in left.select("level").distinct().collect())  # a name has room for some 60
+    given, parts = None, []
+    for level in levels:
+        rows = left.where(F.col("level") == level).drop("of", "number", "level")
+        used = first.where("key is not null").select("key", "d").join(there.select("key").distinct().withColumn("there", F.lit(True)), "key", "left")
+        if given is None:
+            used = used.withColumn("at", F.col("d"))
+        else:
+            used = used.join(given, "key", "left").withColumn("at", F.least("d", "given"))
+        rows = rows.join(used.select("key", "there", "at"), "key").withColumn("collides", F.coalesce("there", F.lit(False)) | (F.col("seq") > F.col("at")))
+        rows = saved(rows.drop("there", "at")) if len(levels) > 1 else rows
+        wants = numbered(rows.where("collides and policy = 'auto_rename'").select("key", "seq"), ["key"], [F.col("seq")], "x")
+        jobs = wants.withColumn("x", F.col("x") + 1).where(F.col("x") <= most)
+        jobs = saved(jobs) if len(levels) > 1 else jobs
+        got = _allotted(jobs, first.where("of is not null").select("of", "number", "d"), there.where("of is not null"), most)
+        got = saved(got) if len(levels) > 1 else got
+        out = rows.join(got, ["key", "seq"], "left")
+        dot = F.length("file_name") - F.length("ext")  # lower case may have another length; then the last dot decides
+        own = F.when(F.lower(F.expr("substring(file_name, length(file_name) - length(ext) + 1)")) == F.col("ext"), dot)
+        own = F.coalesce(own, F.length("file_name") - F.instr(F.reverse("file_name"), "."))
+        out = out.withColumn("_dot", own)
+        renamed = F.concat(F.expr("substring(file_name, 1, _dot)"), F.lit(" ("), F.col("got").cast("string"), F.lit(")"), F.expr("substring(file_name, _dot + 1)"))
+        target = F.when(~F.col("collides") | (F.col("policy") == "overwrite"), F.col("file_name")).when(F.col("policy") == "auto_rename", renamed)
+        exhausted = F.col("collides") & (F.col("policy") == "auto_rename") & F.col("got").isNull()
+        parts.append(out.select("seq", "file_name", "policy", target.alias("target"), exhausted.alias("exhausted")))
+        names = rows.select("key", "seq", "stem", "ext").join(got.where("got is not null"), ["key", "seq"])
+        given = names.select(F.concat("stem", F.lit(" ("), F.col("got").cast("string"), F.lit(")"), "ext").alias("key"), F.col("seq").alias("given"))
+    if not parts:
+        parts = [left.select("seq", "file_name", "policy", F.col("file_name").alias("target"), F.lit(False).alias("exhausted"))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def plan(items: DataFrame, existing: DataFrame, destination: str) -> DataFrame:

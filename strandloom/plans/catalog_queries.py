@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandloom.functions import scalars as S
 from strandloom.operators import caches, catalog, events, folders, transfers, views
 from strandloom.operators.ordering import numbered
-from strandloom.plans.fixtures import CTE, current, file_tree, keyed, listing, previous, scratch_folder, table
+from strandloom.operators.scratch import folder
+from strandloom.plans.fixtures import CTE, current, file_tree, keyed, listing, previous, table
 from strandloom.schema import CACHE_MAGIC, QUEUE_CAPS
 from strandloom.sources import files
 from strandloom.streaming import streams
@@ -693,7 +694,7 @@ def image_dims(spark, d):
 @query("select c.id, case when c.id % 3 = 0 and c.id % 4 <> 0 then (c.id % 640 + 1)::int else c.width end as width, case when c.id % 3 = 0 and c.id % 4 <> 0 then (c.id % 480 + 1)::int else c.height end as height from cur c")
 def metadata_stream(spark, d):
     """Metadata updates as a stream of files, merged into a stored catalog."""
-    base = scratch_folder(spark)
+    base = folder(spark)
     store = catalog.VersionedStore(spark, f"{base}/store")
     store.commit(current(spark, d))
     roots = current(spark, d).select("id", "root")

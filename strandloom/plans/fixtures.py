@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.scalars import cache_key, extension_lower
+from strandloom.operators.scratch import folder
 from strandloom.schema import FORMATS
 
 EXTENSIONS = ("jpg", "JPEG", "png", "WEBP", "gif", "bmp", "tif", "TIFF", "ico", "txt", "heic")
@@ -53,19 +52,9 @@ def previous(spark, d) -> DataFrame:
     return old.unionByName(gone)
 
 
-def scratch_folder(spark) -> str:
-    """A new folder where driver and executors can write: below spark.checkpoint.dir, or in local mode a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-    return f"{root}/queries-{uuid.uuid4().hex}"
-
-
 def file_tree(spark, d) -> str:
     """A tree with one small image for each page, in seven folders, an empty one, and a link."""
-    root = scratch_folder(spark).removeprefix("file://") + "/tree"
+    root = folder(spark).removeprefix("file://") + "/tree"
     os.makedirs(f"{root}/none")
     for row in table(spark, d, "pages").select("page_id").toLocalIterator():  # this fixture's files are made one by one
         k = row["page_id"]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from strandloom.operators.catalog import VersionedStore, update_metadata
+from strandloom.operators.ordering import running_before
+from strandloom.operators.scratch import saved
 
 
 def changes(events: DataFrame) -> DataFrame:
@@ -32,18 +36,73 @@ def _kept(frame: pd.DataFrame, last, step: pd.Timedelta):
     return frame[keep], last
 
 
+#: Events of a run that a task follows by itself.
+RUN = 65_536
+
+
+def _followed(batches):
+    """Runs of events in a row: where each begins, each event's successor, and the first one after the run that it leads to."""
+    for batch in batches:
+        at, to = batch.column("at").to_numpy(), batch.column("to").to_numpy()
+        cuts = np.flatnonzero(np.diff(at) != 1) + 1
+        edges = [0, *cuts.tolist(), len(at)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            for k in range(lo, hi, RUN):
+                own, start = to[k : min(k + RUN, hi)], int(at[k])
+                leads = own.copy()
+                while (inside := leads < start + len(own)).any():  # each step doubles how far an event looks
+                    leads[inside] = leads[leads[inside] - start]
+                yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([own]), pa.array([leads])], ["run", "to", "leads"])
+
+
+def _marked(batches):
+    """Positions on the paths that begin at a run's entries, up to its end."""
+    for batch in batches:
+        for start, to, entries in zip(*(batch.column(c).to_pylist() for c in ("run", "to", "entries")), strict=True):
+            seen = np.zeros(len(to), bool)
+            for at in entries:
+                while at < start + len(to) and not seen[at - start]:
+                    seen[at - start] = True
+                    at = to[at - start]
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen) + start)], ["at"])
+
+
 def throttle(events: DataFrame, key: str = "user_id", interval: str = "6 hours") -> DataFrame:
     """Events that are shown: the first of a key, then each that comes a whole interval after the last one shown.
 
-    The interval starts anew at each event shown, so a key's events are gone
-    through in order; that is one key's progress events, a small group.
-    """
-    step = pd.Timedelta(interval)
-
-    def shown(frame: pd.DataFrame) -> pd.DataFrame:
-        return _kept(frame.sort_values(["ts", "event_id"]), None, step)[0]
+    Every event has one successor, the first of its key a whole interval later, whether it
+    is shown or not. Events and their times an interval on are put in one order by
+    range partitions; the events before such a time are the successor's position. (After
+    a key's last event that is the next key's first one, which is shown anyway.) Runs of events
+    are followed to their ends by themselves; from run to run pointers are doubled, in as
+    many rounds as the logarithm of the runs of a key. A key's events may be in any number of tasks.
 
-    return events.select("event_id", key, "ts").groupBy(key).applyInPandas(shown, events.select("event_id", key, "ts").schema)
+    Events without a time are not shown. Of events at one time that with the least event_id is first.
+    """
+    base = events.select("event_id", key, "ts").where("ts is not null")
+    later = base.withColumn("_t", F.col("ts") + F.expr(f"interval {interval}")).withColumn("_event", F.lit(0))
+    both = base.withColumn("_t", F.col("ts")).withColumn("_event", F.lit(1)).unionByName(later)
+    placed = running_before(both, [], [F.col(key), F.col("_t"), F.col("_event"), F.col("event_id")], "to", "_event", "_row")
+    placed = placed.where("_event = 0").select("event_id", key, "ts", (F.col("_row") - F.col("to")).alias("at"), "to")
+    placed = saved(placed)  # an event's time an interval on has the event's own place among such times
+    runs = saved(placed.select("at", "to").mapInArrow(_followed, "run long, to array<long>, leads array<long>"))
+    each = runs.select("run", F.posexplode("leads").alias("_k", "leads")).select((F.col("run") + F.col("_k")).alias("at"), "run", "leads")
+    starts = placed.groupBy(key).agg(F.min("at").alias("at")).select("at")
+    reached = starts
+    hops = saved(each.join(each.select(F.col("leads").alias("at")).unionByName(starts).distinct(), "at", "left_semi"))
+    jump, n = hops.select("at", "leads"), 0
+    while True:
+        reached = saved(reached.join(hops.select("at"), "at", "left_semi").distinct())
+        now = reached.count()
+        if now == n:
+            break
+        n = now
+        reached = reached.unionByName(reached.join(jump, "at").select(F.col("leads").alias("at")))
+        twice = jump.select("at", F.col("leads").alias("_via")).join(jump.select(F.col("at").alias("_via"), "leads"), "_via")
+        jump = saved(twice.select("at", "leads"))
+    entries = reached.join(hops, "at").groupBy("run").agg(F.collect_list("at").alias("entries"))  # a run's events at most
+    shown = runs.select("run", "to").join(entries, "run").mapInArrow(_marked, "at long")
+    return placed.join(shown, "at", "left_semi").select("event_id", key, "ts")
 
 
 class Throttle(StatefulProcessor):

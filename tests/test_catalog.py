@@ -6,6 +6,7 @@ import threading
 import time
 
 import duckdb
+import numpy as np
 import pytest
 
 from strandloom.functions import scalars as S
@@ -58,13 +59,64 @@ def test_format_bytes(spark):
     assert [r[0] for r in df.select(S.format_bytes(df.n)).collect()] == ["1023 B", "1.0 KiB", "1.2 KiB", "1.0 MiB", "1.00 GiB"]
 
 
+def one_after_the_other(items, there, most=99_999):
+    """Targets of items (seq, file_name, policy), each in its turn."""
+    used, out = {x.lower() for x in there}, {}
+    for seq, name, policy in sorted(items):
+        target, exhausted = name, False
+        if name.lower() in used:
+            if policy in ("ask", "skip"):
+                target = None
+            elif policy == "auto_rename":
+                dot = name.rfind(".")
+                stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+                free = next((k for k in range(1, most + 1) if f"{stem} ({k}){ext}".lower() not in used), None)
+                exhausted = free is None
+                target = None if exhausted else f"{stem} ({free}){ext}"
+        if target is not None:
+            used.add(target.lower())
+        out[seq] = (target, exhausted)
+    return out
+
+
+def renamed(spark, items, there, most=99_999):
+    found = transfers.auto_rename(
+        spark.createDataFrame(items, "seq long, file_name string, policy string"), spark.createDataFrame([(n,) for n in there], "name string"), most,
+    )
+    return {r.seq: (r.target, r.exhausted) for r in found.collect()}
+
+
 def test_auto_rename_equals_a_sequential_run(spark):
-    names = ["a.jpg", "A.JPG", "a (1).jpg", "a (1) (1).jpg", "a.jpg", "b", "B", ".x", ".x", "a (1).jpg"]
-    items = spark.createDataFrame([(k, n, ("auto_rename", "skip", "overwrite")[k % 7 % 3]) for k, n in enumerate(names)], "seq long, file_name string, policy string")
-    there = spark.createDataFrame([("a.jpg",), ("b (1)",)], "name string")
-    got = {r.seq: r.target for r in transfers.auto_rename(items, there).collect()}
-    whole = transfers._resolve(items.toPandas(), there.toPandas())
-    assert got == {int(s): t for s, t in zip(whole.seq, whole.target)}
+    names = ["a.jpg", "A.JPG", "a (1).jpg", "a (1) (1).jpg", "a.jpg", "b", "B", ".x", ".x", "a (1).jpg", " (1).jpg", ".jpg", ".jpg", "a (01).jpg", "c.", "C.", "x.y (1)", "x.y", "X.Y"]
+    items = [(k, n, ("auto_rename", "skip", "overwrite")[k % 7 % 3]) for k, n in enumerate(names)]
+    there = ["a.jpg", "b (1)"]
+    assert renamed(spark, items, there) == one_after_the_other(items, there)
+    every = [(k, n, "auto_rename") for k, n in enumerate(names * 2)]
+    assert renamed(spark, every, there) == one_after_the_other(every, there)
+    assert renamed(spark, [], there) == {}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_auto_rename_of_names_that_meet_numbered_ones(spark, seed):
+    """Items that ask for numbered names before and after the count comes to them, some in the folder, up to the last number."""
+    rng = np.random.default_rng(seed)
+    part = lambda: "" if rng.random() < 0.5 else f" ({rng.integers(1, 9)})"
+    names = [f"{rng.choice(['a', 'A', 'b.c'])}{part()}{part() if rng.random() < 0.4 else ''}{rng.choice(['.jpg', '.JPG', ''])}" for _ in range(400)]
+    items = [(int(k) * 3, n, str(rng.choice(["auto_rename"] * 6 + ["skip", "overwrite", "ask"]))) for k, n in zip(rng.permutation(400), names)]
+    there = [f"a ({k}).jpg" for k in range(1, 30, 4)] + ["b.c", "a (2) (3)"]
+    for most in (99_999, 25):
+        assert renamed(spark, items, there, most) == one_after_the_other(items, there, most)
+
+
+def test_a_million_items_of_one_name_go_to_many_tasks(spark):
+    """Each task sees a share of them, and the first 99,999 get numbers."""
+    n = 1_000_000
+    items = spark.range(n).selectExpr("id as seq", "if(id % 250000 = 7, concat('hot (', 5 + id div 250000, ').jpg'), 'hot.jpg') as file_name", "'auto_rename' as policy")
+    out = transfers.auto_rename(items, spark.createDataFrame([("hot.jpg",), ("hot (2).jpg",)], "name string"))
+    got = out.selectExpr("count(*) as n", "count(distinct target) as targets", "count_if(exhausted) as exhausted", "max(if(seq = 2, target, null)) as third", "max(if(seq = 500007, target, null)) as own").first()
+    numbers = 99_999 - 1
+    assert got.n == n and got.targets == numbers + 3 and got.exhausted == n - got.targets
+    assert got.third == "hot (4).jpg" and got.own == "hot (7) (1).jpg"
 
 
 def test_files(spark, tmp_path):
@@ -248,13 +300,9 @@ def test_numbers_of_ties_nulls_and_empty_tables(spark):
     assert numbered(df.limit(0), ["g"], [F.col("k")], "n").count() == 0
 
 
-def test_exhausted_names(spark, monkeypatch):
-    items = spark.createDataFrame([(k, "a.jpg", "auto_rename") for k in range(3)], "seq long, file_name string, policy string")
-    import pandas as pd
-
-    monkeypatch.setattr(transfers, "MOST_RENAMES", 1)
-    whole = transfers._resolve(items.toPandas(), pd.DataFrame({"name": []}))
-    assert list(whole.target) == ["a.jpg", "a (1).jpg", None] and list(whole.exhausted) == [False, False, True]
+def test_exhausted_names(spark):
+    got = renamed(spark, [(k, "a.jpg", "auto_rename") for k in range(3)], [], 1)
+    assert [got[k] for k in range(3)] == [("a.jpg", False), ("a (1).jpg", False), (None, True)]
 
 
 def test_locations_and_workers(spark):
@@ -290,6 +338,23 @@ def test_throttle(spark):
     assert sorted(r.event_id for r in streams.throttle(df).collect()) == [0, 2, 4]
 
 
+@pytest.mark.parametrize("run", [3, 65_536])
+def test_throttle_equals_a_loop(spark, monkeypatch, run):
+    """One key with half of all events, ties, null keys and times, runs of a few events and of many."""
+    monkeypatch.setattr(streams, "RUN", run)
+    rng = np.random.default_rng(run)
+    when = lambda: None if rng.random() < 0.02 else int(rng.integers(0, 400)) * 900
+    rows = [(k, [7, 7, 7, None, 1, 2, 3][k % 7], when()) for k in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) as ts").repartition(5)
+    want, last = set(), {}
+    for k, user, s in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[0])):
+        if user not in last or s - last[user] >= 6 * 3600:
+            last[user] = s
+            want.add(k)
+    assert {r.event_id for r in streams.throttle(df).collect()} == want
+    assert streams.throttle(df.limit(0)).collect() == []
+
+
 def test_removals_need_a_clean_scan(spark):
     prev = q._placed(spark, D)
     cur = prev.where("id % 2 = 0")
