@@ -1,15 +1,14 @@
-"""Snapshot comparison, guarded changes, and versioned tables of a catalog."""
+"""Snapshot comparison and guarded changes of a catalog."""
 
 from __future__ import annotations
 
-import json
-import uuid
-from urllib.parse import unquote
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators.ordering import numbered
+from strandloom.operators.scratch import saved
 from strandloom.schema import FIRST_BATCH, FORMATS, NEXT_BATCH
 
 KEY = ["root", "path"]
@@ -65,32 +64,76 @@ def batch_assign(diff: DataFrame) -> DataFrame:
 VALUES = ["relative_path", "file_name", "size", "modified_ns", "format", "thumbnail_key"]
 
 
-def upsert(catalog: DataFrame, new: DataFrame) -> DataFrame:
+def _last(rows: DataFrame, order: str) -> DataFrame:
+    """One row for each (root, path), with its values as _new: the greatest by ``order``, of equal ones that with the greatest values."""
+    return rows.groupBy(*KEY).agg(F.max(F.struct(F.col(order).alias("_order"), *VALUES)).alias("_new"))
+
+
+def upsert(catalog: DataFrame, new: DataFrame, order: str = "modified_ns") -> DataFrame:
     """Rows of ``new`` replace those of their (root, path), keep their ids, and lose width and height; others get new ids.
 
-    Known rows are found by one join, new ones by another; only new ones are ordered.
+    If ``new`` has several rows of one key, the last by ``order`` counts, and of equal ones
+    that with the greatest values, in the order of ``VALUES``; a key has one id and one row in any case.
+    Known rows are found by one join, new ones by another, both dealt by the key as the
+    choice of the last row is; only new ones are ordered.
     """
-    fresh = new.select(*KEY, F.struct(*VALUES).alias("_new"))
+    fresh = _last(new, order)
     old = catalog.join(fresh, KEY, "left")
     hit = F.col("_new").isNotNull()
     values = [F.when(hit, F.col(f"_new.{x}")).otherwise(F.col(x)).alias(x) for x in VALUES]
     old = old.select("id", *KEY, *values, *[F.when(~hit, F.col(x)).alias(x) for x in ("width", "height")])
     top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    added = numbered(new.select(*KEY, *VALUES).join(catalog.select(*KEY), KEY, "left_anti"), [], [F.col(k) for k in KEY], "_k")
+    unknown = fresh.join(catalog.select(*KEY), KEY, "left_anti").select(*KEY, *[F.col(f"_new.{x}").alias(x) for x in VALUES])
+    added = numbered(unknown, [], [F.col(k) for k in KEY], "_k")
     added = added.join(F.broadcast(top)).select((F.col("_top") + F.col("_k") + 1).alias("id"), *KEY, *VALUES)
     return old.unionByName(added.select("*", *[F.lit(None).cast("int").alias(x) for x in ("width", "height")]))
 
 
-def sync(catalog: DataFrame, walk: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """The catalog after a walk: changed files merged in, unreadable ones kept, files not seen gone if the walk met no error.
+def scan(catalog: DataFrame, walk: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The catalog after a walk, and what the walk did: a comparison, a merge, a guarded removal, in one pass over both tables.
 
-    ``walk`` has the files it saw (any format), with null sizes where it couldn't read.
+    ``walk`` has a row for each file seen, of any format, with null size where it
+    couldn't be read, and one with ``error`` for each folder that couldn't be listed. Changed files
+    are merged in, unreadable ones stay as they were, and cached files that weren't seen
+    go only if there is no error. The counts are gathered while the comparison is
+    written: visited, supported, reused, inserted, updated, removed, errors, total (supported
+    files, and after errors what was kept unseen), and elapsed_ms of that pass.
+    Of files that the walk has twice the last by modified_ns counts.
     """
-    seen = walk.where(F.col("format").isin(*FORMATS))
-    cached = catalog.select(*KEY, F.struct("size", "modified_ns", "format").alias("_old"))
-    now = F.struct("size", "modified_ns", "format")
-    changed = seen.where("size is not null").join(cached, KEY, "left").where(F.col("_old").isNull() | ~F.col("_old").eqNullSafe(now))
-    return upsert(catalog, changed).join(removed_paths(seen, catalog, errors).select("id"), "id", "left_anti")
+    began = time.monotonic()
+    seen, met = Observation(), Observation()
+    supported = ~F.col("error") & F.coalesce(F.col("format").isin(*FORMATS), F.lit(False))
+    files = walk.observe(
+        seen, F.count_if(~F.col("error")).alias("visited"), F.count_if(F.col("error")).alias("errors"), F.count_if(supported).alias("supported"),
+    ).where(supported)
+    cached = catalog.select(*KEY, F.struct("id", *VALUES, "width", "height").alias("_old"))
+    both = _last(files, "modified_ns").join(cached, KEY, "full_outer")
+    same = [F.col(f"_new.{x}") == F.col(f"_old.{x}") for x in ("size", "modified_ns", "format")]
+    status = F.when(F.col("_new").isNull(), "unseen").when(F.col("_new.size").isNull(), F.when(F.col("_old").isNull(), "skipped").otherwise("kept"))
+    status = status.when(F.col("_old").isNull(), "inserted").when(same[0] & same[1] & same[2], "reused").otherwise("updated")
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    both = both.withColumn("status", status).observe(met, *[count(s) for s in ("reused", "inserted", "updated", "unseen")], F.max("_old.id").alias("top"))
+    merged = saved(both)
+    seen, met = seen.get, met.get
+    stats = {k: seen[k] for k in ("visited", "supported", "errors")} | {k: met[k] for k in ("reused", "inserted", "updated")}
+    stats["removed"] = 0 if stats["errors"] else met["unseen"]
+    stats["total"] = stats["supported"] + (met["unseen"] if stats["errors"] else 0)
+    stats["elapsed_ms"] = int((time.monotonic() - began) * 1000)
+    stay = ["reused", "kept", "updated"] + (["unseen"] if stats["errors"] else [])
+    updated = F.col("status") == "updated"
+    values = [F.when(updated, F.col(f"_new.{x}")).otherwise(F.col(f"_old.{x}")).alias(x) for x in VALUES]
+    old = merged.where(F.col("status").isin(stay)).select(F.col("_old.id").alias("id"), *KEY, *values, *[F.when(~updated, F.col(f"_old.{x}")).alias(x) for x in ("width", "height")])
+    added = merged.where("status = 'inserted'").select(*KEY, *[F.col(f"_new.{x}").alias(x) for x in VALUES])
+    added = numbered(added, [], [F.col(k) for k in KEY], "_k").select((F.col("_k") + ((met["top"] or 0) + 1)).alias("id"), *KEY, *VALUES)
+    return old.unionByName(added.select("*", *[F.lit(None).cast("int").alias(x) for x in ("width", "height")])), stats
+
+
+def sync(catalog: DataFrame, walk: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The catalog after a ``scan`` of files without errors, or with those that ``errors`` has a row for."""
+    walk = walk.withColumn("error", F.lit(False))
+    if errors is not None:
+        walk = walk.unionByName(errors.select(F.lit(True).alias("error")), allowMissingColumns=True)
+    return scan(catalog, walk)[0]
 
 
 def update_metadata(catalog: DataFrame, updates: DataFrame) -> DataFrame:
@@ -120,90 +163,9 @@ def key_violations(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
-class Conflict(RuntimeError):
-    """Another writer committed first; read again, and commit anew."""
-
-
-class VersionedStore:
-    """Versions of a catalog. Each is a small file, named by its number alone, that lists the folder of each root's rows.
-
-    A version file is created only if no one else has created it, so of two writers one
-    gets a ``Conflict``. Rows of roots that a commit doesn't touch stay where they are.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self.Path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.jvm = jvm
-
-    def _names(self, folder: str) -> list[str]:
-        at = self.Path(folder)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(at)) if self.fs.exists(at) else []
-
-    def version(self) -> int:
-        return max([int(x.split("-")[1]) for x in self._names(self.path) if x.startswith("version-")], default=0)
-
-    def manifest(self, version: int | None = None) -> dict[str, str]:
-        """Folder of each root's rows."""
-        version = self.version() if version is None else version
-        if not version:
-            return {}
-        stream = self.fs.open(self.Path(f"{self.path}/version-{version:012d}"))
-        try:
-            return json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-
-    def read(self, roots: list[str] | None = None) -> DataFrame | None:
-        """Rows of these roots, or of all; only their folders are opened."""
-        found = self.manifest()
-        folders = [f"{self.path}/{f}" for root, f in sorted(found.items()) if roots is None or root in roots]
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*folders) if folders else None
-
-    def _publish(self, manifest: dict[str, str], after: int) -> None:
-        # written aside and then named, so that no reader sees half a file; a name that is taken isn't replaced
-        aside, name = self.Path(f"{self.path}/.aside-{uuid.uuid4().hex}"), self.Path(f"{self.path}/version-{after + 1:012d}")
-        out = self.fs.create(aside)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        claim = self.Path(f"{self.path}/.claim-{after + 1:012d}")
-        try:
-            self.fs.create(claim, False).close()
-        except Exception as e:
-            self.fs.delete(aside, False)
-            raise Conflict(f"version {after + 1} is there already") from e
-        self.fs.rename(aside, name)
-
-    def _write(self, df: DataFrame) -> dict[str, str]:
-        name = f"rows-{uuid.uuid4().hex}"
-        df.withColumn("_root", F.col("root")).write.partitionBy("_root").parquet(f"{self.path}/{name}")
-        return {unquote(x.split("=", 1)[1]): f"{name}/{x}" for x in self._names(f"{self.path}/{name}") if x.startswith("_root=")}
-
-    def commit(self, df: DataFrame, after: int | None = None) -> None:
-        """``df`` is the whole catalog from now on. ``after``: the version that it was made from."""
-        after = self.version() if after is None else after
-        self._publish(self._write(df), after)
-
-    def commit_roots(self, df: DataFrame, roots: list[str], after: int | None = None) -> None:
-        """``df`` has all rows of these roots from now on; others stay as they are."""
-        after = self.version() if after is None else after
-        keep = {root: f for root, f in self.manifest(after).items() if root not in roots}
-        self._publish(keep | self._write(df.where(F.col("root").isin(roots))), after)
-
-    def clear(self) -> None:
-        """From now on there are no rows; the next commit starts anew."""
-        self._publish({}, self.version())
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete versions but the last ones, and rows that none of these lists."""
-        last = self.version()
-        used = {f.split("/")[0] for v in range(max(1, last - keep + 1), last + 1) for f in self.manifest(v).values()}
-        for x in self._names(self.path):
-            old = x.startswith((".claim-", "version-")) and int(x.split("-")[1]) <= last - keep
-            if old or x.startswith("rows-") and x not in used:
-                self.fs.delete(self.Path(f"{self.path}/{x}"), True)
+def truncate(spark: SparkSession, name: str) -> None:
+    """All rows of a catalog's table go, of every root; the table stays."""
+    spark.sql(f"TRUNCATE TABLE {name}")
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:

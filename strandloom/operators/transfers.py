@@ -110,13 +110,13 @@ def auto_rename(items: DataFrame, existing: DataFrame, most: int = MOST_RENAMES)
     given, parts = None, []
     for level in levels:
         rows = left.where(F.col("level") == level).drop("of", "number", "level")
-        used = first.where("key is not null").select("key", "d").join(there.select("key").distinct().withColumn("there", F.lit(True)), "key", "left")
+        used = first.select("key", "d").join(there.select("key").distinct().withColumn("there", F.lit(True)), "key", "left")
         if given is None:
             used = used.withColumn("at", F.col("d"))
         else:
             used = used.join(given, "key", "left").withColumn("at", F.least("d", "given"))
         rows = rows.join(used.select("key", "there", "at"), "key").withColumn("collides", F.coalesce("there", F.lit(False)) | (F.col("seq") > F.col("at")))
-        rows = saved(rows.drop("there", "at")) if len(levels) > 1 else rows
+        rows = saved(rows.drop("there", "at"))
         wants = numbered(rows.where("collides and policy = 'auto_rename'").select("key", "seq"), ["key"], [F.col("seq")], "x")
         jobs = wants.withColumn("x", F.col("x") + 1).where(F.col("x") <= most)
         jobs = saved(jobs) if len(levels) > 1 else jobs

@@ -11,7 +11,7 @@ from strandloom.operators.ordering import numbered
 from strandloom.operators.scratch import folder
 from strandloom.plans.fixtures import CTE, current, file_tree, keyed, listing, previous, table
 from strandloom.schema import CACHE_MAGIC, QUEUE_CAPS
-from strandloom.sources import files
+from strandloom.sources import files, sink
 from strandloom.streaming import streams
 
 QUERIES: dict = {}
@@ -190,11 +190,51 @@ _SYNC = """select root, path, coalesce(pid, top + row_number() over (partition b
   left join prev p on c.root = p.root and c.path = p.path where c.size is not null or p.id is not null)"""
 
 
+def _scan(spark, d, errors: bool):
+    walk = keyed(listing(spark, d)).withColumn("size", F.when(F.col("id") % 13 != 0, F.col("size"))).drop("id", "width", "height")
+    walk = walk.withColumn("error", F.lit(False))
+    if errors:
+        walk = walk.unionByName(table(spark, d, "pages").where("page_id % 50 = 0").select(F.col("url").alias("path"), F.lit(True).alias("error")), allowMissingColumns=True)
+    return catalog.scan(keyed(previous(spark, d)), walk)
+
+
 @query(_SYNC)
 def catalog_sync(spark, d):
-    """A whole scan: listing, filter, comparison, merge, guarded removal."""
-    walk = keyed(listing(spark, d)).withColumn("size", F.when(F.col("id") % 13 != 0, F.col("size"))).drop("id", "width", "height")
-    return catalog.sync(keyed(previous(spark, d)), walk).select("root", "path", "id", "size", "modified_ns", "width", "height")
+    """A whole scan: listing, filter, comparison, merge, removal of what was not seen."""
+    return _scan(spark, d, False)[0].select("root", "path", "id", "size", "modified_ns", "width", "height")
+
+
+@query(_SYNC + """ union all select root, path, id, size, modified_ns, width, height from prev p
+  where not exists (select 1 from cur c where c.root = p.root and c.path = p.path) and exists (select 1 from pages where page_id % 50 = 0)""")
+def catalog_sync_errors(spark, d):
+    """The same scan where some folders couldn't be listed: nothing is removed."""
+    return _scan(spark, d, True)[0].select("root", "path", "id", "size", "modified_ns", "width", "height")
+
+
+_REPORT_OF_SCAN = """, met as (
+  select c.path as seen, p.path as known, c.size as size, c.size = p.size and c.modified_ns = p.modified_ns and c.format = p.format as same
+  from (select * replace (case when id % 13 = 0 then null else size end as size) from cur) c full outer join prev p on c.root = p.root and c.path = p.path),
+counted as (
+  select (select count(*) from listing) as visited, count(seen) as supported, count(*) filter (size is not null and same) as reused,
+    count(*) filter (size is not null and known is null) as inserted, count(*) filter (size is not null and known is not null and not same) as updated,
+    count(*) filter (seen is null) as unseen, {errors} as errors from met)
+select visited, supported, reused, inserted, updated, case when errors = 0 then unseen else 0 end as removed, errors, supported + case when errors = 0 then 0 else unseen end as total from counted"""
+
+
+def _report_of_scan(spark, d, errors):
+    stats = _scan(spark, d, errors)[1]
+    del stats["elapsed_ms"]  # differs from run to run
+    return spark.createDataFrame([stats], ", ".join(f"{k} long" for k in stats))
+
+
+@query(_REPORT_OF_SCAN.format(errors="0::bigint"))
+def scan_report(spark, d):
+    return _report_of_scan(spark, d, False)
+
+
+@query(_REPORT_OF_SCAN.format(errors="(select count(*) from pages where page_id % 50 = 0)"))
+def scan_report_errors(spark, d):
+    return _report_of_scan(spark, d, True)
 
 
 @query("select id, path from prev where (root, path) not in (select (root, path) from cur)")
@@ -693,12 +733,58 @@ def image_dims(spark, d):
 
 @query("select c.id, case when c.id % 3 = 0 and c.id % 4 <> 0 then (c.id % 640 + 1)::int else c.width end as width, case when c.id % 3 = 0 and c.id % 4 <> 0 then (c.id % 480 + 1)::int else c.height end as height from cur c")
 def metadata_stream(spark, d):
-    """Metadata updates as a stream of files, merged into a stored catalog."""
+    """Metadata updates as a stream of files, in micro-batches, merged with the catalog on reading."""
     base = folder(spark)
-    store = catalog.VersionedStore(spark, f"{base}/store")
-    store.commit(current(spark, d))
-    roots = current(spark, d).select("id", "root")
-    _updates(spark, d).where("seq = 2").join(roots, "id").repartition(3).write.parquet(f"{base}/updates")
+    _updates(spark, d).repartition(3).write.parquet(f"{base}/updates")
     rows = spark.readStream.schema(spark.read.parquet(f"{base}/updates").schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/updates")
-    streams.write_metadata(rows, store, f"{base}/checkpoint").awaitTermination()
-    return store.read().select("id", "width", "height")
+    streams.write_metadata(rows, f"{base}/applied", f"{base}/checkpoint").awaitTermination()
+    return streams.with_metadata(current(spark, d), f"{base}/applied").select("id", "width", "height")
+
+
+# --- the cache as files, written by the sink and read back
+
+
+def _cache_entries(spark, d):
+    v = F.col("vec_id")
+    dims = {"source_width": F.lit(4000), "source_height": F.lit(3000), "width": v % 3 + 1, "height": F.lit(1)}
+    pixels = F.unhex(F.repeat(F.lit("01020304"), (v % 3 + 1).cast("int")))
+    rows = caches.encode(table(spark, d, "embeddings").withColumns(dims | {"pixels": pixels}))
+    end = F.when(v % 10 == 3, ".rgba.tmp-1").otherwise(".rgba")
+    broken = F.when(v % 7 == 0, F.substring("content", 1, 20)).otherwise(F.col("content"))
+    return rows.select(F.concat(v.cast("string"), end).alias("name"), broken.alias("content"))
+
+
+_ENTRIES = """, entries as (select vec_id, vec_id || case when vec_id % 10 = 3 then '.rgba.tmp-1' else '.rgba' end as name, case when vec_id % 7 = 0 then 20 else 24 + 4 * (vec_id % 3 + 1) end as size from embeddings)"""
+
+
+def _cache_folder(spark, d):
+    base = folder(spark).removeprefix("file://") + "/cache"
+    sink.write_files(_cache_entries(spark, d), base)
+    return base
+
+
+@query(_ENTRIES + " select count(*) filter (name like '%.tmp-%') as leftovers, count(*) filter (name not like '%.tmp-%') as n_files, coalesce(sum(size) filter (name not like '%.tmp-%'), 0)::bigint as bytes from entries")
+def cache_files_inventory(spark, d):
+    """Files of a cache folder, counted without reading them."""
+    return caches.inventory(sink.cache_files(spark, _cache_folder(spark, d)))
+
+
+@query(_ENTRIES + """ select name, vec_id % 7 <> 0 as valid, case when vec_id % 7 <> 0 then 4000::bigint end as source_width, case when vec_id % 7 <> 0 then 3000::bigint end as source_height,
+  case when vec_id % 7 <> 0 then (vec_id % 3 + 1)::bigint end as width, case when vec_id % 7 <> 0 then 1::bigint end as height from entries where name not like '%.tmp-%'""")
+def cache_files_decode(spark, d):
+    """Headers of the finished files of a cache folder."""
+    rows = sink.cache_files(spark, _cache_folder(spark, d), "*.rgba").withColumnRenamed("name", "path")
+    return caches.decode_header(rows).withColumnRenamed("path", "name")
+
+
+@query(_ENTRIES + """, first as (select * from entries where name not like '%.tmp-%' and vec_id % 2 = 0),
+second as (select name, size from entries where name not like '%.tmp-%' and vec_id % 3 <> 0)
+select (select count(*) from first) as files, (select sum(size) from first)::bigint as bytes, (select sum(size) from first)::bigint as delta
+union all select count(*), sum(s.size + 1)::bigint, sum(s.size + 1 - coalesce(f.size, 0))::bigint from second s left join first f on s.name = f.name""")
+def cache_files_written(spark, d):
+    """Two writes to one cache folder: files, bytes, and by how much it grew."""
+    base = folder(spark).removeprefix("file://") + "/cache"
+    rows, number = _cache_entries(spark, d).where("name not like '%.tmp-%'"), F.expr("cast(split(name, '[.]')[0] as long)")
+    sink.write_files(rows.where(number % 2 == 0), base)
+    sink.write_files(rows.where(number % 3 != 0).withColumn("content", F.concat("content", F.lit(b"x"))), base)
+    return sink.commits(spark, base).select("files", "bytes", "delta")

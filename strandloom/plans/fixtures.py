@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.scalars import cache_key, extension_lower
 from strandloom.operators.scratch import folder
 from strandloom.schema import FORMATS
+from strandloom.sources import sink
 
 EXTENSIONS = ("jpg", "JPEG", "png", "WEBP", "gif", "bmp", "tif", "TIFF", "ico", "txt", "heic")
 
@@ -53,15 +55,18 @@ def previous(spark, d) -> DataFrame:
 
 
 def file_tree(spark, d) -> str:
-    """A tree with one small image for each page, in seven folders, an empty one, and a link."""
+    """A tree with one small image for each page, in seven folders, an empty one, and a link; the images are written by tasks."""
     root = folder(spark).removeprefix("file://") + "/tree"
+    k = F.col("page_id")
+    number = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
+    head = F.lit(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR")
+    name = F.concat(F.lit("d"), (k % 7).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".png"))
+    rows = table(spark, d, "pages").select(name.alias("name"), F.concat(head, number(k % 50 + 1), number(k % 30 + 2)).alias("content"))
+    sink.write_files(rows, root)
     os.makedirs(f"{root}/none")
-    for row in table(spark, d, "pages").select("page_id").toLocalIterator():  # this fixture's files are made one by one
-        k = row["page_id"]
-        os.makedirs(f"{root}/d{k % 7}", exist_ok=True)
-        with open(f"{root}/d{k % 7}/f{k}.png", "wb") as f:
-            f.write(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (k % 50 + 1).to_bytes(4, "big") + (k % 30 + 2).to_bytes(4, "big"))
     os.symlink(f"{root}/none", f"{root}/link")
+    for name in (sink.STAGED, sink.COMMITS):
+        shutil.rmtree(f"{root}/{name}")
     return root
 
 

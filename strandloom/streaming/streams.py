@@ -1,7 +1,9 @@
-"""Structured Streaming forms: debounce, throttle, micro-batched metadata, cancellation."""
+"""Structured Streaming forms: debounce and its gate, throttle, micro-batched metadata, event reducer, pending requests, cancellation."""
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from strandloom.operators.catalog import VersionedStore, update_metadata
+from strandloom.operators.catalog import update_metadata
 from strandloom.operators.ordering import running_before
 from strandloom.operators.scratch import saved
 
@@ -114,7 +116,7 @@ class Throttle(StatefulProcessor):
     def init(self, handle):
         self.state = handle.getValueState("last", "ts timestamp")
 
-    def handleInputRows(self, key, rows, timers):  # noqa: N802
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         last = pd.Timestamp(self.state.get()[0]) if self.state.exists() else None
         for frame in rows:
             kept, last = _kept(frame.sort_values(["ts", "event_id"]), last, self.step)
@@ -126,45 +128,159 @@ class Throttle(StatefulProcessor):
         pass
 
 
-def _batches(rows: DataFrame, store: VersionedStore, checkpoint: str, merged):
-    """Each micro-batch is merged into the roots that it touches; ``merged(rows of these roots, batch)`` gives their new rows."""
+def write_metadata(updates: DataFrame, folder: str, checkpoint: str, **trigger):
+    """Micro-batches of metadata updates, appended to a table below ``folder``, each once; ``with_metadata`` merges them on reading."""
+    out = updates.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    return out.trigger(**trigger or {"availableNow": True}).start()
 
-    def merge(batch: DataFrame, _: int) -> None:
-        version = store.version()
-        roots = [r["root"] for r in batch.select("root").distinct().collect()]
-        old = store.read(roots)
-        if roots and old is not None:
-            store.commit_roots(merged(old, batch), roots, after=version)
 
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def with_metadata(catalog: DataFrame, folder: str) -> DataFrame:
+    """The catalog with the updates that were written below ``folder``, each guarded: of several that fit a row the last by seq."""
+    return update_metadata(catalog, catalog.sparkSession.read.parquet(folder))
 
 
-def write_metadata(updates: DataFrame, store: VersionedStore, checkpoint: str):
-    """Micro-batches of metadata updates (with root) merged into the catalog, each guarded; a batch that runs twice changes nothing more.
+class Reducer(StatefulProcessor):
+    """Events of a root folded into its records: events.groupBy("root").transformWithStateInPandas(Reducer(), REDUCED, "update", "none").
 
-    Updates of roots without rows fall out: there is nothing that they fit.
+    Rows: root, generation, kind (started, upsert, remove), path, size, seq. The state is the
+    generation that was started last and, for each path, what its last event of this generation
+    or of one not yet started said. A new generation drops the paths of older ones, and events of
+    older generations fall out, however late they come. Of two events of a path that with the
+    greater seq counts, so rows may come in any order and again. With ``ttl`` (milliseconds) paths
+    without events for so long are forgotten; it takes the time mode "processingTime", whose streams run on
+    until they are stopped. What comes out is each path whose record changed; ``records`` makes a table of it.
     """
-    return _batches(updates, store, checkpoint, lambda old, batch: update_metadata(old, batch.drop("root")))
 
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
+
+    def init(self, handle) -> None:
+        self.now = handle.getValueState("now", "generation long, seq long")
+        self.files = handle.getMapState("files", "generation long, path string", "size long, seq long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        batch = pd.concat(list(rows), ignore_index=True)
+        now, since = self.now.get() if self.now.exists() else (None, None)
+        started = batch[batch["kind"] == "started"].sort_values("seq")
+        fresh = len(started) and (since is None or int(started["seq"].iloc[-1]) > since)
+        changed = {}
+        if fresh:
+            before, now, since = now, int(started["generation"].iloc[-1]), int(started["seq"].iloc[-1])
+            self.now.update((now, since))
+            if before != now:
+                for generation, path in [tuple(k) for k in self.files.keys()]:
+                    if generation < now:
+                        self.files.removeKey((generation, path))
+                    elif generation == now:  # what came before the generation was started
+                        changed[path] = self.files.getValue((generation, path))
+        events = batch[batch["kind"].isin(["upsert", "remove"])]
+        if now is not None:
+            events = events[events["generation"] >= now]
+        last = events.sort_values("seq").drop_duplicates(["generation", "path"], keep="last")
+        for generation, path, kind, size, seq in last[["generation", "path", "kind", "size", "seq"]].itertuples(index=False):
+            at = (int(generation), path)
+            if self.files.containsKey(at) and self.files.getValue(at)[1] >= seq:
+                continue
+            value = (int(size) if kind == "upsert" and not pd.isna(size) else None, int(seq))
+            self.files.updateValue(at, value)
+            if generation == now:
+                changed[path] = value
+        columns = ["root", "generation", "path", "size", "seq"]
+        out = pd.DataFrame([(key[0], now, path, v[0], v[1]) for path, v in changed.items()], columns=columns)
+        yield out.astype({"size": "Int64", "generation": "Int64", "seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+#: What ``Reducer`` gives: size is null where the path was removed.
+REDUCED = "root string, generation long, path string, size long, seq long"
 
-def reduce_events(events: DataFrame, store: VersionedStore, checkpoint: str):
-    """A snapshot in the store, then deltas: upserts and removes (root, path, kind, size, seq) folded into it, batch after batch.
 
-    Rows hold the seq that wrote them, so an event that comes again or late changes nothing. A removed path
-    stays as a row with size null, for the events that come late; ``live`` leaves these out.
+def records(reduced: DataFrame) -> DataFrame:
+    """The records of each root's last generation, from all that a ``Reducer`` gave."""
+    last = reduced.groupBy("root", "generation", "path").agg(F.max_by("size", "seq").alias("size"))
+    now = last.groupBy("root").agg(F.max("generation").alias("_now"))
+    return last.join(now, "root").where("generation = _now and size is not null").select("root", "path", "size")
+
+
+class Gate(StatefulProcessor):
+    """Trailing debounce that waits while work runs: rows.groupBy("user_id").transformWithStateInPandas(Gate("6 hours"), FIRED, "append", "eventTime").
+
+    Rows: user_id, ts (with a watermark), kind, until. A ``change`` sets the key due a gap after its
+    time, anew with each one. A ``work`` is busy from ts to until; pieces may overlap. When the due time has
+    passed and nothing is busy, the key fires, once for all changes since it last did. A change
+    at the very time of firing comes after it, work that begins then comes before. Events wait
+    in state until the watermark has passed them, so their order is that of their
+    times; a timer stands at the next event or time of firing, and is set again as work goes on.
     """
 
-    def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
-        size = F.when(F.col("kind") == "upsert", F.col("size"))
-        new = batch.where("kind in ('upsert', 'remove')").select("root", "path", size.alias("size"), F.col("seq").cast("long").alias("seq"))
-        both = old.select("root", "path", "size", "seq").unionByName(new)
-        return both.groupBy("root", "path").agg(F.max_by(F.struct("size", "seq"), "seq").alias("r")).select("root", "path", "r.*")
+    def __init__(self, gap: str):
+        self.gap = int(pd.Timedelta(gap).value // 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "data string")
 
-    return _batches(events, store, checkpoint, merged)
+    def _load(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {"waiting": [], "due": None, "first": 0, "last": 0, "n": 0, "busy": None}
 
+    def _store(self, s: dict) -> None:
+        times = [w[0] for w in s["waiting"]] + ([max(s["due"], s["busy"] or s["due"])] if s["due"] is not None else [])
+        if times:
+            self.handle.registerTimer(-(-min(times) // 1000))
+        self.state.update((json.dumps(s),))
 
-def live(rows: DataFrame) -> DataFrame:
-    return rows.where("size is not null")
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        s = self._load()
+        micros = lambda x: None if pd.isna(x) else int(pd.Timestamp(x).value // 1000)
+        for frame in rows:
+            s["waiting"] += [[micros(ts), int(kind != "work"), micros(until)] for ts, kind, until in frame[["ts", "kind", "until"]].itertuples(index=False)]
+        self._store(s)
+        yield pd.DataFrame(columns=["user_id", "first_ts", "last_ts", "n", "fire_ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        s, upto = self._load(), timerValues.getCurrentWatermarkInMs() * 1000
+        ready = sorted((w for w in s["waiting"] if w[0] <= upto), key=lambda w: (w[0], w[1]))
+        s["waiting"] = [w for w in s["waiting"] if w[0] > upto]
+        fired: list = []
+
+        def fire(before: int) -> None:
+            if s["due"] is not None and (at := max(s["due"], s["busy"] or s["due"])) < before:
+                fired.append((key[0], s["first"], s["last"], s["n"], at))
+                s.update(due=None, n=0)
+
+        for ts, change, until in ready:
+            fire(ts + change)
+            if change:
+                s.update(first=s["first"] if s["n"] else ts, last=ts, n=s["n"] + 1, due=ts + self.gap)
+            else:
+                s["busy"] = max(s["busy"] or until, until)
+        fire(upto + 1)
+        if s["due"] is None and not s["waiting"] and (s["busy"] or 0) <= upto:
+            self.state.clear()
+        else:
+            self._store(s)
+        out = pd.DataFrame(fired, columns=["user_id", "first_ts", "last_ts", "n", "fire_ts"])
+        for c in ("first_ts", "last_ts", "fire_ts"):
+            out[c] = pd.to_datetime(out[c], unit="us")
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+FIRED = "user_id long, first_ts timestamp, last_ts timestamp, n long, fire_ts timestamp"
+
+
+def pending_stream(requests: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Requests (with ts) that are not pending already: of those of one (generation, epoch, key, priority) the first, as long as its watermark lasts.
+
+    Only prefetch has epochs. State holds the keys of the time that the watermark allows.
+    """
+    epoch = F.when(F.col("priority") == "prefetch", F.col("epoch")).otherwise(F.lit(0)).cast("long")
+    rows = requests.withColumn("epoch", epoch).withWatermark("ts", late)
+    return rows.dropDuplicatesWithinWatermark(["generation", "epoch", "key", "priority"])
 
 
 def cancel(spark, tag: str) -> None:

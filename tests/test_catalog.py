@@ -151,61 +151,6 @@ def test_deep_and_wide_trees(spark, tmp_path):
     assert len(found) == len(set(found)) == 1 + 300 * 5
 
 
-def test_store_and_metadata_stream(spark, tmp_path):
-    base = q._placed(spark, D).drop("pos")
-    store = catalog.VersionedStore(spark, f"file://{tmp_path}/store")
-    assert store.read() is None
-    updates = base.limit(3).selectExpr("id", "root", "path", "modified_ns", "11 as width", "12 as height", "1 as seq")
-    updates.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(updates.schema).parquet(f"{tmp_path}/in")
-    streams.write_metadata(stream, store, f"{tmp_path}/cp0").awaitTermination()  # an empty store
-    assert store.read() is None
-    store.commit(base)
-    before = store.manifest()
-    streams.write_metadata(stream, store, f"{tmp_path}/cp").awaitTermination()
-    now = store.read()
-    assert now.count() == base.count() and now.where("width = 11 and height = 12").count() >= 3
-    touched = {r.root for r in updates.select("root").distinct().collect()}
-    assert {r for r, f in store.manifest().items() if before[r] != f} == touched
-    assert store.read(["/lib/en"]).select("root").distinct().count() == 1
-    store.clear()
-    assert store.read() is None
-
-
-def test_of_two_writers_one_fails(spark, tmp_path):
-    one, two = (catalog.VersionedStore(spark, f"file://{tmp_path}/store") for _ in range(2))
-    rows = spark.createDataFrame([("/a b=%/x", 1), ("/c", 2)], "root string, id int")
-    one.commit(rows)
-    seen = two.version()
-    one.commit(rows.where("id = 1"), after=seen)
-    with pytest.raises(catalog.Conflict):
-        two.commit(rows, after=seen)
-    two.commit_roots(rows.withColumn("id", rows.id + 1), ["/c"])
-    assert sorted((r.root, r.id) for r in one.read().collect()) == [("/a b=%/x", 1), ("/c", 3)]
-    one.commit(rows)
-    one.commit(rows)
-    one.vacuum()
-    assert one.read().count() == 2 and len([x for x in one._names(one.path) if x.startswith("version-")]) == 2
-
-
-def test_event_stream_equals_batch(spark, tmp_path):
-    from strandloom.operators.events import fold
-
-    old = spark.createDataFrame([("r", f"p{k}", -1, -1) for k in range(6)], "root string, path string, size long, seq long")
-    events = [(k, 1, ("upsert", "remove", "upsert")[k % 3], f"p{k * 7 % 9}", k) for k in range(40)]
-    store = catalog.VersionedStore(spark, f"file://{tmp_path}/store")
-    store.commit(old)
-    df = spark.createDataFrame(events, "seq long, generation long, kind string, path string, size long")
-    rows = df.selectExpr("'r' as root", "path", "kind", "size", "seq")
-    rows.repartition(4).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    for name in ("cp", "again"):  # the same events twice change nothing
-        streams.reduce_events(stream, store, f"{tmp_path}/{name}").awaitTermination()
-        start = spark.createDataFrame([(-5, 1, "started", "", 0)], df.schema)
-        want = fold(old.select("path", "size"), df.unionByName(start)).collect()
-        assert {(r.path, r.size) for r in streams.live(store.read()).collect()} == {(r.path, r.size) for r in want}
-
-
 def test_throttled_stream_equals_batch(spark, tmp_path):
     ev = spark.read.parquet(f"{D}/events.parquet").selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts")
     ev.coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -215,24 +160,6 @@ def test_throttled_stream_equals_batch(spark, tmp_path):
     assert {r.event_id for r in spark.table("shown").collect()} == {r.event_id for r in streams.throttle(ev).collect()}
 
 
-def test_change_stream(spark, tmp_path):
-    from strandloom.sources.files import change_stream
-
-    (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "a.jpg").write_text("a")
-    run = lambda: change_stream(spark, str(tmp_path / "t")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
-    for name in ("a.jpg", "b.jpg"):
-        (tmp_path / "t" / name).write_text("x")
-        query = run()
-        for _ in range(100):
-            found = spark.read.schema("path string, modified_ns long, event_type string").parquet(str(tmp_path / "out")) if (tmp_path / "out").exists() else None
-            if found is not None and name in {os.path.basename(r.path) for r in found.collect()}:
-                break
-            time.sleep(0.3)
-        query.stop()
-    assert {os.path.basename(r.path) for r in found.collect()} == {"a.jpg", "b.jpg"} and found.count() == 2
-
-
 def test_cancelled_work_ends(spark):
     failed = []
 
