@@ -82,11 +82,12 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """
     langs, logs = fit(docs)
     html = F.coalesce(F.col("html"), F.lit(""))
-    plain = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>|&[a-zA-Z#0-9]{1,10};", " ")
+    # no part looks past the next < or >, but for a script, which ends with the page if nothing else ends it: time grows with the page
+    plain = F.regexp_replace(html, r"(?is)<(script|style)\b[^<>]*>.*?(?:</\1\s*+>|\z)|<[^<>]*+>|&[a-zA-Z#0-9]{1,10};", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     base = pages.select(
         "page_id", "url", host.alias("host"),
-        F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)).alias("declared"),
+        F.lower(F.regexp_extract(html, r"(?is)<html\b[^<>]*?\blang\s*+=\s*+[\"']?([a-z]{2,3})", 1)).alias("declared"),
         plain.alias("text"),
     )
     if not langs:
