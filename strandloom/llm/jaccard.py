@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm.common import Scratch, Words, fresh, mix, pieces, table
 from strandloom.llm.components import components
@@ -324,6 +325,11 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, leaf: int =
     are looked at each by itself. Repeated rows are equal sets. An empty table gives an
     empty result. Other columns are left out.
     """
+    return _classes(docs, gram, percent, leaf).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _classes(docs: DataFrame, gram: int, percent: int, leaf: int) -> DataFrame:
+    """doc_id, n, node (the digest of the set), top (one of the component's nodes) and component_id of every row, as ``join`` finds them."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -382,26 +388,64 @@ def join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, leaf: int =
     root = nodes.select("node", "doc_id").join(label.withColumnRenamed("member", "node"), "node", "left").select("node", "doc_id", F.coalesce("l", "node").alias("l"))
     root = root.join(joined, "l", "left").select("node", "doc_id", F.coalesce("top", "l").alias("top"))
     least = root.groupBy("top").agg(F.min("doc_id").alias("least"))
-    final = scratch.save(root.join(least, "top").select("node", "least"))
+    final = scratch.save(root.join(least, "top").select("node", "least", "top"))
     scratch.done(slim, final)
     out = slim.join(final, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "n", "node", "top", component.alias("component_id"))
+
+
+def _with_node(gram: int, text: int):
+    """Rows with one more column, the digest of their set."""
+
+    def work(batches):
+        for whole in batches:
+            for batch in pieces(whole, text):
+                sets = Sets(batch.column(text), gram)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(sets.n > 0, sets.node, 0)), pa.array(sets.n > 0)], [*batch.schema.names, "_node", "_words"])
+
+    return work
 
 
 def deduplicated(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each group of linked documents, that with the smallest doc_id, with all its columns.
 
     Rows without doc_id stay, and so do rows without words, null and empty texts. Of
-    rows with the same doc_id and text one stays. Texts of any length are compared as
+    rows with the same doc_id and text one stays. Where a doc_id has several texts, each
+    is in the group of its own text; of those with a group's smallest doc_id one stays, that with
+    the smallest digest. Texts of any length are compared as
     a whole. An empty table gives an empty result. Columns may have any names.
     """
-    own, one = fresh(docs.columns, "_own", "_one")
-    kept = join(docs, gram, percent).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept[own], "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
-    named = named.withColumn(one, first).where(F.col(one) == 1).drop(one)
-    return named.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession)
+    classes = scratch.save(_classes(docs.select("doc_id", "text"), gram, percent, LEAF).where("doc_id is not null"))
+    own, one, node, words, first = fresh(docs.columns, "_own", "_one", "_node", "_words", "_first")
+    repeated = scratch.save(classes.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(own)))
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    out = docs.where("doc_id is null")
+    if not repeated.limit(1).count():
+        return docs.join(kept, docs["doc_id"] == kept[own], "left_semi").unionByName(out)
+    single = kept.join(repeated, own, "left_anti")
+    out = out.unionByName(docs.join(single, docs["doc_id"] == single[own], "left_semi"))
+    # only rows whose doc_id stands for several are looked at by their sets
+    some = docs.join(repeated, docs["doc_id"] == repeated[own], "left_semi")
+    fields = T.StructType([*some.schema.fields, T.StructField(node, T.LongType()), T.StructField(words, T.BooleanType())])
+    text = [c.lower() for c in docs.columns].index("text")
+    some = some.mapInArrow(_renamed(_with_node(gram, text), fields.names), fields)
+    least = classes.where("doc_id = component_id and n > 0").groupBy("top").agg(F.min("doc_id").alias(own), F.min("node").alias(one))
+    least = least.select(own, one).distinct()
+    some = some.join(least, (some["doc_id"] == least[own]) & (some[node] == least[one]), "left").where(~F.col(words) | F.col(one).isNotNull())
+    # without words each different text stays, else one row of the set
+    alike = F.when(F.col(words), F.lit("")).otherwise(F.coalesce(F.sha2("text", 256), F.lit("null")))
+    some = some.withColumn(first, F.row_number().over(Window.partitionBy("doc_id", words, node, alike).orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))))
+    return out.unionByName(some.where(F.col(first) == 1).select(docs.columns))
+
+
+def _renamed(made, names: list[str]):
+    def work(batches):
+        for batch in made(batches):
+            yield batch.rename_columns(names)
+
+    return work
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):

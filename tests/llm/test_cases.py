@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -370,3 +371,25 @@ def test_scratch_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         Scratch(Session())
+
+
+def test_deduplicated_with_repeated_ids(spark):
+    """A near copy goes whatever else has its doc_id; another text of that doc_id stays."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base), (5, base + " more"), (5, "another text that has nothing in common with it"), (5, None), (5, ""), (5, ""), (7, "solo words here now again"), (7, "solo words here now again")]
+    rows += [(9, "x1 x2 x3 x4 x5 x6 x7"), (9, "y1 y2 y3 y4 y5 y6 y7"), (10, "y1 y2 y3 y4 y5 y6 y7"), (3, "one two three four five six"), (3, "one two three four five six ")]
+    docs = spark.createDataFrame([(i, t, "c", "d") for i, t in rows], "doc_id long, text string, _node string, Own string")
+    got = sorted((r.doc_id, r.text or repr(r.text)) for r in jaccard.deduplicated(docs).collect())
+    texts = {(i, (t or "").strip()) for i, t in got}
+    assert len(got) == 8 and (5, "None") in got and (5, "''") in got
+    assert {(1, base), (5, rows[2][1]), (7, rows[6][1]), (9, rows[8][1]), (9, rows[9][1]), (3, "one two three four five six")} <= texts
+    assert not any(t.endswith("more") for _, t in got) and all(i != 10 for i, _ in got)
+
+
+@pytest.mark.parametrize("unit", ["<", "<a ", "<a b='", "<script>", "<style ", "<html ", "<html lang ", "</", "&", "<!--", "</script ", "lang="])
+def test_language_of_hostile_pages_takes_time_in_proportion(spark, unit):
+    docs = spark.createDataFrame([(k, t, l) for k, (t, l) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 4)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://a.de/x", unit * ((1 << 20) // len(unit)))], "page_id long, url string, html string")
+    began = time.time()
+    assert language.identify(pages, docs).count() == 1
+    assert time.time() - began < 25
