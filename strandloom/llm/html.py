@@ -6,18 +6,18 @@ import math
 import re
 from collections import defaultdict, deque
 from functools import lru_cache
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandloom.llm import markup
 from strandloom.llm.common import pieces, table
 
 # Tags of HTML.
 SILENT = {
-    "script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas",
-    "audio", "video", "select", "textarea", "button", "dialog",
+    "script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "audio", "video", "select",
+    "textarea", "button", "dialog", "xmp", "noembed", "noframes", "annotation", "annotation-xml",
 }
 HEAD_TAGS = {"html", "head", "title", "style", "script", "noscript", "template", "meta", "link", "base"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -25,7 +25,11 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
     "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var", "wbr",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom",
+    "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mtd",
 }
+#: What is left out without an end to the text around it.
+INLINE_SILENT = {"annotation", "annotation-xml"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What ends an open element of a kind when one more begins, and where the search for it stops.
 IMPLIED = {
@@ -42,13 +46,18 @@ AGAINST_WORDS = {
     "widgets", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe",
     "subscription", "signup", "login", "search", "share", "sharing", "social", "related", "recommended", "recommendations",
     "pagination", "pager", "tags", "toc", "complementary", "contentinfo", "dialog", "skip", "copyright", "legal",
-    "disclaimer", "teaser", "outbrain", "taboola",
+    "disclaimer", "teaser", "teasers", "outbrain", "taboola", "dfp", "gpt", "adbox", "adslot", "adsense", "adunit", "banners", "billboard", "skyscraper",
+    "crumb", "crumbs", "topnav", "subnav", "mainnav", "topmenu", "submenu", "hamburger", "links", "rail", "column", "colophon", "foot", "bottom", "bottombar",
+    "masthead", "toolbar", "tools", "cookiebar", "privacy", "alert", "toast", "paywall", "login", "register", "follow", "followers", "sharebar", "sharethis",
+    "addthis", "facebook", "twitter", "pinterest", "also", "more", "next", "previous", "prev", "trending", "popular", "latest", "jump", "skiplink",
 }
-TOP_WORDS = {"header", "head", "masthead"}
-COMMENT_WORDS = {"comment", "comments", "respond", "reply", "replies", "disqus", "discussion", "kommentare", "comentarios", "commentaires"}
-FOR_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "articlebody", "maincontent", "text"}
+#: The same where a word only begins like this.
+AGAINST_STARTS = ("advert", "sponsor", "promo", "cookie", "newsletter", "subscri", "navig", "breadcrumb", "sidebar", "recommend", "relat", "footer", "menu", "adsbox", "popup", "copyright")
+TOP_WORDS = {"header", "head", "masthead", "siteheader", "brand", "branding", "logo", "top"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "discussion", "thread", "kommentare", "comentarios", "commentaires"}
+FOR_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "articlebody", "maincontent", "text", "copy", "prose", "paragraph"}
 #: A class that only tells what else there is: has-comments, no-sidebar.
-TELLING = {"has", "no", "with", "without", "not", "is", "hide", "show"}
+TELLING = {"has", "no", "with", "without", "not", "is", "hide", "show", "enabled", "disabled", "active", "on", "off"}
 SAYS_NOTICE = re.compile(
     r"©|\(c\)\s|all rights reserved|cookies|advertisement|\bsponsored\b|alle rechte vorbehalten|tous droits réservés|todos los derechos", re.I
 )
@@ -58,28 +67,34 @@ NEXT, SIBLING = 0.3, 0.7
 
 
 def _hints(attrs) -> tuple[bool, bool, bool]:
-    """Whether class, id or role speak against content, of comments, and for content."""
+    """Whether class, id or role speak against content, of comments, and for content.
+
+    The last word of a name that is a container's says what it is, the others what kind:
+    notice-text is a text, article-footer a footer. A name that only tells what else there is says nothing.
+    """
     against = comment = good = False
     for key, value in attrs:
         if not value or key not in ("class", "id", "role"):
             continue
         for token in value.split():
-            words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_a-zA-Z]+", token)}
-            if not TELLING.isdisjoint(words):
+            words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_a-zA-Z]+", token)]
+            if not words or not TELLING.isdisjoint(words):
                 continue
-            of = not FOR_WORDS.isdisjoint(words)
+            last = words[-1]
             if not COMMENT_WORDS.isdisjoint(words):
                 comment = True
-            elif not AGAINST_WORDS.isdisjoint(words):
+            elif last in FOR_WORDS:
+                good = True
+            elif not AGAINST_WORDS.isdisjoint(words) or any(w.startswith(AGAINST_STARTS) for w in words):
                 against = True
-            elif of:
+            elif not FOR_WORDS.isdisjoint(words):
                 good = True
             elif not TOP_WORDS.isdisjoint(words):
                 against = True
-    return against, comment, good
+    return against and not good, comment, good
 
 
-class _Page(HTMLParser):
+class _Page:
     """Elements that are not inline, and blocks of text in page order.
 
     Each open element and each open place by tag is on a stack, so that a tag costs the
@@ -87,7 +102,6 @@ class _Page(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.hint, self.silent = [""], [0], [(False, False, False)], [False]
         self.stack = [0]
         self.at: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
@@ -96,6 +110,22 @@ class _Page(HTMLParser):
         self.linked = 0
         self.link = 0  # depth at which a link was opened, or 0
         self.inner = -1
+        self.mute = ""  # the tag of INLINE_SILENT that is open
+
+    def feed(self, text: str):
+        for kind, *what in markup.read(text):
+            if kind == "text":
+                if not self.mute:
+                    self.handle_data(*what)
+            elif kind == "end" and what[0] == self.mute:
+                self.mute = ""
+            elif kind == "start" and what[0] in INLINE_SILENT:
+                self.mute = what[0]
+            elif kind == "start":
+                self.mute = ""
+                self.handle_starttag(*what)
+            else:
+                self.handle_endtag(*what)
 
     def flush(self):
         if self.inner >= 0:
@@ -147,12 +177,6 @@ class _Page(HTMLParser):
             if self.at[tag] and self.at[tag][-1] > stop:
                 self._close(self.at[tag][-1])
 
-    def parse_marked_section(self, i, report=1):
-        try:
-            return super().parse_marked_section(i, report)
-        except AssertionError:  # not a section that is known: a comment up to the next >
-            return self.parse_bogus_comment(i, report)
-
     def handle_data(self, data):
         top = self.stack[-1]
         if self.silent[top]:
@@ -167,7 +191,6 @@ class _Page(HTMLParser):
 def read(html: str) -> _Page:
     page = _Page()
     page.feed(html)
-    page.close()
     page.flush()
     return page
 
@@ -176,52 +199,77 @@ def blocks_of(html: str) -> list[str]:
     return [text for text, *_ in read(html).blocks]
 
 
-def _body(page: _Page, plain: np.ndarray, direct: np.ndarray) -> int:
-    """The element that holds the article, as far as can be told: the fullest article or main, or where most text stands."""
-    marked = [any(h[:2]) or t in AGAINST_TAGS for h, t in zip(page.hint, page.tag, strict=True)]
-    inside = [False] * len(marked)
-    for e in range(1, len(marked)):
-        inside[e] = inside[page.parent[e]] or page.tag[page.parent[e]] in AGAINST_TAGS or page.hint[page.parent[e]][1]
-    good = [e for e, t in enumerate(page.tag) if t in MAIN_TAGS and not marked[e] and not inside[e] and plain[e] > 0]
+#: How much the prose of an element counts that its name or tag speaks against.
+NAMED, TAGGED = 0.35, 0.1
+
+
+def _bodies(page: _Page, plain: np.ndarray, linked: np.ndarray) -> list[int]:
+    """The elements that hold the article, as far as can be told, the fullest first.
+
+    That is the element, article or main before others, under which most prose stands; names
+    weigh, but don't decide, so prose in a container of any name is found. Articles beside it that
+    have a good part of text of their own belong to it.
+    """
+    n = len(page.tag)
+    prose, weight, talk = np.zeros(n), np.ones(n), [False] * n
+    for e in range(1, n):
+        above = page.parent[e]
+        against, comment, good = page.hint[e]
+        own = TAGGED if page.tag[e] in AGAINST_TAGS or comment else NAMED if against else 1.0
+        weight[e] = min(weight[above], own)
+        talk[e] = talk[above] or comment or page.tag[e] in AGAINST_TAGS
+    for text, e, link in page.blocks:
+        holder = page.parent[e] if page.tag[e] in ("p", "blockquote", "pre", "li", "ul", "ol", "td", *HEADINGS) else e
+        if link * 3 < len(text):
+            words = text.count(" ") + 1
+            prose[holder] += (len(text) - link) * (1.0 if words >= 10 or text[-1] in ".!?…" else 0.5)
+    inner = prose.copy()
+    for e in range(n - 1, 0, -1):
+        inner[page.parent[e]] += inner[e]
+    good = [e for e, t in enumerate(page.tag) if t in MAIN_TAGS and plain[e] > 0 and not talk[e]]
+    good = [e for e in good if inner[e] * weight[e] * 4 >= (prose * weight).max()]
     articles = [e for e in good if page.tag[e] == "article"]
     if good:
-        return max(articles or good, key=lambda e: (plain[e], -e))
-    score = direct.copy()
-    for e in range(1, len(marked)):
-        if page.tag[e] in ("p", "blockquote", "pre", "li", "ul", "ol", "td", *HEADINGS):
-            score[page.parent[e]] += direct[e]
-    free = [e for e in range(len(marked)) if not marked[e] and not inside[e] and page.tag[e] not in ("p", "li", "ul", "ol", *HEADINGS)]
-    return max(free or range(len(marked)), key=lambda e: (score[e], -e))
+        body = max(articles or good, key=lambda e: (inner[e] * weight[e], -e))
+    else:
+        body = max((e for e in range(n) if page.tag[e] not in ("p", "li", "ul", "ol", *HEADINGS)), key=lambda e: (prose[e] * weight[e], -e))
+    beside = [
+        e for e in range(1, n)
+        if e != body and page.tag[e] == page.tag[body] == "article" and page.parent[e] == page.parent[body] and not talk[e]
+        and not page.hint[e][0] and linked[e] < plain[e] and plain[e] * 5 >= plain[body]
+    ]
+    return [body, *beside]
 
 
 FEATURES = (
     "bias", "in boilerplate tag", "in header", "word against", "comments", "in form", "in body", "word for", "link share",
     "words", "few words", "ends a sentence", "heading", "first heading", "paragraph", "item", "notice", "link share of parent",
-    "share of text of parent", "body is marked and elsewhere", "after the body", "long",
+    "share of text of parent", "body is marked and elsewhere", "after the body", "long", "boilerplate tag in body", "word against in body", "cell in body",
 )
 
 
 def features(page: _Page) -> np.ndarray:
     """One row of ``FEATURES`` for each block."""
     n = len(page.tag)
-    plain, linked, direct = np.zeros(n), np.zeros(n), np.zeros(n)
+    plain, linked = np.zeros(n), np.zeros(n)
     for text, e, link in page.blocks:
         plain[e] += max(0, len(text) - link)
         linked[e] += link
-        direct[e] += max(0, len(text) - link)
     for e in range(n - 1, 0, -1):
         plain[page.parent[e]] += plain[e]
         linked[page.parent[e]] += linked[e]
-    body = _body(page, plain, direct)
-    around, e = set(), body
+    bodies = _bodies(page, plain, linked)
+    body = bodies[0]
+    around, e = set(bodies), body
     while e:
         around.add(e)
         e = page.parent[e]
     marked = page.tag[body] in MAIN_TAGS
+    bodies = set(bodies)
     flags = np.zeros((n, 7))  # boilerplate tag, header, against, comment, form, body, for
     for e in range(1, n):
         tag, (against, comment, good) = page.tag[e], page.hint[e]
-        own = np.array([tag in AGAINST_TAGS, tag == "header", against, comment, tag == "form", e == body, good or tag in MAIN_TAGS], float)
+        own = np.array([tag in AGAINST_TAGS, tag == "header", against, comment, tag == "form", e in bodies, good or tag in MAIN_TAGS], float)
         if e in around:  # what holds the article is no boilerplate, whatever its name
             own[:5] = 0
         elif tag == "header" and flags[page.parent[e], 5]:
@@ -236,14 +284,14 @@ def features(page: _Page) -> np.ndarray:
         inside = flags[e, 5] > 0
         after = after or (seen and not inside)
         seen = seen or inside
-        if (heading or words <= 4) and inside and SAYS_COMMENTS.fullmatch(text):
+        if (heading or words <= 4) and seen and SAYS_COMMENTS.fullmatch(text):
             commented = k
         share = min(1.0, link / max(len(text), 1))
         rows[k] = (
-            1, flags[e, 0], flags[e, 1], flags[e, 2], max(flags[e, 3], float(commented >= 0 and inside)), flags[e, 4], inside, flags[e, 6], share,
+            1, flags[e, 0], flags[e, 1], flags[e, 2], max(flags[e, 3], float(commented >= 0)), flags[e, 4], inside, flags[e, 6], share,
             min(math.log1p(words), 5) / 5, words < 4, text[-1] in ".!?…:;\"”»)", heading, tag == "h1", tag in ("p", "blockquote", "pre"), tag == "li",
-            bool(SAYS_NOTICE.search(text[:400])), linked[above] / (plain[above] + linked[above] + 1), plain[above] / total,
-            marked and not inside, after and not inside, words >= 25,
+            min(1.0, 30 / words) if SAYS_NOTICE.search(text) else 0.0, linked[above] / (plain[above] + linked[above] + 1), plain[above] / total,
+            marked and not inside, after and not inside, words >= 25, inside and flags[e, 0], inside and flags[e, 2], inside and tag in ("td", "th", "dt", "dd"),
         )
     return rows
 
@@ -347,6 +395,13 @@ def _source_side(group: list[int], own: list[float], near: list[dict[int, float]
                 excess[path[-1]] += flow
 
 
+def _prose(page: _Page, rows: np.ndarray) -> np.ndarray:
+    """Blocks that are prose beyond doubt: sentences of ten words or more, hardly linked, in no menu, footer, notice or comment."""
+    long = np.array([text.count(" ") >= 9 and text[-1] in ".!?…\"”»" for text, *_ in page.blocks])
+    column = lambda name: rows[:, FEATURES.index(name)]
+    return long & (column("link share") < 0.3) & (column("in boilerplate tag") == 0) & (column("comments") == 0) & (column("notice") == 0)
+
+
 def main_text(html: str | None, weights: np.ndarray | None = None) -> str:
     """The blocks on the source's side of the cut, in page order, one to a line."""
     page = read(html) if html else None
@@ -360,7 +415,12 @@ def main_text(html: str | None, weights: np.ndarray | None = None) -> str:
         if above in last:
             edges.append((last[above], k, SIBLING))
         last[above] = k
-    keep = minimum_cut((features(page) @ (fitted() if weights is None else weights)).tolist(), edges)
+    rows = features(page)
+    unary = rows @ (fitted() if weights is None else weights)
+    keep = minimum_cut(unary.tolist(), edges)
+    if not any(keep) and (sure := _prose(page, rows) & (rows[:, FEATURES.index("in body")] > 0)).any():
+        # a page with prose in its body has a main text: the scale of costs is moved until the likeliest prose is on its side
+        keep = minimum_cut(np.where(sure, unary - unary[sure].max() + 2 * (NEXT + SIBLING), unary).tolist(), edges)
     return "\n".join(text for (text, *_), good in zip(page.blocks, keep, strict=True) if good)
 
 

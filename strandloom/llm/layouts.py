@@ -72,7 +72,7 @@ class _Maker:
                 parts.append(rng.choice(["<p>{}</p>", "<p>{}", "<p><b>{}<br></p>", "<p>{}</p>", "<div>{}</div>"]).format(text))
             elif kind < 0.82:
                 parts.append(f"<h2>{self.good(' '.join(self.words(rng.randint(2, 6))))}</h2>")
-            elif kind < 0.9:
+            elif kind < 0.86:
                 parts.append("<ul>" + "".join(f"<li>{self.good(self.text(1, 1))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
             elif kind < 0.92:
                 cells = [[self.good(" ".join(self.words(rng.randint(1, 3)))) for _ in range(3)] for _ in range(rng.randint(2, 4))]
