@@ -241,6 +241,50 @@ def test_dual_solution_is_optimal():
         assert spot(w + step, b + change) >= primal - 1e-6
 
 
+def plain_features(text):
+    """Hashed words and runs of three bytes, one by one."""
+    mask, base = (1 << 64) - 1, 0xD6E8FEB86659FD93
+
+    def spread(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    data = (text or "").encode()
+    word = lambda w: spread((sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(w)) + len(w)) & mask) >> (64 - quality.BITS)
+    three = lambda k: ((data[k] | data[k + 1] << 8 | data[k + 2] << 16) * 2654435761 & 0xFFFFFFFF) >> (32 - quality.BITS)
+    return sorted({word(w.encode()) for w in words(text)} | {three(k) for k in range(len(data) - 2)})
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = np.random.default_rng(6)
+    texts = [None, "", "  ", "a", "one two  one", "é漢字 ### $$$", *(" ".join(f"w{x}" for x in rng.integers(0, 90, n)) for n in (3, 40, 400))]
+    model = quality.Model(rng.normal(size=1 << quality.BITS), rng.normal(size=1 << quality.BITS), 0.3, 1.7, -0.4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    for k, text in enumerate(texts):
+        at = plain_features(text)
+        norm = math.sqrt(sum(float(model.ratio[f]) ** 2 for f in at)) or 1.0
+        margin = sum(float(model.product[f]) for f in at) / norm + model.offset
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.shift))))
+
+
+def test_shards_cut_few_links_of_all_pairs(spark):
+    """Links counted pair by pair: of groups of two to nine copies, and one that no shard can hold, hardly any is cut that need not be."""
+    rng = np.random.default_rng(4)
+    texts = [f"group {g} " * int(rng.integers(1, 20)) for g in range(150) for _ in range(int(rng.integers(2, 10)))]
+    texts = [t if k % 3 else f"alone {k} " * 9 for k, t in enumerate(texts)]
+    whole = sum(len(t) + 1 for t in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    home = {r.doc_id: r.shard for r in sharding.shard(docs, n=4).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if texts[a] == texts[b]]
+    load = [sum(len(t) + 1 for k, t in enumerate(texts) if home[k] == j) for j in range(4)]
+    assert max(load) < 1.1 * whole / 4 and min(load) > 0.9 * whole / 4
+    by_hash = np.mean([rng.integers(0, 4) != rng.integers(0, 4) for _ in pairs])
+    cut = np.mean([home[a] != home[b] for a, b in pairs])
+    assert cut < 0.1 < 0.6 < by_hash
+
+
 def test_quality_rejects_bad_rows(spark):
     d = "/root/testdata/sf0.1"
     out = quality.op9_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -297,7 +341,18 @@ def test_recall_on_fifty_thousand_vectors(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": lists}), f"{tmp_path}/v.parquet")
     got = embeddings.link(spark.read.parquet(f"{tmp_path}/v.parquet").repartition(8)).toPandas().sort_values("vec_id")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = np.concatenate([(unit[k : k + 2000] @ unit.T >= 0.9).sum(1) - 1 for k in range(0, len(x), 2000)])
+    near = [np.nonzero(unit[k : k + 2000] @ unit.T >= 0.9) for k in range(0, len(x), 2000)]
+    ends = np.concatenate([np.stack([a + 2000 * k, b]) for k, (a, b) in enumerate(near)], 1)
+    links = np.bincount(ends[0], minlength=len(x)) - 1
+    least = np.arange(len(x))
+    while True:  # the smallest id reachable, by all links
+        then = least.copy()
+        np.minimum.at(then, ends[0], least[ends[1]])
+        if (then == least).all():
+            break
+        least = then
+    assert (got.component_id.to_numpy() >= least).all()  # nothing is joined that isn't reachable
+    assert (got.component_id.to_numpy() == least).mean() > 0.98
     found = got.n_links.to_numpy()
     assert (found <= links).all()
     recall = found.sum() / links.sum()
