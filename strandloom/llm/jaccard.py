@@ -18,9 +18,9 @@ ASKED = 1.6
 ASKED_LEAST = 24
 #: A region with more points than this, not all of one component, is divided by one more pivot, so many times at most; what
 #: is left is joined in either case.
-LEAF, LEVELS = 4096, 2
+LEAF, LEVELS = 128, 16
 #: Parts, by hash of shingle or point, in which shingles of open points are counted and placed: disk holds the shuffle of one.
-PARTS = 2
+PARTS = 4
 _U = np.uint64
 _EPS = 1e-9
 
