@@ -105,3 +105,8 @@ def sort_label(mode: Column) -> Column:
 
 def div_ceil(n: Column, d) -> Column:
     return F.ceil(n / F.lit(d)).cast("long")
+
+
+def decoder_threads(cores: Column) -> Column:
+    """Workers that decode images on machines with so many cores: one is left to the rest, two work at least and eight at most."""
+    return F.greatest(F.lit(2), F.least(F.lit(8), cores - 1))

@@ -10,7 +10,7 @@ from strandloom.operators import caches, catalog, events, folders, transfers, vi
 from strandloom.operators.ordering import numbered
 from strandloom.operators.scratch import folder
 from strandloom.plans.fixtures import CTE, current, file_tree, keyed, listing, previous, table
-from strandloom.schema import CACHE_MAGIC, QUEUE_CAPS
+from strandloom.schema import CACHE_MAGIC, QUEUE_CAPS, storage_locations
 from strandloom.sources import files, sink
 from strandloom.streaming import streams
 
@@ -165,6 +165,17 @@ def display_labels(spark, d):
     return current(spark, d).select("id", S.format_seconds(F.expr("size div 10 * 10")).alias("elapsed"), S.sort_label(mode).alias("label"))
 
 
+@query("select p_partkey, greatest(2, least(8, p_size - 1)) as threads from part")
+def worker_count(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.decoder_threads(F.col("p_size")).alias("threads"))
+
+
+@query("select distinct root, root || '/data/catalog' as catalog, root || '/data/cache/thumbnails' as thumbnails from listing")
+def locations(spark, d):
+    names = storage_locations("")
+    return listing(spark, d).select("root").distinct().select("root", *[F.concat("root", F.lit(x)).alias(k) for k, x in names.items()])
+
+
 # --- snapshot comparison and changes
 
 
@@ -476,13 +487,13 @@ def permanent_delete(spark, d):
     return transfers.permanent_delete(items, entries).select("id", "status")
 
 
-def _report(spark, d):
+def _report(spark, d, cancelled=False):
     rows = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("seq"),
         F.element_at(F.array(*[F.lit(x) for x in ("copy", "move", "recycle_delete", "permanent_delete")]), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("action"),
         (F.col("o_custkey") % 2 == 0).alias("source_exists"), (F.col("o_custkey") % 3 == 0).alias("target_exists"),
     )
-    return transfers.verify(rows, cancelled=False)
+    return transfers.verify(rows, cancelled=cancelled)
 
 
 _REPORT = "(select o_orderkey as seq, ['copy','move','recycle_delete','permanent_delete'][(o_orderkey % 4 + 1)::int] as action, case when case o_orderkey % 4 when 0 then o_custkey % 3 = 0 when 1 then o_custkey % 2 <> 0 and o_custkey % 3 = 0 else o_custkey % 2 <> 0 end then 'succeeded' else 'failed' end as status from orders)"
@@ -498,6 +509,12 @@ def op_summary(spark, d):
     return transfers.summary(_report(spark, d))
 
 
+@query(f"select count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'failed') as skipped, 0::bigint as failed from {_REPORT}")
+def op_summary_cancelled(spark, d):
+    """After a cancelled request what wasn't done is skipped, not failed."""
+    return transfers.summary(_report(spark, d, cancelled=True))
+
+
 @query(f"select id, path from cur where id not in (select seq from {_REPORT} where status = 'succeeded' and action <> 'copy')")
 def op_apply(spark, d):
     rep = _report(spark, d).join(current(spark, d).select(F.col("id").alias("seq"), "path"), "seq")
@@ -546,6 +563,15 @@ def empty_stats(spark, d):
     return folders.stats(dirs, folders.empty_folders(dirs, entries, "/w"))
 
 
+@query(_TREE + """select count(*) as visited, count(*) filter (length(path) % 5 = 2) as errors,
+  count(*) filter (path <> '/w' and length(path) % 5 <> 2 and path not in (select parent from entries)) as found from tree""")
+def empty_stats_errors(spark, d):
+    """The same where some folders can't be read, which are not found empty."""
+    dirs, entries = _tree(spark, d)
+    dirs = dirs.withColumn("error", F.expr("length(path) % 5 = 2"))
+    return folders.stats(dirs, folders.empty_folders(dirs, entries, "/w"))
+
+
 @query(_TREE + "select path, (length(path) - length(replace(path, '/', '')))::bigint as depth, row_number() over (order by length(path) - length(replace(path, '/', '')) desc, path) as rank from tree")
 def depth_order(spark, d):
     out = numbered(folders.depth_order(_tree(spark, d)[0].select("path")), [], [-F.col("depth"), F.col("path")], "rank")
