@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, Words, pieces, table
+from strandloom.llm.common import Scratch, Words, mix, pieces, table
 
 WINDOW = 13
 #: A window belongs to its least run of so many words, its anchor; equal windows have equal anchors.
@@ -116,40 +116,70 @@ def _segments(window: int, anchor: int):
     return made
 
 
-def _symbol(k: int) -> str:
-    return chr(k + 1 if k + 1 < 0xD800 else k + 0x801)
+def _letters(ids: np.ndarray, words: int) -> tuple[np.ndarray, int]:
+    """Word numbers as characters, one for each word, or two if there are more words than characters."""
+    wide = 1 if words <= SYMBOLS else 2
+    codes = ids if wide == 1 else np.stack([ids // SYMBOLS, ids % SYMBOLS], 1).ravel()
+    return np.where(codes + 1 < 0xD800, codes + 1, codes + 0x801).astype("<u4"), wide  # not the surrogates
+
+
+def _confirmed(ids: np.ndarray, passage: np.ndarray, window: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of all passages those that several documents have: one place of each, and its smallest document.
+
+    Windows are told apart by 128 bits of their words' numbers, sorted; no table of windows is held.
+    """
+    n = len(ids) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(passage[:n] == passage[window - 1 :])
+    prints = []
+    for salt in (1, 2):
+        word = mix(ids.astype(np.uint64) * np.uint64(4) + np.uint64(salt))
+        h = np.zeros(n, np.uint64)
+        for j in range(window):
+            h = mix(h + word[j : j + n])
+        prints.append(h[at])
+    order = np.lexsort(prints)
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(order), bool)
+    new[1:] = (prints[0][order][1:] != prints[0][order][:-1]) | (prints[1][order][1:] != prints[1][order][:-1])
+    first, of = np.flatnonzero(new), passage[at[order]]
+    least, most = np.minimum.reduceat(low[of], first), np.maximum.reduceat(high[of], first)
+    shared = least < most
+    return at[order][first[shared]], least[shared]
 
 
 def _automaton(window: int):
-    """For a shard of passages: confirm the windows that recur, compile them, stream every passage through."""
+    """For a shard of passages: confirm the windows that recur, compile these, stream every passage through the machine.
+
+    What is compiled is one place of each recurring window; where it stands in all the
+    passages is found by the machine alone.
+    """
 
     def located(group: pa.Table) -> pa.Table:
-        numbers: dict[str, int] = {}
-        passages = [[numbers.setdefault(w, len(numbers)) for w in text.split(" ")] for text in group.column("phrase").to_pylist()]
-        wide = 1 if len(numbers) <= SYMBOLS else 2
-        letters = [_symbol(k) if wide == 1 else _symbol(k // SYMBOLS) + _symbol(k % SYMBOLS) for k in range(len(numbers))]
-        passages = ["".join([letters[k] for k in p]) for p in passages]
-        low, high = group.column("least").to_pylist(), group.column("most").to_pylist()
-        found: dict[str, tuple[int, int]] = {}
-        for s, a, b in zip(passages, low, high, strict=True):
-            for k in range(0, len(s) - window * wide + 1, wide):
-                w = s[k : k + window * wide]
-                was = found.get(w)
-                found[w] = (a, b) if was is None else (min(a, was[0]), max(b, was[1]))
+        phrases = group.column("phrase").combine_chunks()
+        split = pa.compute.split_pattern(phrases.cast(pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        ids = words.indices.to_numpy().astype(np.int64)
+        size = pa.compute.list_value_length(split).to_numpy().astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(size)))
+        low, high = group.column("least").to_numpy(), group.column("most").to_numpy()
+        at, owner = _confirmed(ids, np.repeat(np.arange(len(size)), size), window, low, high)
+        codes, wide = _letters(ids, len(words.dictionary))
+        text = lambda a, b: codes[a * wide : b * wide].tobytes().decode("utf-32-le")
         machine = ahocorasick.Automaton()
-        for w, (a, b) in found.items():
-            if a < b:
-                machine.add_word(w, a)
+        for a, o in zip(at.tolist(), owner.tolist(), strict=True):
+            machine.add_word(text(a, a + window), o)
         machine.make_automaton()
         keep, owners = [], []
-        for k, s in enumerate(passages):
-            own = [NONE] * (len(s) // wide - window + 1)
+        for k in range(len(size) if len(machine) else 0):
+            own = [NONE] * (int(size[k]) - window + 1)
             hit = False
-            if len(machine):
-                for end, owner in machine.iter(s):
-                    if (end + 1) % wide == 0:  # not from the middle of a word
-                        own[(end + 1) // wide - window] = owner
-                        hit = True
+            for end, o in machine.iter(text(first[k], first[k + 1])):
+                if (end + 1) % wide == 0:  # not from the middle of a word
+                    own[(end + 1) // wide - window] = o
+                    hit = True
             if hit:
                 keep.append(k)
                 owners.append(own)

@@ -129,6 +129,22 @@ def test_automaton_of_more_words_than_characters(monkeypatch):
     assert [r["print"] for r in substrings._automaton(3)(group).to_pylist()] == [0, 1]
 
 
+def test_occurrences_are_located_by_the_machine_alone(monkeypatch):
+    """Windows are confirmed from two passages only; the others' occurrences can come from nothing but the automaton."""
+    inner = substrings._confirmed
+
+    def of_two(ids, passage, window, low, high):
+        some = passage < 2
+        return inner(ids[some], passage[some], window, low, high)
+
+    monkeypatch.setattr(substrings, "_confirmed", of_two)
+    phrases = ["x a b c y", "z z a b c", "a b c", "q a b c a b c", "a b q c a b", "b c a", "aa bb cc a b cc a b c"]
+    n = len(phrases)
+    group = pa.table({"anchor": [7] * n, "print": list(range(n)), "phrase": phrases, "least": list(range(3, n + 3)), "most": list(range(3, n + 3))})
+    found = {r["print"]: [k for k, o in enumerate(r["owners"]) if o == 3] for r in substrings._automaton(3)(group).to_pylist()}
+    assert found == {0: [1], 1: [2], 2: [0], 3: [1, 4], 6: [6]}
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(1)
     items = [" ".join(f"b{x}" for x in rng.integers(0, 900, n)) for n in (14, 30, 60)]
