@@ -21,6 +21,8 @@ ASKED_LEAST = 24
 LEAF, LEVELS = 128, 16
 #: Parts, by hash of shingle or point, in which shingles of open points are counted and placed: disk holds the shuffle of one.
 PARTS = 4
+#: Bytes of text that a task works on at a time, which bounds the memory of its arrays.
+PIECE = 1 << 19
 _U = np.uint64
 _EPS = 1e-9
 
@@ -85,7 +87,7 @@ class Asked:
 def _slim(gram: int, percent: int):
     def made(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 sets = Sets(batch.column("text"), gram)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array(sets.n), pa.array(sets.node), pa.array(Asked(sets, percent).count),
@@ -99,7 +101,7 @@ def _named(gram: int, percent: int, deciding: bool):
 
     def made(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 sets = Sets(batch.column("text"), gram)
                 asked = Asked(sets, percent)
                 use = asked.deciding if deciding else asked.named
@@ -111,7 +113,7 @@ def _named(gram: int, percent: int, deciding: bool):
 def _sets_of(gram: int):
     def made(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", PIECE):
                 sets = Sets(batch.column("text"), gram)
                 want = np.asarray(batch.column("want"))
                 for r in np.flatnonzero(sets.node == want).tolist():
@@ -400,7 +402,7 @@ def _with_node(gram: int, text: int):
 
     def work(batches):
         for whole in batches:
-            for batch in pieces(whole, text):
+            for batch in pieces(whole, text, PIECE):
                 sets = Sets(batch.column(text), gram)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(sets.n > 0, sets.node, 0)), pa.array(sets.n > 0)], [*batch.schema.names, "_node", "_words"])
 
