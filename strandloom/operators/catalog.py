@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,23 @@ def upsert(catalog: DataFrame, new: DataFrame, order: str = "modified_ns") -> Da
     return old.unionByName(added.select("*", *[F.lit(None).cast("int").alias(x) for x in ("width", "height")]))
 
 
+@contextmanager
+def _observed(spark: SparkSession):
+    """Plans keep their observations even where nothing flows through them, as when an empty folder is scanned for the first time."""
+    rules = {
+        "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation",
+        "spark.sql.adaptive.optimizer.excludedRules": "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation",
+    }
+    before = {k: spark.conf.get(k, None) for k in rules}
+    for k, rule in rules.items():
+        spark.conf.set(k, f"{before[k]},{rule}" if before[k] else rule)
+    try:
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
 def scan(catalog: DataFrame, walk: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """The catalog after a walk, and what the walk did: a comparison, a merge, a guarded removal, in one pass over both tables.
 
@@ -113,7 +131,8 @@ def scan(catalog: DataFrame, walk: DataFrame) -> tuple[DataFrame, dict[str, int]
     status = status.when(F.col("_old").isNull(), "inserted").when(same[0] & same[1] & same[2], "reused").otherwise("updated")
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     both = both.withColumn("status", status).observe(met, *[count(s) for s in ("reused", "inserted", "updated", "unseen")], F.max("_old.id").alias("top"))
-    merged = saved(both)
+    with _observed(catalog.sparkSession):
+        merged = saved(both)
     seen, met = seen.get, met.get
     stats = {k: seen[k] for k in ("visited", "supported", "errors")} | {k: met[k] for k in ("reused", "inserted", "updated")}
     stats["removed"] = 0 if stats["errors"] else met["unseen"]

@@ -86,13 +86,12 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     the first round, a deep one takes as many rounds as the logarithm of its depth, and the
     driver lists nothing. Each round's rows are a written table.
     """
-    frontier, rounds, most = spark.createDataFrame([(root,)], "path string"), [], FIRST_FOLDERS
+    frontier, rounds, most, left = spark.createDataFrame([(root,)], "path string"), [], FIRST_FOLDERS, 1
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        rounds.append(saved(frontier.repartition(tasks).mapInArrow(_listed(root, most), _SCHEMA)))
+    while left:
+        rounds.append(saved(frontier.repartition(min(tasks, left)).mapInArrow(_listed(root, most), _SCHEMA)))
         frontier, most = rounds[-1].where("open").select("path"), most * MORE
-        if not frontier.limit(1).count():
-            break
+        left = frontier.count()
     out = spark.createDataFrame([(root, None, True, False, None, None, None, False, False)], _SCHEMA)
     for found in rounds:
         out = out.unionByName(found.where("not open"))

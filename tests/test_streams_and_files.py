@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import caches, catalog, events
 from strandloom.plans import catalog_queries as q
+from strandloom.schema import CATALOG
 from strandloom.sources import files, sink
 from strandloom.streaming import streams
 
@@ -303,6 +304,18 @@ def test_scan_counts_what_it_does(spark):
     assert stats["removed"] == 3 and stats["total"] == 1 and [(r.path, r.id) for r in less.collect()] == [("/b", 2)]
 
 
+def test_scan_of_an_empty_folder(spark):
+    """Counts come out where nothing flows through the plan: no files, none that is supported, no catalog."""
+    none = spark.createDataFrame([], CATALOG)
+    nothing = entries(spark, [("/a", 1, 1)]).withColumn("error", F.lit(False)).limit(0)
+    static = spark.createDataFrame([], nothing.schema)
+    other = entries(spark, [("/a.txt", 1, 1)]).withColumn("format", F.lit("txt")).withColumn("error", F.lit(False))
+    for walk, visited in ((nothing, 0), (static, 0), (other, 1)):
+        rows, stats = catalog.scan(none, walk)
+        assert rows.collect() == [] and stats["visited"] == visited and stats["supported"] == stats["total"] == stats["removed"] == 0
+    assert spark.conf.get("spark.sql.optimizer.excludedRules", None) is None
+
+
 def test_truncated_table(spark, tmp_path):
     spark.sql(f"create database tables_of_test location '{tmp_path}/db'")
     q._placed(spark, D).write.partitionBy("root").saveAsTable("tables_of_test.catalog")
